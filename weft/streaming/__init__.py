@@ -1,0 +1,5 @@
+"""Intentionally empty: every operator of this engine is a batch operator.
+
+The operators are plain DataFrame transformations, so stateless ones (attribute maps,
+record parsing, hash placement) also work on a streaming DataFrame as they stand.
+"""
