@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,24 +67,28 @@ def _hybrid(edges: DataFrame, key: str, n: int, threshold: int) -> DataFrame:
     return marked.withColumn("part", part).drop("_busy")
 
 
-def greedy_batch(overlaps: pd.DataFrame, n: int) -> pd.DataFrame:
-    """Place the nodes of one batch in id order.
+def greedy_placer(n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A function that places the nodes of one batch in id order.
 
-    ``overlaps`` has a row ``(id, home, bucket, edges)`` per node and bucket it touches.
+    It takes a row ``(id, home, bucket, edges)`` per node and bucket the node touches.
     Each node goes to the partition maximizing ``overlap - sqrt(load)``, starting from
     its home and moving only for a strictly better one, lowest number first.
     """
-    load = np.zeros(n)
-    placed = []
-    for (node, home), group in overlaps.groupby(["id", "home"], sort=True):
-        overlap = np.zeros(n)
-        overlap[group["bucket"]] = group["edges"]
-        score = overlap - np.sqrt(load)
-        best = int(np.argmax(score))
-        part = best if score[best] > score[home] else int(home)
-        load[part] += overlap.sum()
-        placed.append((node, part))
-    return pd.DataFrame(placed, columns=["id", "part"])
+
+    def place_batch(overlaps: pd.DataFrame) -> pd.DataFrame:
+        load = np.zeros(n)
+        placed = []
+        for (node, home), group in overlaps.groupby(["id", "home"], sort=True):
+            overlap = np.zeros(n)
+            overlap[group["bucket"]] = group["edges"]
+            score = overlap - np.sqrt(load)
+            best = int(np.argmax(score))
+            part = best if score[best] > score[home] else int(home)
+            load[part] += overlap.sum()
+            placed.append((node, part))
+        return pd.DataFrame(placed, columns=["id", "part"])
+
+    return place_batch
 
 
 def _greedy(edges: DataFrame, key: str, n: int) -> DataFrame:
@@ -101,7 +107,7 @@ def _greedy(edges: DataFrame, key: str, n: int) -> DataFrame:
     batches = max(1, -(-overlaps.count() // GREEDY_BATCH))
     batch = F.pmod(F.xxhash64("id"), F.lit(batches)).alias("batch")
     schema = f"id {edges.schema[key].dataType.simpleString()}, part int"
-    chosen = overlaps.groupBy(batch).applyInPandas(lambda pdf: greedy_batch(pdf, n), schema)
+    chosen = overlaps.groupBy(batch).applyInPandas(greedy_placer(n), schema)
     return edges.join(apart(chosen.withColumnRenamed("id", key)), key)
 
 
