@@ -53,6 +53,19 @@ def orders(body: str) -> str:
     return f"WITH {ORDERS_PARTS} {body}"
 
 
+PURCHASES = """,
+v AS MATERIALIZED (
+  SELECT p_partkey AS id, p_size AS attr FROM part
+  UNION ALL SELECT o_orderkey + s, CAST(o_custkey AS INTEGER) FROM orders, shift),
+e AS MATERIALIZED (SELECT l_orderkey + s AS src, l_partkey AS dst, CAST(l_quantity AS INTEGER) AS attr
+                   FROM lineitem, shift)
+"""
+
+
+def purchases(body: str) -> str:
+    return orders(PURCHASES + body)
+
+
 def suppliers(body: str) -> str:
     return f"WITH {ORDER_SUPPLIERS} {body}"
 
@@ -306,6 +319,36 @@ def uneven_grid(n: int, side: int) -> str:
     return f"{col} * {rows} + {hashed('dst', height)}"
 
 
+def greedy(key: str, n: int, batch_rows: int) -> str:
+    """One recursion step per node and batch, carrying the loads of the partitions."""
+    other = "dst" if key == "src" else "src"
+    batch = f"CAST(({unsigned('id')} // 8589934592::HUGEINT) % (SELECT greatest(1, (count(*) + {batch_rows - 1}) // {batch_rows}) FROM ov) AS INTEGER)"
+    overlap = ", ".join(f"sum(CASE WHEN bucket = {i} THEN c ELSE 0 END)::DOUBLE" for i in range(n))
+    return f"""WITH RECURSIVE edges AS MATERIALIZED (SELECT l_partkey AS src, l_orderkey AS dst FROM lineitem),
+ov AS MATERIALIZED (
+  SELECT {key} AS id, CAST({hashed(other, n)} AS INTEGER) AS bucket, count(*) AS c FROM edges GROUP BY ALL),
+nodes AS MATERIALIZED (
+  SELECT id, batch, home, overlap, total, row_number() OVER (PARTITION BY batch ORDER BY id) AS r FROM (
+    SELECT id, {batch} AS batch, CAST({hashed('id', n)} AS INTEGER) AS home, [{overlap}] AS overlap,
+           sum(c)::DOUBLE AS total
+    FROM ov GROUP BY id)),
+run AS (
+  SELECT DISTINCT batch, 0::BIGINT AS r, 0::BIGINT AS id, 0 AS part,
+         list_transform(range({n}), lambda i: 0::DOUBLE) AS load FROM nodes
+  UNION ALL
+  SELECT batch, r, id, part,
+         list_transform(range({n}), lambda i: load[i + 1] + CASE WHEN i = part THEN total ELSE 0 END) AS load
+  FROM (
+    SELECT batch, r, id, load, total,
+           CASE WHEN list_max(score) > score[home + 1] THEN list_position(score, list_max(score)) - 1
+                ELSE home END AS part
+    FROM (
+      SELECT nodes.*, load,
+             list_transform(range({n}), lambda i: overlap[i + 1] - sqrt(load[i + 1])) AS score
+      FROM run JOIN nodes ON nodes.batch = run.batch AND nodes.r = run.r + 1)))
+SELECT src, dst, CAST(part AS INTEGER) AS part FROM edges JOIN run ON run.id = {key} AND run.r > 0"""
+
+
 RECORDS = """
 rec0 AS (
   SELECT format('{}-{}', l_orderkey, l_linenumber) AS title, CAST(year(l_shipdate) AS INTEGER) AS year,
@@ -359,14 +402,22 @@ def build() -> dict[str, str]:
         "to_graph_max": orders(MAX_EDGES + " SELECT src, dst, attr FROM e"),
         "to_graph_custom_fold": orders(PROJECTED + """
             SELECT src, dst, bit_or(CAST(1 << card AS INTEGER)) AS bits, max(card) AS top FROM pairs GROUP BY src, dst"""),
-        "graph_degrees": orders(MAX_EDGES + """ SELECT id, CAST(count(*) AS INTEGER) AS degree
+        "graph_degrees": purchases("""SELECT id, CAST(count(*) AS INTEGER) AS degree
             FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id"""),
-        "graph_map_vertices": orders("SELECT id, id + p_size AS _1, CAST(7 AS INTEGER) AS _2 FROM hv"),
-        "graph_map_edges": orders(MAX_EDGES + """ SELECT src, dst, a.p_size * 1000 + b.p_size * 10 + attr AS attr
-            FROM e JOIN hv a ON a.id = src JOIN hv b ON b.id = dst"""),
+        "graph_in_out_degrees": purchases("""
+            SELECT dst AS id, CAST(count(*) AS INTEGER) AS degree, 'in' AS direction FROM e GROUP BY dst
+            UNION ALL SELECT src, CAST(count(*) AS INTEGER), 'out' FROM e GROUP BY src"""),
+        "graph_map_vertices": purchases("SELECT id, id + attr AS _1, CAST(7 AS INTEGER) AS _2 FROM v"),
+        "graph_map_edges": purchases("""SELECT src, dst, a.attr * 1000 + b.attr * 10 + e.attr AS attr
+            FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst"""),
+        "graph_update_vertices": purchases(""", d AS (SELECT dst, CAST(count(*) AS INTEGER) AS n FROM e GROUP BY dst)
+            SELECT id, CASE WHEN n IS NULL THEN attr ELSE attr * 100 + n END AS attr FROM v LEFT JOIN d ON dst = id"""),
+        "aggregate_messages": purchases("""SELECT dst AS id, CAST(sum(v.attr * e.attr) AS BIGINT) AS msg
+            FROM e JOIN v ON v.id = src GROUP BY dst"""),
+        "out_weights": purchases("SELECT src AS id, CAST(sum(attr) AS BIGINT) AS msg FROM e GROUP BY src"),
+        "normalized_purchases": purchases(f""", t AS (SELECT src AS k, sum(attr) AS t FROM e GROUP BY src)
+            SELECT src, dst, {rnd('attr / CAST(t AS DOUBLE)')} AS attr FROM e JOIN t ON k = src"""),
         "normalized_graph": suppliers(weighted_edges() + f" SELECT src, dst, {rnd('attr')} AS attr FROM e"),
-        "aggregate_messages": orders(MAX_EDGES + """ SELECT dst AS id, CAST(sum(p_size * attr) AS BIGINT) AS msg
-            FROM e JOIN hv ON hv.id = src GROUP BY dst"""),
         "entropy_by_group": f"""WITH s AS (SELECT l_suppkey, sum(l_quantity) AS t FROM lineitem GROUP BY l_suppkey)
             SELECT l.l_suppkey, {rnd('sum(l_quantity / t * log2(t / l_quantity))')} AS entropy
             FROM lineitem l JOIN s ON s.l_suppkey = l.l_suppkey GROUP BY l.l_suppkey""",
@@ -408,6 +459,8 @@ def build() -> dict[str, str]:
         "part_default": placed(hashed("src + dst", 12)),
         "part_hybrid_src": hybrid("src", 12, 30),
         "part_hybrid_dst": hybrid("dst", 12, 4),
+        "part_greedy_src": greedy("src", 12, 200_000),
+        "part_greedy_dst": greedy("dst", 12, 200_000),
     }
     sql["partition_statistics"] = f"""WITH p AS ({sql['part_hybrid_src']}),
         sizes AS (SELECT part, count(*) AS n FROM p GROUP BY part),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft import AllExcept, Fold, HyperGraph, Mode, Only, Program, Send, Step
+from weft import AllExcept, Fold, Graph, HyperGraph, Mode, Only, Program, Send, Step
 from weft.functions import entropy_bits
 from weft.operators.ids import dense_ids
 from weft.operators.placement import assign_partitions, partition_stats
@@ -323,33 +323,81 @@ def to_graph_custom_fold(spark, sf):
     ).e.select("src", "dst", "attr.bits", "attr.top")
 
 
+def purchase_graph(spark, sf) -> Graph:
+    """A one-mode graph of orders and parts: an order points to the part of each of its lines.
+
+    Vertex ids: parts as they are, orders behind them. Vertex attributes: part sizes,
+    and the number of an order's customer. Edge attributes: quantities.
+    """
+    graph = HyperGraph.from_tables(
+        order_lines(spark, sf),
+        table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("attr")),
+        table(spark, sf, "orders").select(
+            F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("int").alias("attr")
+        ),
+    )
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("orig_id"), F.col("l_partkey").alias("dst"),
+        F.col("l_quantity").cast("int").alias("attr"),
+    )
+    edges = lines.join(graph.he.select("orig_id", F.col("id").alias("src")), "orig_id")
+    vertices = graph.hv.select("id", "attr").unionByName(graph.he.select("id", "attr"))
+    return Graph(vertices, edges.select("src", "dst", "attr"))
+
+
 @query
 def graph_degrees(spark, sf):
-    graph = orders_parts(spark, sf).to_graph(lambda attr: attr["card"], "max")
-    return graph.degrees("both")
+    return purchase_graph(spark, sf).degrees("both")
+
+
+@query
+def graph_in_out_degrees(spark, sf):
+    graph = purchase_graph(spark, sf)
+    return (
+        graph.degrees("in").withColumn("direction", F.lit("in"))
+        .unionByName(graph.degrees("out").withColumn("direction", F.lit("out")))
+    )
 
 
 @query
 def graph_map_vertices(spark, sf):
-    graph = orders_parts(spark, sf, "p_size").to_graph(lambda attr: attr["card"], "max")
-    return graph.map_vertices(lambda id, size: id + size).augment(F.lit(7)).v.select("id", "attr._1", "attr._2")
+    graph = purchase_graph(spark, sf).map_vertices(lambda id, attr: id + attr)
+    return graph.augment(F.lit(7)).v.select("id", "attr._1", "attr._2")
 
 
 @query
 def graph_map_edges(spark, sf):
-    graph = orders_parts(spark, sf, "p_size").to_graph(lambda attr: attr["card"], "max")
-    return graph.map_triplets(lambda a, card, b: a * 1000 + b * 10 + card).e
+    return purchase_graph(spark, sf).map_triplets(lambda a, quantity, b: a * 1000 + b * 10 + quantity).e
 
 
 @query
-def normalized_graph(spark, sf):
-    return pagerank_graph(order_suppliers(spark, sf)).e.select("src", "dst", rounded(F.col("attr"), "attr"))
+def graph_update_vertices(spark, sf):
+    graph = purchase_graph(spark, sf)
+    values = graph.degrees("in").withColumnRenamed("degree", "value")
+    return graph.update_vertices(values, lambda attr, degree: attr * 100 + degree).v
 
 
 @query
 def aggregate_messages(spark, sf):
-    graph = orders_parts(spark, sf, "p_size").to_graph(lambda attr: attr["card"], "max")
-    return graph.aggregate_messages("dst", F.col("src_attr") * F.col("attr"), F.sum, ("src",))
+    return purchase_graph(spark, sf).aggregate_messages(
+        "dst", F.col("src_attr") * F.col("attr"), F.sum, ("src",)
+    )
+
+
+@query
+def out_weights(spark, sf):
+    return purchase_graph(spark, sf).aggregate_messages("src", F.col("attr"), F.sum)
+
+
+@query
+def normalized_purchases(spark, sf):
+    graph = purchase_graph(spark, sf).map_edges(lambda quantity: quantity.cast("double")).normalize()
+    return graph.e.select("src", "dst", rounded(F.col("attr"), "attr"))
+
+
+@query
+def normalized_graph(spark, sf):
+    return pagerank_graph(order_suppliers(spark, sf)).e.select("src", "dst", rounded(F.col("attr"), "attr"))
 
 
 # -- aggregations -------------------------------------------------------------------------

@@ -35,10 +35,13 @@ def _grid(src: Column, dst: Column, n: int) -> Column:
     return column * rows + hash_part(dst, height)
 
 
+def _high_bits(product: Column, n: int) -> Column:
+    """A number in ``0..n-1`` from the high, well mixed bits of a product."""
+    return F.pmod(F.shiftrightunsigned(product, 33), F.lit(n)).cast("int")
+
+
 def _pair_hash(first: Column, second: Column, n: int) -> Column:
-    """Mixes two ids; the high bits of the product are the well mixed ones."""
-    mixed = times_prime(times_prime(first).bitwiseXOR(second))
-    return F.pmod(F.shiftrightunsigned(mixed, 33), F.lit(n)).cast("int")
+    return _high_bits(times_prime(times_prime(first).bitwiseXOR(second)), n)
 
 
 def _hashed(strategy: str, n: int) -> Column:
@@ -105,7 +108,7 @@ def _greedy(edges: DataFrame, key: str, n: int) -> DataFrame:
         .withColumn("home", hash_part(F.col("id"), n))
     )
     batches = max(1, -(-overlaps.count() // GREEDY_BATCH))
-    batch = F.pmod(F.xxhash64("id"), F.lit(batches)).alias("batch")
+    batch = _high_bits(times_prime(F.col("id")), batches).alias("batch")
     schema = f"id {edges.schema[key].dataType.simpleString()}, part int"
     chosen = overlaps.groupBy(batch).applyInPandas(greedy_placer(n), schema)
     return edges.join(apart(chosen.withColumnRenamed("id", key)), key)
