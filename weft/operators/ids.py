@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.session import cut, shuffle_partitions
+from weft.session import cut
 
 POSITION_BITS = 33  # monotonically_increasing_id() = (partition << 33) + row position
 
@@ -17,10 +17,9 @@ def dense_ids(keys: DataFrame, order: list[str]) -> DataFrame:
     partition, and that is written once; the row counts of the partitions (one small
     row each) then give every partition its offset.
     """
-    parts = shuffle_partitions(keys.sparkSession)
     place = F.monotonically_increasing_id()
     ranked = cut(
-        keys.repartitionByRange(parts, *order)
+        keys.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select(
             "*",

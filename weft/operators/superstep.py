@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from weft.operators.combiners import Combiner, default_combiner, resolve
 from weft.operators.routes import Routes, arrange, merge_copies
-from weft.session import cut, discard, fixed_plans
+from weft.session import cut, discard, fixed_plans, partitions_for
 
 if TYPE_CHECKING:
     from weft.model import HyperGraph
@@ -191,56 +191,51 @@ def compute(
     with a message per half step.
     """
     spark = graph.inc.sparkSession
-    with fixed_plans(spark):
-        if max_iters == 0:
-            start = graph.hv.withColumn("msg", initial)
-            state = _run(start.select("id", "attr", "msg"), F.lit(True), vertex_program, 0)
-            return graph.with_tables(hv=cut(state.rows.select("id", "attr")), he=graph.he)
-        links = graph.links().persist()
-        total = links.count()
-        out, back = ("hv_id", "he_id"), ("he_id", "hv_id")
-        routes = [
-            Routes(links.select(F.col(a).alias("src_id"), F.col(b).alias("dst_id"), "copies"), total)
-            for a, b in (out, back)
-        ]
-        to_hyperedges, to_vertices = routes
-        first_hv = arrange(graph.hv.select("id", "attr"))
-        first_he = arrange(graph.he.select("id", "attr"))
-        vertices = _run(first_hv.withColumn("msg", initial), F.lit(True), vertex_program, 0)
-        hyperedges = _State(first_he)
-        written: dict[str, DataFrame | None] = {"hv": None, "he": None}
-
-        def advance(role, senders, by, receivers, program, routes, superstep):
-            state, heard, sent = _half_step(
-                senders, routes, by.combiner, receivers.rows, program, superstep
+    if max_iters == 0:
+        start = graph.hv.withColumn("msg", initial)
+        state = _run(start.select("id", "attr", "msg"), F.lit(True), vertex_program, 0)
+        return graph.with_tables(hv=cut(state.rows.select("id", "attr")), he=graph.he)
+
+    links = graph.links().persist()
+    total = links.count()
+    with fixed_plans(spark, partitions_for(spark, total)):
+        routes = {
+            receiver: Routes(links.select(F.col(a).alias("src_id"), F.col(b).alias("dst_id"), "copies"), total)
+            for receiver, a, b in (("he", "hv_id", "he_id"), ("hv", "he_id", "hv_id"))
+        }
+        first = {role: arrange(getattr(graph, role).select("id", "attr")) for role in ("hv", "he")}
+        state = {
+            "hv": _run(first["hv"].withColumn("msg", initial), F.lit(True), vertex_program, 0),
+            "he": _State(first["he"]),
+        }
+        program = {"hv": vertex_program, "he": hyperedge_program}
+        written: dict[str, DataFrame] = {}
+
+        superstep, sender, receiver = 0, "hv", "he"
+        while state[sender].sends:
+            reached, heard, sent = _half_step(
+                state[sender],
+                routes[receiver],
+                program[sender].combiner,
+                state[receiver].rows,
+                program[receiver],
+                superstep,
             )
-            discard(written[role])
-            written[role] = state.rows
+            discard(written.get(receiver))
+            state[receiver], written[receiver] = reached, reached.rows
             if trace is not None:
                 trace.append(heard)
-            return state, sent > 0 and len(state.sends) > 0
-
-        superstep = 0
-        while True:
-            hyperedges, going = advance(
-                "he", vertices, vertex_program, hyperedges, hyperedge_program, to_hyperedges, superstep
-            ) if vertices.sends else (hyperedges, False)
-            superstep += 1
-            if not going or superstep == max_iters:
+            superstep += receiver == "he"
+            if sent == 0 or superstep == max_iters:
                 break
-            vertices, going = advance(
-                "hv", hyperedges, hyperedge_program, vertices, vertex_program, to_vertices, superstep
-            )
-            if not going:
-                break
-        if written["hv"] is None:
-            written["hv"] = cut(vertices.rows.select("id", "attr"))
-        if written["he"] is None:
-            written["he"] = cut(hyperedges.rows.select("id", "attr"))
-        for kept in (links, first_hv, first_he):
+            sender, receiver = receiver, sender
+
+        done = {
+            role: (written[role] if role in written else cut(state[role].rows)).select("id", "attr")
+            for role in ("hv", "he")
+        }
+        for kept in (links, *first.values()):
             kept.unpersist()
-        for kept in routes:
+        for kept in routes.values():
             kept.release()
-    return graph.with_tables(
-        hv=written["hv"].select("id", "attr"), he=written["he"].select("id", "attr")
-    )
+    return graph.with_tables(**done)

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 HOT_ROWS_CONF = "spark.weft.hotRows"
 HOT_ROWS_DEFAULT = 1_000_000
 
+#: Loops use fewer partitions than the session's while each holds fewer links than this.
+LINKS_PER_PARTITION = 100_000
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, registered with the context.
@@ -66,19 +69,29 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
 
 
+def partitions_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for a loop over ``rows`` links: the session's number, fewer for small data."""
+    return max(1, min(shuffle_partitions(spark), -(-rows // LINKS_PER_PARTITION)))
+
+
 @contextmanager
-def fixed_plans(spark: SparkSession):
-    """Plan the enclosed jobs statically.
+def fixed_plans(spark: SparkSession, partitions: int):
+    """Plan the enclosed jobs statically, with ``partitions`` shuffle partitions.
 
     Loops lay their tables out once (hash partitions of a known number, hot keys
     already spread) and want every round to keep that layout. Under adaptive execution
     a checkpointed frame forgets how it is partitioned, and each round would shuffle
     the node state again.
     """
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    settings = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": str(partitions),
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
