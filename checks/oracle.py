@@ -293,9 +293,16 @@ def positive(x: str, n: int) -> str:
     return f"(({signed(f'abs({x})')} % {n} + {n}) % {n})"
 
 
-def pair(first: str, second: str, n: int) -> str:
-    mixed = f"xor({signed(first)}::BIGINT, ({second})::BIGINT)"
-    return f"(({unsigned(mixed)} // 8589934592::HUGEINT) % {n})"
+# Modulus and coefficients of the pair hash.
+MODULUS = 2147483647
+COEFFICIENTS = (1103515245, 1812433253, 1664525123, 1597334677)
+
+
+def pair(first: str, second: str, n: str | int) -> str:
+    low = 4294967295
+    halves = [h for x in (first, second) for h in (f"(({x}) & {low})", f"((({x}) >> 32) & {low})")]
+    total = " + ".join(f"({h}::HUGEINT * {c}) % {MODULUS}" for h, c in zip(halves, COEFFICIENTS))
+    return f"((({total}) % {MODULUS}) % ({n}))"
 
 
 def placed(part: str, source: str = "edges") -> str:
@@ -322,7 +329,8 @@ def uneven_grid(n: int, side: int) -> str:
 def greedy(key: str, n: int, batch_rows: int) -> str:
     """One recursion step per node and batch, carrying the loads of the partitions."""
     other = "dst" if key == "src" else "src"
-    batch = f"CAST(({unsigned('id')} // 8589934592::HUGEINT) % (SELECT greatest(1, (count(*) + {batch_rows - 1}) // {batch_rows}) FROM ov) AS INTEGER)"
+    batches = f"SELECT greatest(1, (count(*) + {batch_rows - 1}) // {batch_rows}) FROM ov"
+    batch = f"CAST({pair('id', '0::BIGINT', batches)} AS INTEGER)"
     overlap = ", ".join(f"sum(CASE WHEN bucket = {i} THEN c ELSE 0 END)::DOUBLE" for i in range(n))
     return f"""WITH RECURSIVE edges AS MATERIALIZED (SELECT l_partkey AS src, l_orderkey AS dst FROM lineitem),
 ov AS MATERIALIZED (

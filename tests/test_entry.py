@@ -1,0 +1,26 @@
+"""The driver contract, and a few queries against their SQL."""
+
+import pytest
+from conftest import SF_DIR
+
+import __spark_entry__ as contract
+from checks.compare import connect, difference
+
+
+def test_every_query_but_the_sketch_has_sql():
+    assert set(contract.queries()) - set(contract.oracle_sql()) == {"neighbours_hll"}
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_entry(spark):
+    frame = contract.entry(spark)
+    assert frame.columns == ["id", "part", "rank"] and frame.count() > 0
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["groups_to_hypergraph", "sub_hypergraph", "to_graph_custom_fold", "part_2d_uneven", "part_greedy_src", "random_walk_values"],
+)
+def test_query_matches_sql(spark, name):
+    ours = contract.queries()[name](spark, SF_DIR).toPandas()
+    assert difference(ours, connect(SF_DIR).execute(contract.oracle_sql()[name]).df()) == ""

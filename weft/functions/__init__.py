@@ -1,7 +1,7 @@
 """Column functions."""
 
 from weft.functions.columns import divide, entropy_bits, infinity, mode_struct, repeat_fold
-from weft.functions.hashing import hash_part, times_prime
+from weft.functions.hashing import hash_part, pair_part, times_prime
 
 __all__ = [
     "divide",
@@ -9,6 +9,7 @@ __all__ = [
     "hash_part",
     "infinity",
     "mode_struct",
+    "pair_part",
     "repeat_fold",
     "times_prime",
 ]

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 PRIME = 1125899906842597
 SHIFT, REST = 50, 27
 
+# Modulus (a Mersenne prime) and coefficients, below 2**31, of the pair hash.
+MODULUS = 2147483647
+COEFFICIENTS = (1103515245, 1812433253, 1664525123, 1597334677)
+
 LOW = (1 << 32) - 1
 LONG_MIN = -(1 << 63)
 
@@ -40,3 +44,15 @@ def absolute_mod(value: Column, n: Column | int) -> Column:
 def hash_part(value: Column, n: Column | int) -> Column:
     """Partition number in ``0..n-1`` of an id."""
     return absolute_mod(times_prime(value), n)
+
+
+def pair_part(first: Column, second: Column, n: int) -> Column:
+    """Partition number in ``0..n-1`` of a pair of ids: universal hashing of their four
+    32-bit halves. No intermediate product reaches 2**63."""
+    halves = []
+    for value in (first.cast("bigint"), second.cast("bigint")):
+        halves += [value.bitwiseAND(LOW), F.shiftrightunsigned(value, 32)]
+    total = F.lit(0)
+    for half, coefficient in zip(halves, COEFFICIENTS):
+        total = total + half * coefficient % MODULUS
+    return F.pmod(total % MODULUS, F.lit(n)).cast("int")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions import hash_part, times_prime
+from weft.functions import hash_part, pair_part, times_prime
 from weft.operators.skew import apart
 from weft.session import cut
 
@@ -35,23 +35,14 @@ def _grid(src: Column, dst: Column, n: int) -> Column:
     return column * rows + hash_part(dst, height)
 
 
-def _high_bits(product: Column, n: int) -> Column:
-    """A number in ``0..n-1`` from the high, well mixed bits of a product."""
-    return F.pmod(F.shiftrightunsigned(product, 33), F.lit(n)).cast("int")
-
-
-def _pair_hash(first: Column, second: Column, n: int) -> Column:
-    return _high_bits(times_prime(times_prime(first).bitwiseXOR(second)), n)
-
-
 def _hashed(strategy: str, n: int) -> Column:
     src, dst = F.col("src"), F.col("dst")
     return {
         "1d-src": lambda: hash_part(src, n),
         "1d-dst": lambda: hash_part(dst, n),
         "2d": lambda: _grid(src, dst, n),
-        "random": lambda: _pair_hash(src, dst, n),
-        "canonical": lambda: _pair_hash(F.least(src, dst), F.greatest(src, dst), n),
+        "random": lambda: pair_part(src, dst, n),
+        "canonical": lambda: pair_part(F.least(src, dst), F.greatest(src, dst), n),
         "default": lambda: hash_part(src + dst, n),
     }[strategy]().cast("int")
 
@@ -108,7 +99,7 @@ def _greedy(edges: DataFrame, key: str, n: int) -> DataFrame:
         .withColumn("home", hash_part(F.col("id"), n))
     )
     batches = max(1, -(-overlaps.count() // GREEDY_BATCH))
-    batch = _high_bits(times_prime(F.col("id")), batches).alias("batch")
+    batch = pair_part(F.col("id"), F.lit(0), batches).alias("batch")
     schema = f"id {edges.schema[key].dataType.simpleString()}, part int"
     chosen = overlaps.groupBy(batch).applyInPandas(greedy_placer(n), schema)
     return edges.join(apart(chosen.withColumnRenamed("id", key)), key)
