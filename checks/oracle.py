@@ -436,6 +436,12 @@ def build() -> dict[str, str]:
         "neighbours_exact": orders(""", c AS (SELECT a.hv, count(DISTINCT b.hv) AS n
             FROM inc a JOIN inc b ON a.he = b.he GROUP BY a.hv)
             SELECT id, coalesce(n, 0) AS neighbours FROM hv LEFT JOIN c ON c.hv = id"""),
+        # Sketches of up to a few hundred members count exactly.
+        "neighbours_hll": orders(""", c AS (SELECT a.hv, count(DISTINCT b.hv) AS n
+            FROM inc a JOIN inc b ON a.he = b.he GROUP BY a.hv),
+            e AS (SELECT id, coalesce(n, 0) AS n FROM hv LEFT JOIN c ON c.hv = id)
+            SELECT id, n AS estimate, CAST(floor(n - n * 0.0325::DOUBLE) AS BIGINT) AS low,
+                   CAST(ceil(n + n * 0.0325::DOUBLE) AS BIGINT) AS high FROM e"""),
         "recipients_only": heard("sum(inc.hv)", "inc.he IN (first, last)", ENDS),
         "recipients_except": heard("sum(inc.hv)", "inc.he NOT IN (first, last)", ENDS),
         "message_by_destination": heard("sum(inc.he * p_size - inc.hv)", "true", ENDS),

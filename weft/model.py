@@ -43,6 +43,7 @@ class HyperGraph:
         partition: tuple[str, int, int] | None = None,
         validate: bool = False,
         distinct: bool = False,
+        shift: int | None = None,
     ) -> HyperGraph:
         """Build from ``inc(he_id, hv_id)``, ``hv(id[, attr])`` and ``he(id[, attr])``.
 
@@ -50,11 +51,13 @@ class HyperGraph:
         both roles share one id space; ``he.orig_id`` keeps the id given.
         ``partition=(strategy, parts, threshold)`` also places the incidences.
         ``validate=True`` raises on incidences naming unknown ids and on repeated ids.
+        A caller that knows the shift passes it, which saves two small jobs.
         """
         hv, he = _nodes(hv), _nodes(he)
         if validate:
             structure.validate(inc, hv, he)
-        shift = structure.id_shift(hv, he)
+        if shift is None:
+            shift = structure.id_shift(hv, he)
         graph = HyperGraph(
             hv.select("id", "attr"),
             he.select((F.col("id") + shift).alias("id"), "attr", F.col("id").alias("orig_id")),

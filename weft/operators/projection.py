@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.combiners import Aggregate, Fold, fold_by_key, resolve
+from weft.operators.routes import merge_copies
 from weft.operators.skew import apart
 from weft.operators.superstep import Program, Send, Step, compute
 from weft.session import cut
@@ -20,43 +21,49 @@ if TYPE_CHECKING:
 BLOCK = 2000
 
 
-def member_pairs(graph: HyperGraph, block: int = BLOCK) -> DataFrame:
-    """Unordered pairs ``(he_id, a, b, copies)`` with ``a <= b`` of members of a hyperedge.
+def member_pairs(graph: HyperGraph, values: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Unordered pairs ``(a, b, msg, copies)`` with ``a <= b`` of members of each hyperedge.
 
+    ``values(he_id, msg)`` is joined to the members before they are paired.
     A hyperedge with more than ``block`` members is cut into blocks by a hash of the
     member id; every pair of blocks is a join key of its own. So the join never gathers
     more than about ``block**2`` pairs under one key, however large the hyperedge is.
     ``copies`` is the number of ordered incidence pairs each direction stands for.
     """
-    members = graph.links()
     sizes = graph.inc.groupBy("he_id").agg(F.count("*").alias("n"))
     largest = sizes.agg(F.max("n")).first()[0] or 0
+    own, other = F.col("hv_id"), F.col("copies")
     if largest <= block:
-        left = members.select("he_id", F.col("hv_id").alias("a"), F.col("copies").alias("_ca"))
-        right = members.select("he_id", F.col("hv_id").alias("b"), F.col("copies").alias("_cb"))
+        # Small hyperedges: one shuffle by hyperedge serves merging, values and pairing.
+        rows = graph.inc.select("he_id", "hv_id").repartition("he_id")
+        members = merge_copies(rows, ["he_id", "hv_id"])
+        left = members.join(values, "he_id").select("he_id", own.alias("a"), other.alias("_ca"), "msg")
+        right = members.select("he_id", own.alias("b"), other.alias("_cb"))
         pairs = left.join(right, "he_id").where("a <= b")
     else:
         fan = sizes.where(F.col("n") > block).select(
             "he_id", F.ceil(F.col("n") / block).cast("int").alias("_fan")
         )
-        count = F.coalesce("_fan", F.lit(1))
+        blocks = F.coalesce("_fan", F.lit(1))
         members = cut(
-            members.join(apart(fan), "he_id", "left")
-            .withColumn("_fan", count)
+            graph.links()
+            .join(apart(fan), "he_id", "left")
+            .join(apart(values), "he_id")
+            .withColumn("_fan", blocks)
             .withColumn("_own", F.pmod(F.xxhash64("hv_id"), F.col("_fan")).cast("int"))
         )
         # Block i meets block j >= i once: i on the left, j on the right.
+        later = F.explode(F.sequence("_own", F.col("_fan") - 1)).alias("_hi")
+        earlier = F.explode(F.sequence(F.lit(0), "_own")).alias("_lo")
         left = members.select(
-            "he_id", F.col("hv_id").alias("a"), F.col("copies").alias("_ca"),
-            F.col("_own").alias("_lo"), F.explode(F.sequence("_own", F.col("_fan") - 1)).alias("_hi"),
+            "he_id", own.alias("a"), other.alias("_ca"), "msg", F.col("_own").alias("_lo"), later
         )
         right = members.select(
-            "he_id", F.col("hv_id").alias("b"), F.col("copies").alias("_cb"),
-            F.explode(F.sequence(F.lit(0), "_own")).alias("_lo"), F.col("_own").alias("_hi"),
+            "he_id", own.alias("b"), other.alias("_cb"), earlier, F.col("_own").alias("_hi")
         )
         pairs = left.join(right, ["he_id", "_lo", "_hi"]).where("_lo < _hi or a <= b")
     copies = (F.col("_ca") * F.col("_cb")).alias("copies")
-    return pairs.select("he_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), copies)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "msg", copies)
 
 
 def _mirror(pairs: DataFrame, *rest: str) -> DataFrame:
@@ -76,7 +83,7 @@ def to_graph(graph: HyperGraph, value: Callable[[Column], Column], combine, bloc
     from weft.model import Graph
 
     values = graph.he.select(F.col("id").alias("he_id"), value(F.col("attr")).alias("msg"))
-    rows = member_pairs(graph, block).join(apart(values), "he_id").select("a", "b", "msg", "copies")
+    rows = member_pairs(graph, values, block)
     combiner = resolve(combine)
     if isinstance(combiner, Aggregate):
         merged = combiner.expression(F.col("msg"), F.col("copies"))
@@ -92,7 +99,8 @@ def to_graph(graph: HyperGraph, value: Callable[[Column], Column], combine, bloc
 
 def co_members(graph: HyperGraph, block: int = BLOCK) -> DataFrame:
     """``(id, neighbours)``: exact number of distinct co-members, self included; 0 if isolated."""
-    pairs = member_pairs(graph, block).select("a", "b").distinct()
+    values = graph.he.select(F.col("id").alias("he_id"), F.lit(1).alias("msg"))
+    pairs = member_pairs(graph, values, block).select("a", "b").distinct()
     counts = _mirror(pairs).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_n"))
     number = F.coalesce("_n", F.lit(0)).alias("neighbours")
     return graph.hv.select("id").join(counts, "id", "left").select("id", number)

@@ -23,7 +23,9 @@ def from_incidences(
     card = F.struct(F.count("*").cast("int").alias("card"), F.lit(1).alias("weight"))
     he = inc.groupBy(F.col("he_id").alias("id")).agg(card.alias("attr"))
     hv = inc.select(F.col("hv_id").alias("id")).distinct()
-    graph = HyperGraph.from_tables(inc, hv, he, partition)
+    top, bottom = inc.agg(F.max("hv_id"), F.min("he_id")).first()
+    shift = 0 if top is None else top - bottom + 1
+    graph = HyperGraph.from_tables(inc, hv, he, partition, shift=shift)
     if min_cardinality is None and max_cardinality is None:
         return graph
 

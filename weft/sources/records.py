@@ -93,4 +93,4 @@ def records_hypergraph(
         records.select(F.monotonically_increasing_id().alias("record"), "title", "authors")
     )
     rows = numbered.select("record", "title", F.explode("authors").alias("author"))
-    return from_groups(rows, "record", "author", label="title", partition=partition)
+    return from_groups(rows, "record", "author", label="title", partition=partition, distinct=True)
