@@ -44,12 +44,12 @@ def member_pairs(graph: HyperGraph, values: DataFrame, block: int = BLOCK) -> Da
         fan = sizes.where(F.col("n") > block).select(
             "he_id", F.ceil(F.col("n") / block).cast("int").alias("_fan")
         )
-        blocks = F.coalesce("_fan", F.lit(1))
+        blocks = F.coalesce("_fan", F.lit(1)).alias("_fan")
+        wide = values.join(fan, "he_id", "left").select("he_id", "msg", blocks)
+        # A single join with the members, so that adaptive execution may split it.
         members = cut(
             graph.links()
-            .join(apart(fan), "he_id", "left")
-            .join(apart(values), "he_id")
-            .withColumn("_fan", blocks)
+            .join(apart(wide), "he_id")
             .withColumn("_own", F.pmod(F.xxhash64("hv_id"), F.col("_fan")).cast("int"))
         )
         # Block i meets block j >= i once: i on the left, j on the right.
