@@ -371,7 +371,8 @@ def build() -> dict[str, str]:
             (SELECT count(*) FROM orders) AS num_hyperedges, (SELECT count(*) FROM lineitem) AS num_incidences""",
         "vertex_table": "SELECT p_partkey AS id, p_name AS attr FROM part",
         "hyperedge_table": orders("SELECT id, orig_id, card, weight FROM he"),
-        "all_nodes": orders("SELECT id, 'vertex' AS role FROM hv UNION ALL SELECT id, 'hyperedge' FROM he"),
+        "all_nodes": orders("""SELECT id, 'vertex' AS role, p_name AS name FROM hv
+            UNION ALL SELECT id, 'hyperedge', 'order of ' || card FROM he"""),
         "parquet_round_trip": orders("SELECT id, card, weight FROM he"),
         "csv_incidence": f"WITH {BY_LINES} SELECT id, card, weight FROM he",
         "json_records": f"WITH {RECORDS} SELECT title, year, a || '+' || b AS authors FROM rec0",

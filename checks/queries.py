@@ -106,7 +106,9 @@ def hyperedge_table(spark, sf):
 
 @query
 def all_nodes(spark, sf):
-    return orders_parts(spark, sf).nodes()
+    nodes = orders_parts(spark, sf).nodes()
+    name = F.coalesce("attr.vertex", F.concat(F.lit("order of "), F.col("attr.hyperedge.card"))).alias("name")
+    return nodes.select("id", "role", name)
 
 
 @query

@@ -29,7 +29,7 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-# Two small incidence lists, (hyperedge, vertex).
+# Two small incidence lists (hyperedge, vertex), and record lines.
 TREE = [
     (0, 1), (0, 2), (0, 3), (1, 3), (1, 4), (1, 5),
     (2, 5), (2, 6), (2, 7), (2, 8), (3, 8), (3, 9),

@@ -20,6 +20,7 @@ from weft.plans import (
 )
 from weft.plans.pagerank import weight_per_member
 
+# Expected results on the small graphs, here and below.
 TREE_HOPS = {1: 0, 2: 1, 3: 1, 4: 2, 5: 2, 6: 3, 7: 3, 8: 3, 9: 4}
 CYCLE_HOPS = {1: 0, 2: 1, 3: 1, 4: 2, 5: 2, 6: 3, 7: 3, 8: 3, 9: 2, 10: 1, 11: 1}
 

@@ -117,7 +117,7 @@ def test_names(edges):
     for name in STRATEGIES:
         assert assign_partitions(edges, name, 3).columns == ["src", "dst", "part"]
     with pytest.raises(ValueError, match="unknown partition strategy"):
-        assign_partitions(edges, "GreedtDst", 3)
+        assign_partitions(edges, "Nowhere", 3)
 
 
 def test_parts_become_spark_partitions(edges, tree):

@@ -82,10 +82,9 @@ class HyperGraph:
     # -- views ------------------------------------------------------------------------
 
     def nodes(self) -> DataFrame:
-        """``(id, role)`` of all nodes."""
-        return self.hv.select("id", F.lit("vertex").alias("role")).unionByName(
-            self.he.select("id", F.lit("hyperedge").alias("role"))
-        )
+        """``(id, role, attr)`` of all nodes; ``attr`` is ``struct(vertex, hyperedge)``, the
+        field of the other role being null."""
+        return structure.nodes(self)
 
     def links(self) -> DataFrame:
         """Incidences with parallel ones merged: ``(he_id, hv_id, copies)``."""

@@ -11,7 +11,12 @@ POSITION_BITS = 33  # monotonically_increasing_id() = (partition << 33) + row po
 
 
 def dense_ids(keys: DataFrame, order: list[str]) -> DataFrame:
-    """``keys`` plus ``id`` = 0, 1, 2, ... in the order of the unique columns ``order``.
+    """``keys`` plus ``id`` = 0, 1, 2, ... in the order of the unique columns ``order``."""
+    return counted_ids(keys, order)[0]
+
+
+def counted_ids(keys: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """:func:`dense_ids` and the number of rows.
 
     Rows are range partitioned and sorted, each takes its position within its
     partition, and that is written once; the row counts of the partitions (one small
@@ -35,4 +40,4 @@ def dense_ids(keys: DataFrame, order: list[str]) -> DataFrame:
     schema = "_part int, _offset bigint"
     table = F.broadcast(keys.sparkSession.createDataFrame(offsets, schema))
     numbered = ranked.join(table, "_part")
-    return numbered.select(*keys.columns, (F.col("_offset") + F.col("_row")).alias("id"))
+    return numbered.select(*keys.columns, (F.col("_offset") + F.col("_row")).alias("id")), seen

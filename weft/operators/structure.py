@@ -61,6 +61,20 @@ def links(graph: HyperGraph) -> DataFrame:
     return merge_copies(graph.inc, ["he_id", "hv_id"])
 
 
+def nodes(graph: HyperGraph) -> DataFrame:
+    tables = {"vertex": graph.hv, "hyperedge": graph.he}
+    kinds = {role: table.schema["attr"].dataType for role, table in tables.items()}
+
+    def tagged(role: str) -> DataFrame:
+        attr = [
+            (F.col("attr") if field == role else F.lit(None).cast(kind)).alias(field)
+            for field, kind in kinds.items()
+        ]
+        return tables[role].select("id", F.lit(role).alias("role"), F.struct(*attr).alias("attr"))
+
+    return tagged("vertex").unionByName(tagged("hyperedge"))
+
+
 def triplets(graph: HyperGraph) -> DataFrame:
     hv = graph.hv.select(F.col("id").alias("hv_id"), F.col("attr").alias("hv_attr"))
     he = graph.he.select(F.col("id").alias("he_id"), F.col("attr").alias("he_attr"))

@@ -226,6 +226,8 @@ def compute(
             if trace is not None:
                 trace.append(heard)
             superstep += receiver == "he"
+            if len(written) == 2:
+                links.unpersist()  # both layouts exist by now
             if sent == 0 or superstep == max_iters:
                 break
             sender, receiver = receiver, sender
