@@ -376,6 +376,8 @@ def build() -> dict[str, str]:
         "parquet_round_trip": orders("SELECT id, card, weight FROM he"),
         "csv_incidence": f"WITH {BY_LINES} SELECT id, card, weight FROM he",
         "json_records": f"WITH {RECORDS} SELECT title, year, a || '+' || b AS authors FROM rec0",
+        "record_forms": """SELECT CASE l_linenumber WHEN 6 THEN 'unparsable' WHEN 5 THEN 'misshapen'
+            ELSE 'record' END AS form, count(*) AS lines FROM lineitem GROUP BY form""",
         "json_hypergraph": f"""WITH {RECORDS} SELECT a AS first_author, b AS last_author,
             CAST(2 AS INTEGER) AS card, CAST(count(*) AS INTEGER) AS weight FROM rec0 GROUP BY a, b""",
         "groups_to_hypergraph": suppliers("""SELECT inc.hv AS hv_id, hv.name AS supplier, inc.he AS he_id, card, weight
@@ -477,6 +479,18 @@ def build() -> dict[str, str]:
         "part_greedy_src": greedy("src", 12, 200_000),
         "part_greedy_dst": greedy("dst", 12, 200_000),
     }
+    shifted = "(SELECT max(p_partkey) FROM part) - (SELECT min(o_orderkey) FROM orders) + 1"
+    part = (
+        f"CASE WHEN count(*) OVER (PARTITION BY dst) > 4 THEN {positive('src', 12)} ELSE {positive('dst', 12)} END"
+    )
+    sql["part_settled"] = f"""WITH e AS (SELECT l_partkey AS src, l_orderkey + ({shifted}) AS dst FROM lineitem)
+        SELECT dst AS he_id, src AS hv_id, CAST({part} AS INTEGER) AS partition FROM e"""
+    part = (
+        f"CASE WHEN count(*) OVER (PARTITION BY hv) > 30 THEN {positive('he', 12)} ELSE {positive('hv', 12)} END"
+    )
+    sql["csv_placed"] = f"""WITH {BY_LINES}, p AS (SELECT he, CAST({part} AS INTEGER) AS part FROM inc)
+        SELECT part, count(*) AS incidences FROM p JOIN he ON he.id = p.he WHERE card <= 4 GROUP BY part"""
+    sql["components_of_dual"] = components(10)
     sql["partition_statistics"] = f"""WITH p AS ({sql['part_hybrid_src']}),
         sizes AS (SELECT part, count(*) AS n FROM p GROUP BY part),
         s AS (SELECT avg(n) AS m FROM (SELECT count(DISTINCT part) AS n FROM p GROUP BY src)),

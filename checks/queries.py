@@ -29,6 +29,7 @@ from weft.plans.pagerank import weight_per_member
 from weft.session import cut, scratch_path
 from weft.sources import from_groups, from_incidences, read_csv, read_records, records_hypergraph
 from weft.sources.groups import merge_identical
+from weft.sources.records import count_forms
 
 CATALOGUE = {}
 
@@ -156,6 +157,11 @@ def json_records(spark, sf):
     )
 
 
+@query
+def record_forms(spark, sf):
+    return count_forms(record_lines(spark, sf))
+
+
 @query
 def json_hypergraph(spark, sf):
     path = scratch_path(spark, "records-json")
@@ -631,6 +637,27 @@ for _name, _arguments in PLACEMENTS.items():
     CATALOGUE[_name] = _placement(*_arguments)
 
 
+@query
+def part_settled(spark, sf):
+    """Spark partition in which each incidence lies after placement."""
+    inc = orders_parts(spark, sf).partition_by("HybridDst", PARTS, 4).inc
+    return inc.select("he_id", "hv_id", F.spark_partition_id().alias("partition"))
+
+
+@query
+def csv_placed(spark, sf):
+    """Load, place and bound in one go: incidences per part."""
+    path = scratch_path(spark, "incidence-csv")
+    order_lines(spark, sf).write.csv(path)
+    graph = read_csv(spark, path, max_cardinality=4, partition=("HybridSrc", PARTS, CUTOFF))
+    return graph.inc.groupBy("part").agg(F.count("*").alias("incidences"))
+
+
+@query
+def components_of_dual(spark, sf):
+    return both(connected_components(orders_parts(spark, sf).dual()), "label")
+
+
 @query
 def partition_statistics(spark, sf):
     placed = assign_partitions(lines_as_edges(spark, sf), "HybridSrc", PARTS, CUTOFF)

@@ -168,12 +168,20 @@ class HyperGraph:
         """
         return projection.to_graph(self, value, combine, block)
 
+    def assign_parts(self, strategy: str, parts: int, threshold: int = placement.DEGREE_CUTOFF) -> HyperGraph:
+        """Add ``inc.part``, taking vertices as sources and hyperedges as destinations."""
+        edges = self.inc.select(F.col("hv_id").alias("src"), F.col("he_id").alias("dst"))
+        placed = placement.assign_partitions(edges, strategy, parts, threshold)
+        inc = placed.select(F.col("dst").alias("he_id"), F.col("src").alias("hv_id"), "part")
+        return HyperGraph(self.hv, self.he, inc, self.distinct)
+
+    def settle(self, parts: int) -> HyperGraph:
+        """Move each incidence to the Spark partition ``inc.part`` names."""
+        return HyperGraph(self.hv, self.he, placement.settle(self.inc, parts), self.distinct)
+
     def partition_by(self, strategy: str, parts: int, threshold: int = placement.DEGREE_CUTOFF) -> HyperGraph:
-        """Place incidences (vertex = source, hyperedge = destination); adds ``inc.part``."""
-        edges = self.inc.withColumnsRenamed({"hv_id": "src", "he_id": "dst"})
-        placed = placement.place(edges, strategy, parts, threshold)
-        inc = placed.withColumnsRenamed({"src": "hv_id", "dst": "he_id"})
-        return HyperGraph(self.hv, self.he, inc.select("he_id", "hv_id", "part"), self.distinct)
+        """:meth:`assign_parts` and :meth:`settle`."""
+        return self.assign_parts(strategy, parts, threshold).settle(parts)
 
     # -- supersteps -------------------------------------------------------------------
 

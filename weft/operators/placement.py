@@ -139,9 +139,13 @@ def assign_partitions(
     return placed.select(*edges.columns, "part")
 
 
+def settle(placed: DataFrame, n: int) -> DataFrame:
+    """Move each row to the Spark partition its ``part`` names."""
+    return placed.repartitionById(n, F.col("part"))
+
+
 def place(edges: DataFrame, strategy: str, n: int, threshold: int = DEGREE_CUTOFF) -> DataFrame:
-    """:func:`assign_partitions`, with each part moved to the Spark partition of its number."""
-    return assign_partitions(edges, strategy, n, threshold).repartitionById(n, F.col("part"))
+    return settle(assign_partitions(edges, strategy, n, threshold), n)
 
 
 def partition_stats(placed: DataFrame) -> DataFrame:

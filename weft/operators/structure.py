@@ -25,7 +25,7 @@ def id_shift(hv: DataFrame, he: DataFrame) -> int:
 def validate(inc: DataFrame, hv: DataFrame, he: DataFrame) -> None:
     problems = []
     for key, nodes in (("hv_id", hv), ("he_id", he)):
-        unknown = inc.join(nodes, inc[key] == nodes["id"], "left_anti").count()
+        unknown = inc.join(apart(nodes.select(F.col("id").alias(key))), key, "left_anti").count()
         if unknown:
             problems.append(f"{unknown} incidences name an unknown {key}")
         repeated = nodes.groupBy("id").count().where("count > 1").count()

@@ -10,6 +10,7 @@ and a lost executor costs no earlier half step; the state it replaces is deleted
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 from typing import TYPE_CHECKING
 
@@ -196,14 +197,18 @@ def compute(
         state = _run(start.select("id", "attr", "msg"), F.lit(True), vertex_program, 0)
         return graph.with_tables(hv=cut(state.rows.select("id", "attr")), he=graph.he)
 
-    links = graph.links().persist()
-    total = links.count()
-    with fixed_plans(spark, partitions_for(spark, total)):
-        routes = {
-            receiver: Routes(links.select(F.col(a).alias("src_id"), F.col(b).alias("dst_id"), "copies"), total)
-            for receiver, a, b in (("he", "hv_id", "he_id"), ("hv", "he_id", "hv_id"))
-        }
-        first = {role: arrange(getattr(graph, role).select("id", "attr")) for role in ("hv", "he")}
+    with ExitStack() as kept:
+        links = graph.links().persist()
+        kept.callback(links.unpersist)
+        total = links.count()
+        kept.enter_context(fixed_plans(spark, partitions_for(spark, total)))
+        routes, first = {}, {}
+        for receiver, a, b in (("he", "hv_id", "he_id"), ("hv", "he_id", "hv_id")):
+            directed = links.select(F.col(a).alias("src_id"), F.col(b).alias("dst_id"), "copies")
+            routes[receiver] = Routes(directed, total)
+            kept.callback(routes[receiver].release)
+            first[receiver] = arrange(getattr(graph, receiver).select("id", "attr"))
+            kept.callback(first[receiver].unpersist)
         state = {
             "hv": _run(first["hv"].withColumn("msg", initial), F.lit(True), vertex_program, 0),
             "he": _State(first["he"]),
@@ -236,8 +241,4 @@ def compute(
             role: (written[role] if role in written else cut(state[role].rows)).select("id", "attr")
             for role in ("hv", "he")
         }
-        for kept in (links, *first.values()):
-            kept.unpersist()
-        for kept in routes.values():
-            kept.release()
     return graph.with_tables(**done)

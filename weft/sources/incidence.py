@@ -18,16 +18,17 @@ def from_incidences(
 
     Hyperedge attributes are ``struct(card INT, weight INT = 1)`` where ``card`` counts
     rows, repeated ones too. A bound keeps only the hyperedges within it and the
-    vertices they touch; ``card`` is not recomputed.
+    vertices they touch; ``card`` is not recomputed. ``partition=(strategy, parts,
+    threshold)`` goes by the degrees before that, and moves what is left.
     """
     card = F.struct(F.count("*").cast("int").alias("card"), F.lit(1).alias("weight"))
     he = inc.groupBy(F.col("he_id").alias("id")).agg(card.alias("attr"))
     hv = inc.select(F.col("hv_id").alias("id")).distinct()
     top, bottom = inc.agg(F.max("hv_id"), F.min("he_id")).first()
     shift = 0 if top is None else top - bottom + 1
-    graph = HyperGraph.from_tables(inc, hv, he, partition, shift=shift)
-    if min_cardinality is None and max_cardinality is None:
-        return graph
+    graph = HyperGraph.from_tables(inc, hv, he, shift=shift)
+    if partition:
+        graph = graph.assign_parts(*partition)
 
     def within(_, attr):
         bound = F.lit(True)
@@ -37,7 +38,9 @@ def from_incidences(
             bound = bound & (attr["card"] <= max_cardinality)
         return bound
 
-    return graph.sub_hypergraph(hyperedge=within)
+    if min_cardinality is not None or max_cardinality is not None:
+        graph = graph.sub_hypergraph(hyperedge=within)
+    return graph.settle(partition[1]) if partition else graph
 
 
 def cardinality_bounds(argument: int) -> dict[str, int]:
