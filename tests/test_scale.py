@@ -87,8 +87,8 @@ def test_half_step_shuffles_messages_only(spark):
     links = spark.range(5000).selectExpr("id % 100 AS src_id", "id % 77 AS dst_id", "1L AS copies")
     with fixed_plans(spark, 4):
         routes = Routes(links, 5000)
-        state = cut(arrange(spark.range(100).withColumn("attr", F.lit(1.0))))
-        target = cut(arrange(spark.range(77).withColumn("attr", F.lit(0.0))))
+        state = cut(arrange(spark.range(100).withColumn("attr", F.lit(1.0)), 4))
+        target = cut(arrange(spark.range(77).withColumn("attr", F.lit(0.0)), 4))
         program = superstep.Program(lambda ss, id, attr, msg: superstep.Step(msg), "sum")
         rows = state.withColumn("_ran", F.lit(True)).withColumn("_sent0", F.lit(True))
         sender = superstep._State(

@@ -45,7 +45,12 @@ def merge_copies(links: DataFrame, keys: list[str]) -> DataFrame:
     return links.groupBy(*keys).agg(F.count("*").alias("copies"))
 
 
-def arrange(nodes: DataFrame) -> DataFrame:
-    """Node rows partitioned and sorted by ``id``, as :class:`Routes` expects, and kept."""
-    parts = shuffle_partitions(nodes.sparkSession)
-    return nodes.repartition(parts, "id").sortWithinPartitions("id").persist()
+def arrange(nodes: DataFrame, parts: int) -> DataFrame:
+    """Node rows partitioned and sorted by ``id``, as :class:`Routes` expects, and kept.
+
+    Computed at once, before a loop fixes its plans, so that whatever the node table
+    derives from is still planned adaptively, and its partitioning is known afterwards.
+    """
+    arranged = nodes.repartition(parts, "id").sortWithinPartitions("id").persist()
+    arranged.count()
+    return arranged

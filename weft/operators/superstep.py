@@ -201,14 +201,17 @@ def compute(
         links = graph.links().persist()
         kept.callback(links.unpersist)
         total = links.count()
-        kept.enter_context(fixed_plans(spark, partitions_for(spark, total)))
-        routes, first = {}, {}
+        parts = partitions_for(spark, total)
+        first = {}
+        for role in ("hv", "he"):
+            first[role] = arrange(getattr(graph, role).select("id", "attr"), parts)
+            kept.callback(first[role].unpersist)
+        kept.enter_context(fixed_plans(spark, parts))
+        routes = {}
         for receiver, a, b in (("he", "hv_id", "he_id"), ("hv", "he_id", "hv_id")):
             directed = links.select(F.col(a).alias("src_id"), F.col(b).alias("dst_id"), "copies")
             routes[receiver] = Routes(directed, total)
             kept.callback(routes[receiver].release)
-            first[receiver] = arrange(getattr(graph, receiver).select("id", "attr"))
-            kept.callback(first[receiver].unpersist)
         state = {
             "hv": _run(first["hv"].withColumn("msg", initial), F.lit(True), vertex_program, 0),
             "he": _State(first["he"]),
