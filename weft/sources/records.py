@@ -18,10 +18,15 @@ def _is(value: Column, kind: str) -> Column:
 
 
 def _classified(lines: DataFrame) -> DataFrame:
-    """Lines with their JSON parts and ``_form``: ``record``, ``misshapen`` or ``unparsable``."""
-    json = F.try_parse_json("value")
-    read = lines.select("*", json.alias("_json")).select(
-        "*", F.try_variant_get("_json", "$", "array<variant>").alias("_parts")
+    """Lines with their JSON parts and ``_form``: ``record``, ``misshapen`` or ``unparsable``.
+
+    The parts come out of a generator of one row. A later filter cannot move below it,
+    which would parse the line anew for every condition.
+    """
+    parts = F.try_variant_get("_json", "$", "array<variant>").alias("_parts")
+    parsed = F.struct(parts, F.col("_json").isNotNull().alias("_is_json"))
+    read = lines.select("*", F.try_parse_json("value").alias("_json")).select(
+        *lines.columns, F.inline(F.array(parsed))
     )
     title, year, people = (F.get("_parts", i) for i in range(3))
     read = read.select(
@@ -37,7 +42,7 @@ def _classified(lines: DataFrame) -> DataFrame:
         & F.col("_people").isNotNull()
     )
     form = (
-        F.when(F.col("_json").isNull(), "unparsable").when(shaped, "record").otherwise("misshapen")
+        F.when(~F.col("_is_json"), "unparsable").when(shaped, "record").otherwise("misshapen")
     )
     return read.withColumn("_form", form)
 
