@@ -7,13 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import linedup, mixing, packing, quality, simhash
+from weft.llm import extract, langid, linedup, mixing, packing, quality, simhash, viterbi
 from weft.llm.common import id_crc32, table
 
 #: Folder of the public vocabulary files; a parameter of every query that needs one.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 QUALITY_FOLDS, QUALITY_HELD = 4, 2
+LANG_FOLDS, LANG_HELD = 5, 0
 MIX = {"max_repeats": 2.0, "target_entropy": 0.999}
 
 
@@ -30,10 +31,27 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; the fold that is held out is never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.pmod(id_crc32(), F.lit(LANG_FOLDS)) == LANG_HELD, F.lit(False))
+    found = langid.identify(docs, langid.train(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return viterbi.count_tokens(table(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model")
+
+
+def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = linedup.drop_boilerplate(table(spark, sf_dir, "documents"))
     return clean.select("doc_id", "source", "text", F.length("text").cast("bigint").alias("n_chars"))
@@ -44,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_quality, op4_simhash, op6_packing, op9_line_dedup, op10_mixing)
+    f.__name__: f for f in (op1_quality, op4_simhash, op5_language, op6_packing, op7_token_counts, op8_extraction, op9_line_dedup, op10_mixing)
 }
 
 LINE_DEDUP_SQL = f"""
