@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import extract, langid, linedup, mixing, packing, quality, simhash, viterbi
+from weft.llm import extract, langid, linedup, mixing, neighbours, packing, quality, simhash, sketches, viterbi
 from weft.llm.common import id_crc32, table
 
 #: Folder of the public vocabulary files; a parameter of every query that needs one.
@@ -27,6 +27,16 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    base = table(spark, sf_dir, "embeddings")
+    return neighbours.search(base, base.where("vec_id % 20 = 0"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -62,7 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_quality, op4_simhash, op5_language, op6_packing, op7_token_counts, op8_extraction, op9_line_dedup, op10_mixing)
+    f.__name__: f for f in (op1_quality, op2_fingerprints, op3_neighbours, op4_simhash, op5_language, op6_packing, op7_token_counts, op8_extraction, op9_line_dedup, op10_mixing)
 }
 
 LINE_DEDUP_SQL = f"""
