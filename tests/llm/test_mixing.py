@@ -1,0 +1,86 @@
+import hashlib
+import math
+from collections import defaultdict
+
+import pytest
+from checks.compare import connect, difference
+from weft.llm import mixing, queries
+
+from .conftest import rows
+
+
+def words(text):
+    for c in "\t\n\v\f\r":
+        text = (text or "").replace(c, " ")
+    return len([w for w in text.split(" ") if w]) + 1
+
+
+def plain(docs, max_repeats, target, total_tokens=None):
+    """(doc, source, epoch, tokens, position) by the definition, one source at a time."""
+    by = defaultdict(list)
+    for i, text, source in docs:
+        by[source].append((i, words(text)))
+    totals = {s: sum(n for _, n in d) for s, d in by.items()}
+    whole, high, low = sum(totals.values()), max(totals.values()), min(totals.values())
+
+    def fine(i):
+        tau = i / mixing.STEPS
+        w = [(t / whole) ** tau for t in totals.values()]
+        z = sum(w)
+        entropy = -sum(x / z * math.log(x / z) for x in w) / math.log(len(w)) if len(w) > 1 else 0
+        return (max_repeats is None or (high / low) ** (1 - tau) <= max_repeats) and (target is None or entropy <= target)
+
+    a, b = 0, mixing.STEPS
+    while a < b:
+        a, b = (a, (a + b) // 2) if fine((a + b) // 2) else ((a + b) // 2 + 1, b)
+    out = []
+    norm = sum((t / high) ** (a / mixing.STEPS) for t in totals.values())
+    for source, docs in by.items():
+        weight = (totals[source] / high) ** (a / mixing.STEPS)
+        repeats = max(1.0, weight / (totals[source] / high)) if total_tokens is None else weight / norm * total_tokens / totals[source]
+        budget = totals[source] * round(repeats * 10**6) // 10**6
+        at, epoch = 0, 0
+        while at < budget:
+            def place(doc):
+                return int(hashlib.md5(f"{epoch}:{'null' if doc[0] is None else doc[0]}".encode()).hexdigest()[:8], 16)
+
+            for i, n in sorted(docs, key=lambda d: (place(d), d[0] is not None, d[0], d[1])):
+                if at < budget:
+                    out.append((i, source, epoch, n, at))
+                at += n
+            epoch += 1
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("limits", [(2.0, None), (None, 0.98), (1.0, None), (None, None), (3.0, 0.999)])
+def test_documents(some_docs, limits):
+    docs = [(r.doc_id, r.text, "hot" if r.doc_id % 3 == 0 else r.source) for r in some_docs.collect()]
+    frame = some_docs.sparkSession.createDataFrame(docs, "doc_id bigint, text string, source string")
+    found = mixing.mix(frame, max_repeats=limits[0], target_entropy=limits[1], block_docs=7)
+    assert sorted((tuple(r)[:5] for r in found.collect()), key=repr) == plain(docs, *limits)
+
+
+def test_given_budget_cuts_sources(some_docs):
+    docs = [(r.doc_id, r.text, r.source) for r in some_docs.collect()]
+    found = mixing.mix(some_docs, max_repeats=2.0, total_tokens=20_000).collect()
+    assert sorted((tuple(r)[:5] for r in found), key=repr) == plain(docs, 2.0, None, 20_000)
+    assert 20_000 <= sum(r.tokens for r in found) < 20_000 + 20 * max(r.tokens for r in found)
+
+
+def test_steps_hold_every_source_by_weight(some_docs):
+    found = mixing.mix(some_docs, max_repeats=None, target_entropy=None, step_tokens=40_000).toPandas()
+    shares = found.pivot_table(index="step", columns="source", values="tokens", aggfunc="sum").fillna(0)
+    assert shares.shape[0] >= 2
+    assert set(found["doc_id"]) == {r.doc_id for r in some_docs.collect()}
+
+
+def test_odd_rows(odd_docs, no_docs):
+    found = mixing.mix(odd_docs, max_repeats=2.0).collect()
+    assert sorted((tuple(r)[:5] for r in found), key=repr) == plain([(i, t, s) for i, t, _, s, _ in rows()], 2.0, None)
+    assert mixing.mix(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_sql(spark, name):
+    path = "/root/testdata/sf0.001"
+    assert difference(queries.QUERIES[name](spark, path).toPandas(), connect(path).execute(queries.ORACLE[name]).df()) == ""

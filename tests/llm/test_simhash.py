@@ -1,0 +1,100 @@
+import random
+from itertools import combinations
+
+import xxhash
+from weft.llm import simhash
+
+from .conftest import rows, sorted_rows
+
+
+def plain(text, k=3):
+    words, word = [], ""
+    for c in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "") + " ":
+        if c in " \t\n\v\f\r":
+            words, word = words + [word] * bool(word), ""
+        else:
+            word += c
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(bits, limit):
+    """Label of each distinct value by brute force."""
+    root = {b: b for b in bits}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in combinations(sorted(set(bits)), 2):
+        if (x ^ y).bit_count() <= limit:
+            a, b = sorted((find(x), find(y)))
+            root[b] = a
+    return {b: find(b) for b in bits}
+
+
+def expected(docs):
+    bits = [(i, plain(t)) for i, t in docs]
+    label = components([b for _, b in bits], 2)
+    first = {}
+    for i, b in bits:
+        if i is not None:
+            first[label[b]] = min(i, first.get(label[b], i))
+    return sorted(((i, f"{b:016x}", first.get(label[b])) for i, b in bits), key=repr)
+
+
+def test_every_pair_of_bits_is_left_out_by_some_mask():
+    for limit in (2, 4):
+        masks = simhash.masks(limit)
+        assert all(any(not m >> i & 1 and not m >> j & 1 for m in masks) for i, j in combinations(range(64), 2))
+
+
+def test_random_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("Ab cD éÄ x y ß  z".split(" ")) for _ in range(rng.randrange(0, 40))) for _ in range(150)]
+    texts += [t + " end" for t in texts[:60]] + texts[:20]
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert sorted_rows(simhash.near_duplicates(frame).select("doc_id", "fingerprint", "component_id")) == expected(docs)
+
+
+def test_crowded_buckets(spark):
+    rng = random.Random(4)
+    values = set()
+    for _ in range(4):
+        centre = rng.getrandbits(64)
+        values |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 4))) for _ in range(150)}
+    values |= {rng.getrandbits(64) for _ in range(200)}
+    signed = {v - (1 << 64) if v >> 63 else v for v in values}
+    links = simhash.links(spark.createDataFrame([(v,) for v in signed], "bits bigint")).collect()
+    assert all(((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 2 for r in links)
+    from weft.llm.common import connected
+
+    found = {r.node: r.root for r in connected(spark.createDataFrame([(r.a, r.b) for r in links], "a bigint, b bigint")).collect()}
+    full = {v % (1 << 64): root % (1 << 64) for v, root in found.items()}
+
+    def groups(label):
+        together = {}
+        for v in values:
+            together.setdefault(label.get(v, v), []).append(v)
+        return sorted(map(sorted, together.values()))
+
+    assert groups(full) == groups(components(values, 2))
+
+
+def test_long_chain(spark):
+    from weft.llm.common import connected
+
+    frame = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(5, 5), (300, 299)], "a bigint, b bigint")
+    found = {r.node: r.root for r in connected(frame).collect()}
+    assert found == {i: 0 for i in range(201)} | {299: 299, 300: 299}
+
+
+def test_odd_rows(odd_docs, no_docs):
+    want = expected([(i, t) for i, t, *_ in rows()])
+    assert sorted_rows(simhash.near_duplicates(odd_docs).select("doc_id", "fingerprint", "component_id")) == want
+    assert simhash.near_duplicates(no_docs).count() == 0

@@ -57,7 +57,7 @@ def drop_boilerplate(
         bad = F.broadcast(bad)
     joined = docs.join(bad, docs[host_col].eqNullSafe(bad["_line_host"]), "left")
     clean = F.array_join(
-        F.filter(_lines(docs[text_col]), lambda x: ~F.array_contains("_line_digests", F.md5(x)) | (F.trim(x) == "")), "\n"
+        F.filter(_lines(docs[text_col]), lambda x: ~F.array_contains(bad["_line_digests"], F.md5(x)) | (F.trim(x) == "")), "\n"
     )
-    text = F.when(F.col("_line_digests").isNull(), docs[text_col]).otherwise(clean)
+    text = F.when(bad["_line_digests"].isNull(), docs[text_col]).otherwise(clean)
     return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
