@@ -237,10 +237,12 @@ def deduce(tokens: pd.DataFrame) -> tuple[list[str], list[int]]:
     if marked:
         return sorted(marked[max(marked)]), texts
     chars = {}
-    for path, n in zip(tags["path"], tags["chars"]):
-        if path in paths and not element_of(path).noise:
-            while path:
-                chars[path] = chars.get(path, 0) + n
+    every = tokens[tokens["path"].notna()]
+    for path, n in zip(every["path"], every["chars"]):
+        if n and not element_of(path).noise:
+            while path:  # also what fills a slot counts for the template around it
+                if path in paths:
+                    chars[path] = chars.get(path, 0) + n
                 path = path.rpartition("/")[0]
     whole = max(chars.values(), default=0)
     best = [p for p, n in chars.items() if whole and n >= 0.6 * whole]
