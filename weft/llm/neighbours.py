@@ -23,7 +23,7 @@ from weft.llm.common import kept
 
 PIVOTS = 128
 PREFIX = 32
-RERANK = 0.25
+RERANK = 0.3
 LEAST = 500  # reranked in any case, so that a small block is searched whole
 BLOCK = 16_384
 QUERIES = 4_096
