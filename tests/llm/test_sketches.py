@@ -1,0 +1,84 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+from weft.llm import sketches
+
+from .conftest import rows
+
+
+def paragraphs(text):
+    parts = (re.split(r"(?<=[.!?])\s+", x) if len(x) > sketches.LONG_PARAGRAPH else [x] for x in (text or "").split("\n"))
+    return Counter(x for p in parts for x in p if x.strip(" "))
+
+
+def jaccard(a, b):
+    every = sum((a | b).values())
+    return sum((a & b).values()) / every if every else 1.0
+
+
+def expected(docs):
+    """By definition, for distinct (id, text) in descending order of id."""
+    out = {}
+    for at, (i, text) in enumerate(docs):
+        after = docs[(at + 1) % len(docs)][1]
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        own = paragraphs(text)
+        near = (round(jaccard(own, paragraphs(edited)), 9), round(jaccard(own, paragraphs(after)), 9))
+        out[i, hashlib.sha256(edited.encode()).hexdigest(), len(text)] = near
+    return out
+
+
+def got(found):
+    return {(r.doc_id, r.edited_sha256, r.n_chars): (round(r.near_edited, 9), round(r.near_next, 9)) for r in found}
+
+
+def test_documents(some_docs):
+    docs = sorted(((r.doc_id, r.text) for r in some_docs.collect()), reverse=True)
+    found = sketches.edit_fingerprints(some_docs).collect()
+    assert len(found) == len(docs) and got(found) == expected(docs)
+    by_text = {}
+    for r in found:
+        by_text.setdefault(dict(docs)[r.doc_id], set()).add(r.fingerprint)
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_large_differences_and_repeats(spark):
+    rng = random.Random(8)
+    lines = [f"line {i}" for i in range(4000)]
+    docs = [(i, "\n".join(rng.choice(lines) for _ in range(n))) for i, n in enumerate([1, 5, 30, 200, 1500, 6000, 6000])]
+    docs += [(20, "same\n" * 500), (21, "same\n" * 499 + "other\n"), (22, docs[5][1])]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert got(sketches.edit_fingerprints(frame).collect()) == expected(sorted(docs, reverse=True))
+
+
+@pytest.mark.parametrize("attempts", [0, 1])
+def test_falls_back_on_the_digests(spark, monkeypatch, attempts):
+    monkeypatch.setattr(sketches, "ATTEMPTS", attempts)
+    docs = [(i, "\n".join(f"{i // 2} {j}" for j in range(400 + i))) for i in range(6)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert got(sketches.edit_fingerprints(frame).collect()) == expected(docs[::-1])
+
+
+def test_peeling_gives_the_digests_back(spark):
+    texts = [(1, "a\nb\nc", "a\nc\nd\ne"), (2, "x", "x"), (3, "", "q\nq")]
+    frame = spark.createDataFrame(texts, "id int, left string, right string")
+    pairs = frame.select("id", sketches.digests(F.col("left")).alias("a"), sketches.digests(F.col("right")).alias("b"))
+    want = {r.id: (set(r.a) - set(r.b), set(r.b) - set(r.a)) for r in pairs.collect()}
+    found = sketches.recovered(pairs, ["id"]).collect()
+    assert all(r.ok for r in found) and {r.id: (set(r.only_a), set(r.only_b)) for r in found} == want
+
+
+def test_odd_rows(odd_docs, no_docs, spark):
+    distinct = {(i, t or "") for i, t, *_ in rows()}
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for t in {t for _, t in distinct}], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(distinct, key=lambda d: (d[0] is not None, -(d[0] or 0), hashes[d[1]]))
+    found = sketches.edit_fingerprints(odd_docs).collect()
+    assert len(found) == len(order) and got(found) == expected(order)
+    assert sketches.edit_fingerprints(no_docs).count() == 0
+    single = spark.createDataFrame([(1, "just one\ntext")], "doc_id bigint, text string")
+    assert got(sketches.edit_fingerprints(single).collect()) == expected([(1, "just one\ntext")])
