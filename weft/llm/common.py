@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,14 @@ def kept(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def worker_store() -> dict:
+    """Memory that a Python worker keeps from task to task, for caches of bounded size.
+
+    Functions of this package arrive with each task anew, so their own module does not last.
+    """
+    return vars(sys.modules["__main__"]).setdefault("_weft_store", {})
+
+
 def id_crc32(column: str = "doc_id") -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

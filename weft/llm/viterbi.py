@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import worker_store
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_WORDS = 400_000
@@ -111,13 +113,12 @@ def sentencepiece_pieces(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
-_COUNTERS: dict[str, UnigramCounter] = {}
-
-
 def _counter(path: str) -> UnigramCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = UnigramCounter(sentencepiece_pieces(path))
-    return _COUNTERS[path]
+    """One per Python worker, for all the tasks that it runs."""
+    store = worker_store()
+    if ("unigram", path) not in store:
+        store["unigram", path] = UnigramCounter(sentencepiece_pieces(path))
+    return store["unigram", path]
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
