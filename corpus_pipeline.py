@@ -38,9 +38,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
-    taken = mixing.mix(docs, **MIX).groupBy("doc_id").agg(F.count("*").alias("_times")).withColumnRenamed("doc_id", "_taken")
+    taken = mixing.mix(docs, **MIX).groupBy("doc_id").agg(F.count("*").alias("_times"))
+    taken = taken.select(F.col("doc_id").alias("_taken"), F.sequence(F.lit(1), F.col("_times")).alias("_copies"))
     joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]))
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(taken["_copies"]).alias("_copy")).select(*(F.col(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
