@@ -10,6 +10,7 @@ what blocks cost against packing everything in one place.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import kept
+from weft.llm.common import kept, worker_store
 
 MAX_TOKENS = 4096
 BLOCK_PIECES = 8192
@@ -32,47 +33,56 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordTokenizer:
-    """Ids of a tokenizer whose merges never cross its pre-tokens, as bytes, with pre-tokens remembered.
+    """Ids of a byte-level tokenizer that drops white space and never merges across pre-tokens.
 
-    Texts are normalised (NFC, lower case) and split here; the library encodes each
-    pre-token once. The memory is emptied when it holds ``cache`` pre-tokens.
+    White space splits a text into stretches; each distinct one is normalised (NFC, lower
+    case), split into pre-tokens and merged by the library's model once, and remembered as
+    bytes. The memory is emptied when it holds ``cache`` stretches.
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.cache, self.known = cache, {}
         self.split = regex.compile(SPLIT).findall
-        # texts with these go to the library whole: special tokens, and a capital whose lower case
-        # ends in a combining mark that would be reordered if a pre-token were normalised alone
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + ["\u0130"]
+        self.letters = byte_letters()
+        # texts with these go to the library whole: special tokens; control characters that only
+        # Python takes for white space; and a capital whose lower case ends in a combining mark
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([*map(re.escape, special), "[\x1c-\x1f\u0130]"])).search
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        if any(s in text for s in self.special):
+        if self.whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        words, known = self.split(text.lower()), self.known
+        parts, known = text.split(), self.known
         try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(known.__getitem__, parts))
         except KeyError:
             if len(known) > self.cache:
                 known.clear()
-            new = list(set(words).difference(known))
-            for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+            for part in set(parts).difference(known):
+                plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                words = (w.encode().decode("latin-1").translate(self.letters) for w in self.split(plain.lower()))
+                known[part] = b"".join(token.id.to_bytes(4, "little") for w in words for token in self.merge(w))
+            return b"".join(map(known.__getitem__, parts))
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+def byte_letters() -> dict[int, str]:
+    """The visible character by which byte-level vocabularies write each byte."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in seen else next(hidden)) for b in range(256)}
 
 
 def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    """One per Python worker, for all the tasks that it runs."""
+    store = worker_store()
+    if path not in store:
+        store[path] = WordTokenizer(path)
+    return store[path]
 
 
 def pieces(
