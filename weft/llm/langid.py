@@ -6,85 +6,139 @@ stored bit-sliced: slot i is a bit mask over languages, so the AND of an n-gram'
 slots names all languages whose filter contains it. A text's n-grams vote by per-language
 popcounts, corrected for the false positives that each filter's fill predicts.
 
-N-grams are counted over all training texts: words are counted in each task, their
-n-grams are summed by Spark, and only the filter, whose size is fixed, reaches the driver.
+N-grams (one to three lower-case letters, with a mark where a word begins or ends) are
+packed into 64-bit numbers and counted over all training texts, in each task and then by
+Spark; only the filter, whose size is fixed, reaches the driver. Texts are handled as
+arrays of code points, a bounded stretch at a time.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import kept
+from weft.llm.common import kept, worker_store
 
-SIZES = (1, 2, 3)
-SLOTS = 1 << 20
+SLOTS = 1 << 20  # a power of two
 HASHES = 4
 MIN_SHARE = 0.25
 MIN_COUNT = 2
 WORD_BITS = 62  # languages in one word of a slot
-HELD_WORDS = 300_000  # words counted or remembered at once
+STRETCH = 1 << 20  # characters handled at once
 UNKNOWN = "und"
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
+_POINT = 21  # bits of a code point
+_NONE = np.int64((1 << _POINT) - 1)  # fills the places of shorter n-grams
 
 
-def grams(word: str) -> list[str]:
-    """N-grams of a lower-case word with a mark at either end; marks alone are none."""
-    if len(word) > 64:  # a run of letters without spaces: marks would be noise, and parts overlap by the longest n-gram
-        text = word
-    else:
-        text = f" {word} "
-    return [text[i : i + n] for n in SIZES for i in range(len(text) - n + 1) if n > 1 or text[i] != " "]
+def letters() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    store = worker_store()
+    if "letters" not in store:
+        store["letters"] = np.array([chr(c).isalpha() for c in range(0x110000)])
+    return store["letters"]
 
 
-def _slots(value: int, slots: int) -> list[int]:
-    """Slots of an n-gram from the two halves of its XXH64 (signed or not)."""
-    first, second = value & 0xFFFFFFFF, (value >> 32) & 0xFFFFFFFF | 1
-    return [(first + i * second) % slots for i in range(HASHES)]
+def stretches(texts: list[str | None]):
+    """``(stream, owners, sizes)`` of about ``STRETCH`` characters: code points, 0 for all that
+    is no letter, and whose text each run of ``sizes`` belongs to. A text longer than that is
+    cut at a blank (without one, at the limit), so its words stay whole.
+    """
+    parts, owners, size = [], [], 0
+    for i, text in enumerate(texts):
+        text, at = (text or "").lower(), 0
+        while at < len(text) or not text:
+            end = min(len(text), at + STRETCH)
+            if end < len(text):
+                end = max(text.rfind(" ", at, end), at) if text.rfind(" ", at, end) > at else end
+            parts.append(text[at:end])
+            owners.append(i)
+            size += end - at
+            at = end
+            if size >= STRETCH:
+                yield _stream(parts), np.array(owners), np.array([len(p) + 2 for p in parts])
+                parts, owners, size = [], [], 0
+            if not text:
+                break
+    if parts:
+        yield _stream(parts), np.array(owners), np.array([len(p) + 2 for p in parts])
+
+
+def _stream(parts: list[str]) -> np.ndarray:
+    """Each part between two marks."""
+    points = np.frombuffer(("\0" + "\0\0".join(parts) + "\0").encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    return np.where(letters()[points], points, 0)
+
+
+def packed_grams(stream: np.ndarray):
+    """``(packed, real)`` for each size: the n-gram that ends, or for three letters is centred, at each place."""
+    before, after = np.concatenate([[0], stream[:-1]]), np.concatenate([stream[1:], [0]])
+    letter = stream > 0
+    yield (stream << 2 * _POINT) | (_NONE << _POINT) | _NONE, letter
+    yield (before << 2 * _POINT) | (stream << _POINT) | _NONE, letter | (before > 0)
+    yield (before << 2 * _POINT) | (stream << _POINT) | after, letter
+
+
+def slots_of(packed: np.ndarray, slots: int) -> list[np.ndarray]:
+    """``HASHES`` slots of each n-gram, by double hashing of the halves of a mixed product."""
+    x = packed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    first, second = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
+    return [((first + np.uint64(i) * second) & np.uint64(slots - 1)).astype(np.int64) for i in range(HASHES)]
+
+
+def counted(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct packed n-grams of a stream and their numbers."""
+    points = np.flatnonzero(np.bincount(stream))  # the alphabet in use, 0 first if present
+    small = np.searchsorted(points, stream)
+    names, numbers = [], []
+    for size, (packed, real) in zip((1, 2, 3), packed_grams(stream)):
+        if len(points) ** size > 1 << 24:  # a large alphabet: sort instead of counting in place
+            found, n = np.unique(packed[real], return_counts=True)
+        else:
+            before, after = np.concatenate([[0], small[:-1]]), np.concatenate([small[1:], [0]])
+            place = {1: small, 2: before * len(points) + small, 3: (before * len(points) + small) * len(points) + after}[size]
+            n = np.bincount(place[real], minlength=1)
+            used = np.flatnonzero(n)
+            where = np.empty(len(n), np.int64)
+            where[place[real]] = packed[real]
+            found, n = where[used], n[used]
+        names.append(found)
+        numbers.append(n)
+    return np.concatenate(names), np.concatenate(numbers)
 
 
 def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """``(lang, gram, n)`` over all rows with a text and a language."""
 
     def count(batches):
-        words: dict[str, Counter] = {}
-        held = 0
-
-        def flush():
-            rows = []
-            for lang, counter in words.items():
-                found = Counter()
-                for word, n in counter.items():
-                    for g in grams(word):
-                        found[g] += n
-                rows += [(lang, g, n) for g, n in found.items()]
-            words.clear()
-            columns = list(zip(*rows)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["lang", "gram", "n"]
-            )
+        sums: dict[str, list] = {}
+
+        def settle(lang):
+            names, numbers = (np.concatenate(x) for x in zip(*sums[lang]))
+            found, back = np.unique(names, return_inverse=True)
+            sums[lang] = [(found, np.bincount(back, weights=numbers).astype(np.int64))]
 
         for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-                own = words.setdefault(lang, Counter())
-                before = len(own)
-                own.update(_WORDS(text.as_py().lower()))
-                held += len(own) - before
-                if held > HELD_WORDS:
-                    yield flush()
-                    held = 0
-        yield flush()
+            by: dict[str, list] = {}
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by.setdefault(lang, []).append(text)
+            for lang, texts in by.items():
+                for stream, _, _ in stretches(texts):
+                    sums.setdefault(lang, []).append(counted(stream))
+                    if len(sums[lang]) > 8:
+                        settle(lang)
+        for lang in sums:
+            settle(lang)
+            names, numbers = sums[lang][0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names), pa.array(numbers)], ["lang", "gram", "n"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    return rows.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -93,13 +147,29 @@ class LanguageModel:
     table: np.ndarray  # (slots, words) masks over languages
     false_rate: np.ndarray  # of each language's filter
 
-    def members(self, found: list[str]) -> np.ndarray:
-        """(n-grams, languages) booleans: whose filter contains each."""
-        values = [xxhash.xxh64_intdigest(g.encode("utf-8", "replace"), 42) for g in found]
-        slots = np.array([_slots(v, len(self.table)) for v in values], np.int64).reshape(-1, HASHES)
-        masks = np.bitwise_and.reduce(self.table[slots], axis=1)
-        number = np.arange(len(self.langs))
-        return (masks[:, number // WORD_BITS] >> (number % WORD_BITS)) & 1 == 1
+    def masks(self, packed: np.ndarray) -> np.ndarray:
+        """(n-grams, words): the languages whose filter contains each."""
+        first, *others = slots_of(packed, len(self.table))
+        found = self.table[first]
+        for slots in others:
+            found &= self.table[slots]
+        return found
+
+    def votes(self, texts: list[str | None]) -> np.ndarray:
+        """A row per text: number of n-grams, then of those in each language's filter."""
+        out = np.zeros((len(texts), len(self.langs) + 1))
+        for stream, owners, sizes in stretches(texts):
+            starts = np.cumsum(sizes) - sizes
+            for packed, real in packed_grams(stream):
+                found = self.masks(packed[real])
+                ends = np.concatenate([[0], np.cumsum(real)])  # of the real ones before each place
+                bounds = ends[np.append(starts, len(stream))]
+                np.add.at(out[:, 0], owners, np.diff(bounds))
+                for i in range(len(self.langs)):
+                    bits = ((found[:, i // WORD_BITS] >> (i % WORD_BITS)) & 1).astype(np.int8)
+                    sums = np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
+                    np.add.at(out[:, i + 1], owners, np.diff(sums[bounds]))
+        return out
 
     def vote(self, total: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language number and score for rows of n-gram totals and per-language hits."""
@@ -119,11 +189,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", slots
     rates = counts.where(F.col("n") >= MIN_COUNT).join(names, "lang").select("gram", "i", (F.col("n") / F.col("total")).alias("rate"))
     most = F.max("rate").over(Window.partitionBy("gram"))  # at most a row per language
     own = rates.withColumn("most", most).where(F.col("rate") >= MIN_SHARE * F.col("most"))
-    value = F.xxhash64("gram")
-    first, second = value.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(value, 32).bitwiseOR(F.lit(1))
-    places = F.explode(F.array(*((first + second * i) % slots for i in range(HASHES)))).alias("slot")
-    bit = F.expr(f"shiftleft(1L, i % {WORD_BITS})").alias("bit")
-    sliced = own.select(places, F.expr(f"i div {WORD_BITS}").cast("int").alias("word"), bit).groupBy("slot", "word").agg(F.expr("bit_or(bit)").alias("mask"))
+
+    def place(batches):
+        for batch in batches:
+            at = np.concatenate(slots_of(batch.column(0).to_numpy(), slots))
+            lang = np.tile(batch.column(1).to_numpy(), HASHES)
+            columns = [pa.array(at), pa.array((lang // WORD_BITS).astype(np.int32)), pa.array(np.int64(1) << (lang % WORD_BITS).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["slot", "word", "bit"])
+
+    places = own.select("gram", "i").mapInArrow(place, "slot bigint, word int, bit bigint")
+    sliced = places.groupBy("slot", "word").agg(F.expr("bit_or(bit)").alias("mask"))
     table = np.zeros((slots, -(-len(langs) // WORD_BITS)), np.int64)
     for batch in sliced.toArrow().to_batches():  # at most ``slots`` rows a word
         table[batch.column(0).to_numpy(), batch.column(1).to_numpy()] = batch.column(2).to_numpy()
@@ -132,44 +207,6 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", slots
     return LanguageModel(langs, table, np.minimum(fill**HASHES, 0.999))
 
 
-class WordVotes:
-    """N-gram totals and per-language hits of words, remembered as rows of a growing table."""
-
-    def __init__(self, model: LanguageModel):
-        self.model, self.rows, self.votes = model, {}, np.zeros((0, len(model.langs) + 1))
-
-    def of(self, texts: list[str | None]) -> np.ndarray:
-        """A row per text: n-gram total, then hits per language."""
-        out = np.zeros((len(texts), len(self.model.langs) + 1))
-        for i, text in enumerate(texts):
-            words = _WORDS((text or "").lower())
-            try:
-                known = list(map(self.rows.__getitem__, words))
-            except KeyError:
-                self.learn(words)
-                known = list(map(self.rows.__getitem__, words))
-            if known:
-                numbers = np.bincount(np.array(known), minlength=1)
-                used = np.flatnonzero(numbers)
-                out[i] = numbers[used] @ self.votes[used]
-        return out
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.rows) > HELD_WORDS:
-            self.rows.clear()
-            self.votes = self.votes[:0]
-        new = sorted(set(words).difference(self.rows))
-        found = [grams(w) for w in new]
-        sizes = np.array([len(g) for g in found])
-        inside = self.model.members([g for part in found for g in part])
-        ends = np.cumsum(sizes)
-        sums = np.vstack([np.zeros(inside.shape[1]), np.cumsum(inside, axis=0)])
-        hits = sums[ends] - sums[ends - sizes]
-        start = len(self.votes)
-        self.rows.update((w, start + i) for i, w in enumerate(new))
-        self.votes = np.vstack([self.votes, np.column_stack([sizes, hits])])
-
-
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, lang_pred, score)`` per row; ``und`` with score 0 for null or letterless texts.
 
@@ -180,13 +217,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.false_rate))
 
     def run(batches):
-        votes = None
         for batch in batches:
-            votes = votes or WordVotes(LanguageModel(*sent.value))
-            langs = votes.model.langs
+            model = LanguageModel(*sent.value)
+            langs = model.langs
             if langs:
-                sums = votes.of(batch.column(1).to_pylist())
-                best, score = votes.model.vote(sums[:, 0], sums[:, 1:])
+                sums = model.votes(batch.column(1).to_pylist())
+                best, score = model.vote(sums[:, 0], sums[:, 1:])
                 names = [langs[b] if n else UNKNOWN for b, n in zip(best, sums[:, 0])]
                 score = np.where(sums[:, 0] > 0, np.clip(score, 0, 1), 0.0)
             else:
