@@ -132,6 +132,18 @@ UNION ALL
 SELECT he.id, {value.format(f"coalesce(x.val, {e_else})")} AS {name} FROM he LEFT JOIN {e} x ON x.id = he.id"""
 
 
+def small_components() -> str:
+    """Orders of at most two lines: many components, some long. Repeats until nothing changes."""
+    return orders(""",
+few AS (SELECT id FROM he WHERE card <= 2 AND card > 0),
+link AS MATERIALIZED (SELECT DISTINCT inc.he, inc.hv FROM inc JOIN few ON few.id = inc.he),
+edge AS MATERIALIZED (SELECT DISTINCT a.he AS a, b.he AS b FROM link a JOIN link b ON a.hv = b.hv),
+reach AS (SELECT a AS root, a AS id FROM edge UNION SELECT r.root, e.b FROM reach r JOIN edge e ON e.a = r.id),
+label AS (SELECT id, max(root) AS label FROM reach GROUP BY id)
+SELECT id, label FROM label UNION ALL
+SELECT hv, max(label) FROM link JOIN label ON label.id = link.he GROUP BY hv""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def components(rounds: int) -> str:
     ctes = ", v0 AS MATERIALIZED (SELECT id, id AS val FROM hv)"
     for k in range(rounds):
@@ -318,6 +330,20 @@ def hybrid(key: str, n: int, cutoff: int) -> str:
     )
 
 
+def wrapped(x: str) -> str:
+    """A whole number as the signed 64-bit one that it wraps to."""
+    u = f"((({x}) % {TWO64} + {TWO64}) % {TWO64})"
+    return f"(CASE WHEN {u} >= {TWO63} THEN {u} - {TWO64} ELSE {u} END)"
+
+
+def wide(part: str, source: str = "edges") -> str:
+    """Ids spread over all 64 bits by an odd multiplier."""
+    spread = wrapped("(l_orderkey::HUGEINT * 2654435761::HUGEINT * 4294967291::HUGEINT) % 18446744073709551616::HUGEINT")
+    return f"""WITH edges AS (
+  SELECT -(l_partkey::HUGEINT) * 4611686018427387 AS src, {spread} AS dst FROM lineitem)
+SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST({part} AS INTEGER) AS part FROM {source}"""
+
+
 def uneven_grid(n: int, side: int) -> str:
     rows = -(-n // side)
     last = n - rows * (side - 1)
@@ -326,35 +352,29 @@ def uneven_grid(n: int, side: int) -> str:
     return f"{col} * {rows} + {hashed('dst', height)}"
 
 
-def greedy(key: str, n: int, batch_rows: int) -> str:
-    """One recursion step per node and batch, carrying the loads of the partitions."""
+def greedy(key: str, n: int, rounds: int) -> str:
+    """Loads after each round feed the scores of the next one."""
     other = "dst" if key == "src" else "src"
-    batches = f"SELECT greatest(1, (count(*) + {batch_rows - 1}) // {batch_rows}) FROM ov"
-    batch = f"CAST({pair('id', '0::BIGINT', batches)} AS INTEGER)"
-    overlap = ", ".join(f"sum(CASE WHEN bucket = {i} THEN c ELSE 0 END)::DOUBLE" for i in range(n))
-    return f"""WITH RECURSIVE edges AS MATERIALIZED (SELECT l_partkey AS src, l_orderkey AS dst FROM lineitem),
-ov AS MATERIALIZED (
-  SELECT {key} AS id, CAST({hashed(other, n)} AS INTEGER) AS bucket, count(*) AS c FROM edges GROUP BY ALL),
+    ctes = f"""WITH edges AS (SELECT l_partkey AS src, l_orderkey AS dst FROM lineitem),
+o AS MATERIALIZED (SELECT {key} AS id, {hashed(other, n)} AS bucket, count(*) AS edges FROM edges GROUP BY ALL),
 nodes AS MATERIALIZED (
-  SELECT id, batch, home, overlap, total, row_number() OVER (PARTITION BY batch ORDER BY id) AS r FROM (
-    SELECT id, {batch} AS batch, CAST({hashed('id', n)} AS INTEGER) AS home, [{overlap}] AS overlap,
-           sum(c)::DOUBLE AS total
-    FROM ov GROUP BY id)),
-run AS (
-  SELECT DISTINCT batch, 0::BIGINT AS r, 0::BIGINT AS id, 0 AS part,
-         list_transform(range({n}), lambda i: 0::DOUBLE) AS load FROM nodes
-  UNION ALL
-  SELECT batch, r, id, part,
-         list_transform(range({n}), lambda i: load[i + 1] + CASE WHEN i = part THEN total ELSE 0 END) AS load
-  FROM (
-    SELECT batch, r, id, load, total,
-           CASE WHEN list_max(score) > score[home + 1] THEN list_position(score, list_max(score)) - 1
-                ELSE home END AS part
-    FROM (
-      SELECT nodes.*, load,
-             list_transform(range({n}), lambda i: overlap[i + 1] - sqrt(load[i + 1])) AS score
-      FROM run JOIN nodes ON nodes.batch = run.batch AND nodes.r = run.r + 1)))
-SELECT src, dst, CAST(part AS INTEGER) AS part FROM edges JOIN run ON run.id = {key} AND run.r > 0"""
+  SELECT id, sum(edges) AS edges, {hashed('id', n)} AS home, {pair('id', '0', rounds)} AS round FROM o GROUP BY id),
+l0 AS (SELECT b AS bucket, 0.0::DOUBLE AS load FROM range({n}) r(b))"""
+    for k in range(rounds):
+        ctes += f""",
+p{k} AS MATERIALIZED (
+  SELECT id, any_value(edges) AS edges,
+    CASE WHEN max(score) > max(score) FILTER (WHERE bucket = home)
+         THEN min(bucket) FILTER (WHERE score = top) ELSE any_value(home) END AS part
+  FROM (SELECT *, max(score) OVER (PARTITION BY id) AS top FROM (
+    SELECT nodes.id, nodes.edges, home, l.bucket, coalesce(o.edges, 0)::DOUBLE - sqrt(l.load) AS score
+    FROM nodes CROSS JOIN l{k} l LEFT JOIN o ON o.id = nodes.id AND o.bucket = l.bucket WHERE round = {k}))
+  GROUP BY id),
+l{k + 1} AS MATERIALIZED (
+  SELECT l.bucket, load + coalesce(sum(edges), 0)::DOUBLE AS load
+  FROM l{k} l LEFT JOIN p{k} ON part = l.bucket GROUP BY l.bucket, load)"""
+    every = " UNION ALL ".join(f"SELECT id, part FROM p{k}" for k in range(rounds))
+    return ctes + f" SELECT src, dst, CAST(part AS INTEGER) AS part FROM edges JOIN ({every}) ON id = {key}"
 
 
 RECORDS = """
@@ -365,6 +385,7 @@ rec0 AS (
 """
 
 
+
 def build() -> dict[str, str]:
     sql = {
         "hg_summary": """SELECT (SELECT count(*) FROM part) AS num_vertices,
@@ -476,8 +497,15 @@ def build() -> dict[str, str]:
         "part_default": placed(hashed("src + dst", 12)),
         "part_hybrid_src": hybrid("src", 12, 30),
         "part_hybrid_dst": hybrid("dst", 12, 4),
-        "part_greedy_src": greedy("src", 12, 200_000),
-        "part_greedy_dst": greedy("dst", 12, 200_000),
+        "part_greedy_src": greedy("src", 12, 16),
+        "part_greedy_dst": greedy("dst", 12, 16),
+        "part_greedy_src_rounds": greedy("src", 12, 5),
+        "part_greedy_dst_rounds": greedy("dst", 12, 40),
+        "part_default_wide_ids": wide(hashed(wrapped("src + dst"), 12)),
+        "part_hybrid_wide_ids": wide(
+            f"CASE WHEN d > 4 THEN {positive('src', 12)} ELSE {positive('dst', 12)} END",
+            "(SELECT *, count(*) OVER (PARTITION BY dst) AS d FROM edges)",
+        ),
     }
     shifted = "(SELECT max(p_partkey) FROM part) - (SELECT min(o_orderkey) FROM orders) + 1"
     part = (
@@ -491,6 +519,12 @@ def build() -> dict[str, str]:
     sql["csv_placed"] = f"""WITH {BY_LINES}, p AS (SELECT he, CAST({part} AS INTEGER) AS part FROM inc)
         SELECT part, count(*) AS incidences FROM p JOIN he ON he.id = p.he WHERE card <= 4 GROUP BY part"""
     sql["components_of_dual"] = components(10)
+    sql["components_small"] = sql["components_small_dual"] = small_components()
+    sql["nested_map_messages"] = orders("""SELECT inc.he AS id, p_brand AS brand, p_size AS size, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total
+        FROM inc JOIN hv ON hv.id = inc.hv GROUP BY inc.he, p_brand, p_size""")
+    sql["list_messages"] = orders("""SELECT inc.he AS id, count(*) AS n, CAST(sum(inc.hv * p_size) AS BIGINT) AS total, min(inc.hv) AS low
+        FROM inc JOIN hv ON hv.id = inc.hv GROUP BY inc.he""")
+    sql["sketch_messages"] = sql["neighbours_wide"] = "SELECT o_orderkey AS id, true AS close FROM orders"
     sql["partition_statistics"] = f"""WITH p AS ({sql['part_hybrid_src']}),
         sizes AS (SELECT part, count(*) AS n FROM p GROUP BY part),
         s AS (SELECT avg(n) AS m FROM (SELECT count(DISTINCT part) AS n FROM p GROUP BY src)),

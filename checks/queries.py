@@ -546,6 +546,88 @@ def folded_messages(spark, sf):
     return done.he.select("id", *found)
 
 
+@query
+def nested_map_messages(spark, sf):
+    """Brands, in them sizes, in them a count and a sum: a map of maps of structs per order."""
+    kind = "map<string,map<int,struct<n:bigint,total:bigint>>>"
+    graph = orders_parts(spark, sf, "p_brand")
+    sizes = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("value"))
+    graph = graph.update_vertices(sizes.select("id", F.col("value").cast("string").alias("value")), lambda brand, size: F.concat_ws("|", brand, size))
+    graph = graph.map_hyperedges(lambda *_: F.lit(None).cast(kind))
+
+    def vertex(superstep, id, attr, msg):
+        brand, size = F.split_part(attr, F.lit("|"), F.lit(1)), F.split_part(attr, F.lit("|"), F.lit(2)).cast("int")
+        leaf = F.struct(F.lit(1).cast("bigint").alias("n"), size.cast("bigint").alias("total"))
+        return Step(sends=[Send(F.create_map(brand, F.create_map(size, leaf)))])
+
+    def hyperedge(superstep, id, attr, msg):
+        return Step(msg)
+
+    done = graph.compute(1, zero(), Program(vertex), Program(hyperedge, "sum"))
+    rows = done.he.select("id", F.explode("attr").alias("brand", "sizes"))
+    return rows.select("id", "brand", F.explode("sizes").alias("size", "leaf")).select("id", "brand", "size", "leaf.n", "leaf.total")
+
+
+@query
+def list_messages(spark, sf):
+    """A struct with a list and a sum per order; both implied by the message type."""
+    graph = orders_parts(spark, sf, "p_size").map_hyperedges(
+        lambda *_: F.lit(None).cast("struct<ids:array<bigint>,total:bigint>")
+    )
+
+    def vertex(superstep, id, size, msg):
+        return Step(sends=[Send(F.struct(F.array(id).alias("ids"), (id * size).alias("total")))])
+
+    def hyperedge(superstep, id, attr, msg):
+        return Step(msg)
+
+    done = graph.compute(1, zero(), Program(vertex), Program(hyperedge, "sum")).he.where("attr is not null")
+    return done.select("id", F.size("attr.ids").cast("bigint").alias("n"), "attr.total", F.array_min("attr.ids").alias("low"))
+
+
+def flagged_lots(spark, sf) -> HyperGraph:
+    """Orders as vertices; a hyperedge for each supplier and return flag, hundreds of orders in it."""
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    lots = table(spark, sf, "lineitem").select((F.col("l_suppkey") * 3 + flag).alias("he_id"), F.col("l_orderkey").alias("hv_id"))
+    return HyperGraph.from_tables(
+        lots.distinct(), table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), lots.select(F.col("he_id").alias("id")).distinct(), distinct=True
+    )
+
+
+def close_to_exact(graph: HyperGraph, estimates: DataFrame) -> DataFrame:
+    """Whether each estimate is within 8 % (five standard errors) of the exact count."""
+    exact = neighbour_counts(graph, exact=True)
+    near = F.abs(F.col("estimate") - F.col("neighbours")) <= 0.08 * F.col("neighbours")
+    return exact.join(estimates, "id").select("id", near.alias("close"))
+
+
+@query
+def neighbours_wide(spark, sf):
+    """Neighbour counts far beyond what a sketch counts exactly."""
+    graph = flagged_lots(spark, sf)
+    return close_to_exact(graph, neighbour_counts(graph).select("id", "estimate"))
+
+
+@query
+def sketch_messages(spark, sf):
+    """The same as a program: sketches are messages, united by the combiner that their type implies."""
+    graph = flagged_lots(spark, sf)
+    own = graph.hv.groupBy("id").agg(F.hll_sketch_agg("id", F.lit(12)).alias("attr"))
+    graph = graph.with_tables(own, graph.he.withColumn("attr", F.lit(None).cast("binary")))
+
+    def vertex(superstep, id, attr, msg):
+        return Step(sends=[Send(attr)]) if superstep == 0 else Step(msg)
+
+    def hyperedge(superstep, id, attr, msg):
+        return Step(msg, [Send(msg)])
+
+    done = graph.compute(2, F.lit(None).cast("binary"), Program(vertex), Program(hyperedge))
+    alone = graph.links().select(F.col("hv_id").alias("id")).distinct().withColumn("linked", F.lit(True))
+    found = done.hv.join(alone, "id", "left")
+    estimate = F.when(F.col("linked"), F.hll_sketch_estimate("attr")).otherwise(0)
+    return close_to_exact(graph, found.select("id", estimate.alias("estimate")))
+
+
 # -- algorithms ---------------------------------------------------------------------------
 
 
@@ -554,6 +636,21 @@ def connected_components_labels(spark, sf):
     return both(connected_components(orders_parts(spark, sf)), "label")
 
 
+def few_lines(spark, sf) -> HyperGraph:
+    """Orders of one or two lines: many components, some of them long."""
+    return orders_parts(spark, sf).sub_hypergraph(hyperedge=lambda _, attr: (attr["card"] > 0) & (attr["card"] <= 2))
+
+
+@query
+def components_small(spark, sf):
+    return both(connected_components(few_lines(spark, sf)), "label")
+
+
+@query
+def components_small_dual(spark, sf):
+    return both(connected_components(few_lines(spark, sf).dual()), "label")
+
+
 @query
 def label_propagation_labels(spark, sf):
     return both(label_propagation(orders_parts(spark, sf), 3), "label")
@@ -623,16 +720,41 @@ PLACEMENTS = {
     "part_hybrid_dst": ("HybridDst", PARTS, 4),
     "part_greedy_src": ("GreedySrc", PARTS, CUTOFF),
     "part_greedy_dst": ("GreedyDst", PARTS, CUTOFF),
+    "part_greedy_src_rounds": ("GreedySrc", PARTS, CUTOFF, 5),
+    "part_greedy_dst_rounds": ("GreedyDst", PARTS, CUTOFF, 40),
 }
 
 
-def _placement(strategy, parts, cutoff):
+def _placement(strategy, parts, cutoff, rounds=16):
     def run(spark, sf):
-        return assign_partitions(lines_as_edges(spark, sf), strategy, parts, cutoff)
+        return assign_partitions(lines_as_edges(spark, sf), strategy, parts, cutoff, rounds)
 
     return run
 
 
+def wide_edges(spark, sf) -> DataFrame:
+    """Edges whose ids are spread over all 64 bits: one by a large factor, one by the product
+    with an odd number, modulo 2^64."""
+    factor = (2654435761 * 4294967291) % (1 << 64)
+    low, high = factor & 0xFFFFFFFF, factor >> 32
+    # (order * factor) mod 2^64 from 32-bit halves; order keys are below 2^31
+    id = F.col("he_id")
+    bottom = id * low
+    top = (F.shiftrightunsigned(bottom, 32) + (id * high).bitwiseAND(0xFFFFFFFF)).bitwiseAND(0xFFFFFFFF)
+    spread = F.shiftleft(top, 32).bitwiseOR(bottom.bitwiseAND(0xFFFFFFFF))
+    return order_lines(spark, sf).select((-F.col("hv_id") * 4611686018427387).alias("src"), spread.alias("dst"))
+
+
+@query
+def part_default_wide_ids(spark, sf):
+    return assign_partitions(wide_edges(spark, sf), "Default", PARTS)
+
+
+@query
+def part_hybrid_wide_ids(spark, sf):
+    return assign_partitions(wide_edges(spark, sf), "HybridDst", PARTS, 4)
+
+
 for _name, _arguments in PLACEMENTS.items():
     CATALOGUE[_name] = _placement(*_arguments)
 

@@ -192,3 +192,10 @@ def test_neighbour_counts(tree):
     assert exact == expected
     for row in neighbour_counts(tree).collect():
         assert row.low <= expected[row.id] <= row.high
+
+
+def test_a_long_chain_is_one_component(spark):
+    """Forty hyperedges in a row need more rounds than any fixed number would allow."""
+    rows = [(i, j) for i in range(40) for j in (i, i + 1)]
+    done = connected_components(incidence_graph(spark, rows))
+    assert len(set(values(done.hv).values()) | set(values(done.he).values())) == 1

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weft.functions import hash_part, times_prime
+from weft.functions import hash_part, pair_part, times_prime
 from weft.operators.placement import STRATEGIES, assign_partitions, partition_stats, place
 
 PRIME = 1125899906842597
@@ -88,29 +88,45 @@ def test_hybrid(edges, end, name):
     assert {degree[e[end]] > cutoff for e in got} == {True, False}
 
 
+@pytest.mark.parametrize("rounds", [1, 3, 16])
 @pytest.mark.parametrize("end, name", [(0, "GreedySrc"), (1, "GreedyDst")])
-def test_greedy(edges, end, name):
+def test_greedy(spark, edges, end, name, rounds):
+    """Nodes of a round see the loads of the rounds before it."""
     rows, n = [(r.src, r.dst) for r in edges.collect()], 4
+    nodes = sorted({row[end] for row in rows})
+    dealt = spark.createDataFrame([(x,) for x in nodes], "id bigint").select("id", pair_part(F.col("id"), F.lit(0), rounds).alias("r"))
+    turn = {r.id: r.r for r in dealt.collect()}
     load, expected = [0] * n, {}
-    for node in sorted({row[end] for row in rows}):
-        overlap = [0] * n
-        for row in rows:
-            if row[end] == node:
-                overlap[h(row[1 - end], n)] += 1
-        best = h(node, n)
-        for part in range(n):
-            if overlap[part] - math.sqrt(load[part]) > overlap[best] - math.sqrt(load[best]):
-                best = part
-        load[best] += sum(overlap)
-        expected[node] = best
-    got = by_edge(assign_partitions(edges, name, n))
+    for now in range(rounds):
+        placed = [0] * n
+        for node in (x for x in nodes if turn[x] == now):
+            overlap = [0] * n
+            for row in rows:
+                if row[end] == node:
+                    overlap[h(row[1 - end], n)] += 1
+            best = h(node, n)
+            for part in range(n):
+                if overlap[part] - math.sqrt(load[part]) > overlap[best] - math.sqrt(load[best]):
+                    best = part
+            placed[best] += sum(overlap)
+            expected[node] = best
+        load = [a + b for a, b in zip(load, placed)]
+    got = by_edge(assign_partitions(edges, name, n, rounds=rounds))
     assert got == {e: expected[e[end]] for e in got}
 
 
-def test_greedy_in_batches_keeps_nodes_whole(edges, monkeypatch):
-    monkeypatch.setattr("weft.operators.placement.GREEDY_BATCH", 5)
-    got = by_edge(assign_partitions(edges, "GreedySrc", 4))
-    assert len({(s, p) for (s, _), p in got.items()}) == len({s for s, _ in got})
+@pytest.mark.parametrize("name", ["Default", "HybridSrc", "HybridDst", "GreedySrc", "2D"])
+def test_extreme_ids(spark, name):
+    ids = [-(1 << 63), (1 << 63) - 1, 0, -1, 1 << 62]
+    edges = spark.createDataFrame([(a, b) for a in ids for b in ids], "src bigint, dst bigint")
+    assert {r.part for r in assign_partitions(edges, name, 3, threshold=2).collect()} <= {0, 1, 2}
+
+
+def test_default_wraps(spark):
+    ids = [-(1 << 63), (1 << 63) - 1, 5, -(1 << 62)]
+    edges = spark.createDataFrame([(a, b) for a in ids for b in ids], "src bigint, dst bigint")
+    wrapped = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    assert by_edge(assign_partitions(edges, "Default", 7)) == {(a, b): h(wrapped(a + b), 7) for a in ids for b in ids}
 
 
 def test_names(edges):

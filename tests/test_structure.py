@@ -205,3 +205,23 @@ def test_entropy(spark, shares, bits):
 
 def test_tree_fixture_matches_the_list(tree):
     assert pairs(tree.inc) == sorted((h + 10, v) for h, v in TREE)
+
+
+def test_update_refuses_repeated_ids(spark, tree):
+    values = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "id bigint, value int")
+    with pytest.raises(Exception, match="several values for id 1"):
+        tree.update_vertices(values, lambda attr, value: value).hv.collect()
+
+
+def test_ids_that_do_not_fit_are_refused(spark):
+    from weft import HyperGraph
+
+    inc = spark.createDataFrame([((1 << 62) + 5, (1 << 63) - 1)], "he_id bigint, hv_id bigint")
+    nodes = lambda c: inc.select(F.col(c).alias("id"))
+    with pytest.raises(ValueError, match="do not fit"):
+        HyperGraph.from_tables(inc, nodes("hv_id"), nodes("he_id"))
+
+
+def test_filtered_incidences_are_read_once(spark, tree):
+    small = tree.sub_hypergraph(hyperedge=lambda id, attr: attr["card"] <= 3)
+    assert all(t._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2 for t in (small.hv, small.he, small.inc))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft import AllExcept, HyperGraph, Only, Program, Send, Step
-from weft.operators.combiners import Concatenate, default_combiner, fold_by_key
+from weft.operators.combiners import ByField, Concatenate, SumByKey, default_combiner, fold_by_key, resolve
 from weft.plans import connected_components, random_walk, shortest_path
 
 
@@ -131,3 +131,88 @@ def test_fold_in_slices_equals_one_fold(spark):
     for group_rows in (8, 10_000):
         folded = fold_by_key(rows, ["dst_id"], "msg", lambda a, b: a + b, group_rows)
         assert {r.dst_id: r.msg for r in folded.collect()} == expected
+
+
+def test_attributes_are_never_narrowed(tree):
+    start = tree.map_vertices(lambda *_: F.lit(3)).map_hyperedges(lambda *_: F.lit(None).cast("bigint"))
+
+    def run(become):
+        return start.compute(1, zero(), Program(lambda ss, id, attr, msg: Step(become(attr), [Send(id)]), "max"), Program(lambda ss, id, attr, msg: Step(msg), "max"))
+
+    with pytest.raises(TypeError, match="int into double"):
+        run(lambda attr: attr * F.lit(0.75))
+    with pytest.raises(TypeError, match="int into bigint"):
+        run(lambda attr: attr.cast("bigint"))
+    assert {r.attr for r in run(lambda attr: F.lit(7).cast("tinyint")).hv.collect()} == {7}
+    wide = start.map_vertices(lambda *_: F.struct(F.lit(1.5).alias("x")))
+    done = wide.compute(0, zero(), Program(lambda ss, id, attr, msg: Step(F.struct(F.lit(2).alias("x")))), Program(lambda *_: Step()))
+    assert {r.attr.x for r in done.hv.collect()} == {2.0}
+
+
+def test_empty_maps_arrive(tree):
+    empty = F.create_map().cast("map<string,bigint>")
+    got = heard(tree, lambda id: [Send(F.when(id == 1, F.create_map(F.lit("a"), id)).otherwise(empty))], None, "map<string,bigint>")
+    assert got == {10: {"a": 1}, 11: {}, 12: {}, 13: {}}
+
+
+def merged(spark, rows, kind, combiner=None):
+    frame = spark.createDataFrame(rows, f"dst_id bigint, msg {kind}, copies bigint")
+    combiner = combiner or default_combiner(frame.schema["msg"].dataType)
+    return {r.dst_id: r.msg for r in combiner.merge(frame).collect()}
+
+
+def test_implied_combiners_of_nested_types(spark):
+    rows = [(1, {"a": {"x": (1, [3])}}, 2), (1, {"a": {"x": (5, [1]), "y": (2, [])}, "b": {}}, 1), (2, {}, 1)]
+    got = merged(spark, rows, "map<string,map<string,struct<n:bigint,list:array<int>>>>")
+    plain = {d: {k: {i: tuple(leaf) for i, leaf in inner.items()} for k, inner in m.items()} for d, m in got.items()}
+    assert plain == {1: {"a": {"x": (7, [1, 3, 3]), "y": (2, [])}, "b": {}}, 2: {}}
+    got = merged(spark, [(1, ([1, 2], 1.5), 1), (1, ([0], 2.0), 2)], "struct<ids:array<int>,total:double>")
+    assert tuple(got[1]) == ([0, 0, 1, 2], 5.5)
+    assert isinstance(default_combiner(T.StructType([T.StructField("a", T.ArrayType(T.IntegerType()))])), ByField)
+    with pytest.raises(TypeError, match="string"):
+        default_combiner(T.StringType())
+
+
+def test_sketches_unite(spark):
+    ids = spark.range(2000).select(F.col("id"), (F.col("id") % 5).alias("part"))
+    rows = ids.groupBy("part").agg(F.hll_sketch_agg("id").alias("msg")).select(F.lit(1).alias("dst_id"), "msg", F.lit(3).alias("copies"))
+    for combiner in (resolve("sketch"), default_combiner(T.BinaryType())):
+        (row,) = combiner.merge(rows).select(F.hll_sketch_estimate("msg").alias("n")).collect()
+        assert abs(row.n - 2000) < 100
+
+
+def test_entry_bounds_are_the_callers(spark):
+    rows = [(1, {str(i): 1}, 1) for i in range(20)]
+    assert len(merged(spark, rows, "map<string,bigint>")[1]) == 20
+    with pytest.raises(ValueError, match="20 entries, limit 19"):
+        merged(spark, rows, "map<string,bigint>", SumByKey(19))
+
+
+@pytest.mark.parametrize("group_rows", [1, 2, 3])
+def test_folding_in_the_smallest_groups_ends(spark, group_rows):
+    rows = spark.createDataFrame([(1, i, 1) for i in range(50)] + [(2, 7, 3)], "k int, v bigint, copies bigint")
+    done = fold_by_key(rows, ["k"], "v", lambda a, b: a + b, group_rows)
+    assert {r.k: r.v for r in done.collect()} == {1: 1225, 2: 21}
+
+
+def test_loops_of_several_threads_leave_the_session_alone(spark, tree, cycle):
+    from concurrent.futures import ThreadPoolExecutor
+
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(k) for k in keys]
+
+    def labels(graph):
+        done = connected_components(graph)
+        return sorted((r.id, r.attr._2) for t in (done.hv, done.he) for r in t.collect())
+
+    alone = [labels(g) for g in (tree, cycle, tree)]
+    with ThreadPoolExecutor(3) as pool:
+        assert list(pool.map(labels, (tree, cycle, tree))) == alone
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_partitions_follow_the_data(spark):
+    from weft.session import partitions_for
+
+    assert partitions_for(spark, 10) == 1 and partitions_for(spark, 1_000_000) == 10
+    assert partitions_for(spark, 10**10) == 10_000 and partitions_for(spark, 10**12) == 200_000

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # The mixing prime 1125899906842597 equals 2**50 - 27.
 PRIME = 1125899906842597
-SHIFT, REST = 50, 27
+SHIFT = PRIME.bit_length()
+REST = (1 << SHIFT) - PRIME
 
 # Modulus (a Mersenne prime) and coefficients, below 2**31, of the pair hash.
 MODULUS = 2147483647
@@ -35,6 +36,19 @@ def times_prime(value: Column) -> Column:
     return F.shiftleft(top, 32).bitwiseOR(bottom)
 
 
+def wrapping_sum(a: Column, b: Column) -> Column:
+    """``a + b`` wrapped to a signed 64-bit number, from unsigned 32-bit halves."""
+    a, b = a.cast("bigint"), b.cast("bigint")
+    low = a.bitwiseAND(LOW) + b.bitwiseAND(LOW)
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high.bitwiseAND(LOW), 32).bitwiseOR(low.bitwiseAND(LOW))
+
+
+def wrapping_abs(value: Column) -> Column:
+    """``|value|``; the smallest 64-bit number, having none, stays."""
+    return F.when(value == LONG_MIN, value).otherwise(F.abs(value))
+
+
 def absolute_mod(value: Column, n: Column | int) -> Column:
     """``|value| mod n`` where the smallest 64-bit number, having no absolute value, gives its plain modulus."""
     n = F.lit(n) if isinstance(n, int) else n

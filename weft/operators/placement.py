@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions import hash_part, pair_part, times_prime
+from weft.functions import hash_part, pair_part, times_prime, wrapping_abs, wrapping_sum
 from weft.operators.skew import apart
 from weft.session import cut
 
 # Fixed value: degree above which the hybrid strategies scatter a node's edges.
 DEGREE_CUTOFF = 70
 
-#: (Node, bucket) counts the greedy strategies look at with one running load.
-GREEDY_BATCH = 200_000
+#: Rounds in which the greedy strategies place nodes by default.
+GREEDY_ROUNDS = 16
 
 
 def _grid(src: Column, dst: Column, n: int) -> Column:
@@ -25,7 +23,7 @@ def _grid(src: Column, dst: Column, n: int) -> Column:
 
     When ``n`` is no square the last column is shorter.
     """
-    side = int(np.ceil(np.sqrt(n)))
+    side = math.isqrt(n - 1) + 1
     if side * side == n:
         return hash_part(src, side) * side + hash_part(dst, side)
     rows = -(-n // side)
@@ -43,7 +41,7 @@ def _hashed(strategy: str, n: int) -> Column:
         "2d": lambda: _grid(src, dst, n),
         "random": lambda: pair_part(src, dst, n),
         "canonical": lambda: pair_part(F.least(src, dst), F.greatest(src, dst), n),
-        "default": lambda: hash_part(src + dst, n),
+        "default": lambda: hash_part(wrapping_sum(src, dst), n),
     }[strategy]().cast("int")
 
 
@@ -57,52 +55,51 @@ def _hybrid(edges: DataFrame, key: str, n: int, threshold: int) -> DataFrame:
     busy = edges.groupBy(key).agg(F.count("*").alias("_d")).where(F.col("_d") > threshold)
     marked = edges.join(apart(busy.select(key, F.lit(True).alias("_busy"))), key, "left")
     basis = F.when(F.col("_busy"), F.col(other)).otherwise(F.col(key))
-    part = F.pmod(times_prime(F.abs(basis)), F.lit(n)).cast("int")
+    part = F.pmod(times_prime(wrapping_abs(basis)), F.lit(n)).cast("int")
     return marked.withColumn("part", part).drop("_busy")
 
 
-def greedy_placer(n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A function that places the nodes of one batch in id order.
-
-    It takes a row ``(id, home, bucket, edges)`` per node and bucket the node touches.
-    Each node goes to the partition maximizing ``overlap - sqrt(load)``, starting from
-    its home and moving only for a strictly better one, lowest number first.
-    """
-
-    def place_batch(overlaps: pd.DataFrame) -> pd.DataFrame:
-        load = np.zeros(n)
-        placed = []
-        for (node, home), group in overlaps.groupby(["id", "home"], sort=True):
-            overlap = np.zeros(n)
-            overlap[group["bucket"]] = group["edges"]
-            score = overlap - np.sqrt(load)
-            best = int(np.argmax(score))
-            part = best if score[best] > score[home] else int(home)
-            load[part] += overlap.sum()
-            placed.append((node, part))
-        return pd.DataFrame(placed, columns=["id", "part"])
-
-    return place_batch
-
-
-def _greedy(edges: DataFrame, key: str, n: int) -> DataFrame:
+def _greedy(edges: DataFrame, key: str, n: int, rounds: int) -> DataFrame:
     """Edges of a node move together, to where its neighbours hash but not to full partitions.
 
-    A running load is sequential, so nodes are dealt into batches of about
-    ``GREEDY_BATCH`` rows and each batch starts from empty loads. What a batch sees is
-    one row per node and bucket (counted before the shuffle), not the edges.
+    Nodes are dealt by hash into ``rounds`` rounds. In a round every node goes to the
+    partition with the largest ``overlap - sqrt(load)``, the load being the edges placed in
+    earlier rounds, starting from its own hash and moving only for a strictly better one,
+    lowest number first. A round's loads are ``n`` numbers from one aggregate over a row
+    per node; the rule is the same at every size of the data.
     """
     other = "dst" if key == "src" else "src"
-    overlaps = cut(
+    counts = (
         edges.groupBy(F.col(key).alias("id"), hash_part(F.col(other), n).alias("bucket"))
-        .agg(F.count("*").alias("edges"))
-        .withColumn("home", hash_part(F.col("id"), n))
+        .agg(F.count("*").cast("double").alias("edges"))
     )
-    batches = max(1, -(-overlaps.count() // GREEDY_BATCH))
-    batch = pair_part(F.col("id"), F.lit(0), batches).alias("batch")
-    schema = f"id {edges.schema[key].dataType.simpleString()}, part int"
-    chosen = overlaps.groupBy(batch).applyInPandas(greedy_placer(n), schema)
-    return edges.join(apart(chosen.withColumnRenamed("id", key)), key)
+    overlap = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda part: F.coalesce(F.try_element_at(F.col("found"), part), F.lit(0.0)),
+    )
+    nodes = cut(
+        counts.groupBy("id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "edges"))).alias("found"), F.sum("edges").alias("edges"))
+        .select("id", "edges", hash_part(F.col("id"), n).alias("home"), pair_part(F.col("id"), F.lit(0), rounds).alias("round"), overlap.alias("overlap"))
+    )
+
+    def chosen(loads: Column) -> Column:
+        score = F.zip_with("overlap", loads, lambda o, load: o - F.sqrt(load))
+        best = F.element_at(
+            F.transform(F.array(score), lambda s: F.struct((F.array_position(s, F.array_max(s)) - 1).cast("int").alias("part"), F.array_max(s).alias("top"), s.alias("s"))), 1
+        )
+        better = best["top"] > F.element_at(best["s"], F.col("home") + 1)
+        return F.when(better, best["part"]).otherwise(F.col("home"))
+
+    load, loads = [0.0] * n, []
+    for number in range(rounds):
+        loads.append(F.array(*map(F.lit, load)))
+        if number + 1 < rounds:
+            placed = nodes.where(F.col("round") == number).groupBy(chosen(loads[-1]).alias("part")).agg(F.sum("edges").alias("edges"))
+            for part, edges_there in placed.collect():  # at most n rows
+                load[part] += edges_there
+    part = chosen(F.element_at(F.array(*loads), F.col("round") + 1)).alias("part")
+    return edges.join(apart(nodes.select(F.col("id").alias(key), part)), key)
 
 
 # Names accepted for each strategy: the short ones and the long ones.
@@ -124,16 +121,19 @@ STRATEGIES = {
 
 
 def assign_partitions(
-    edges: DataFrame, strategy: str, n: int, threshold: int = DEGREE_CUTOFF
+    edges: DataFrame, strategy: str, n: int, threshold: int = DEGREE_CUTOFF, rounds: int = GREEDY_ROUNDS
 ) -> DataFrame:
-    """``edges(src, dst, ...)`` plus ``part`` in ``0..n-1``; an unknown strategy raises."""
+    """``edges(src, dst, ...)`` plus ``part`` in ``0..n-1``; an unknown strategy raises.
+
+    ``threshold`` is for the hybrid strategies, ``rounds`` for the greedy ones.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown partition strategy {strategy!r}; one of {sorted(STRATEGIES)}")
     kind = STRATEGIES[strategy]
     if kind.startswith("hybrid"):
         placed = _hybrid(edges, kind[-3:], n, threshold)
     elif kind.startswith("greedy"):
-        placed = _greedy(edges, kind[-3:], n)
+        placed = _greedy(edges, kind[-3:], n, rounds)
     else:
         placed = edges.withColumn("part", _hashed(kind, n))
     return placed.select(*edges.columns, "part")

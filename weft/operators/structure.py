@@ -18,8 +18,17 @@ if TYPE_CHECKING:
 def id_shift(hv: DataFrame, he: DataFrame) -> int:
     """What hyperedge ids grow by so that the smallest follows the largest vertex id."""
     top = hv.agg(F.max("id")).first()[0]
-    bottom = he.agg(F.min("id")).first()[0]
-    return 0 if top is None or bottom is None else top - bottom + 1
+    bottom, highest = he.agg(F.min("id"), F.max("id")).first()
+    return shift_between(top, bottom, highest)
+
+
+def shift_between(top: int | None, bottom: int | None, highest: int | None) -> int:
+    if top is None or bottom is None:
+        return 0
+    shift = top - bottom + 1
+    if not -(1 << 63) <= shift < 1 << 63 or highest + shift >= 1 << 63:
+        raise ValueError(f"hyperedge ids {bottom}..{highest} do not fit behind vertex id {top} in 64 bits; renumber them")
+    return shift
 
 
 def validate(inc: DataFrame, hv: DataFrame, he: DataFrame) -> None:
@@ -50,7 +59,10 @@ def attach(nodes: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def update(nodes: DataFrame, values: DataFrame, f) -> DataFrame:
-    values = values.select("id", F.col("value").alias("_value"), F.lit(True).alias("_has"))
+    """A repeated id among ``values`` fails the job: which value would win is not defined."""
+    repeated = F.raise_error(F.concat(F.lit("several values for id "), F.col("id").cast("string")))
+    values = values.groupBy("id").agg(F.first("value").alias("_value"), F.count("*").alias("_n"))
+    values = values.select("id", "_value", F.when(F.col("_n") > 1, repeated.cast("boolean")).otherwise(F.lit(True)).alias("_has"))
     new = F.when(F.col("_has"), f(F.col("attr"), F.col("_value"))).otherwise(F.col("attr"))
     return nodes.join(values, "id", "left").withColumn("attr", new).drop("_value", "_has")
 
@@ -124,6 +136,8 @@ def sub_hypergraph(graph: HyperGraph, vertex, hyperedge, retain_isolated: bool)
         he = he.where(hyperedge(F.col("id"), F.col("attr")))
         inc = inc.join(apart(he.select(F.col("id").alias("he_id"))), "he_id", "left_semi")
     inc = inc.select(*graph.inc.columns)
+    if vertex is not None or hyperedge is not None:
+        inc = cut(inc)  # read by both sides below and by whatever comes next
     if not retain_isolated:
         # Distinct ids first: the semi join then never meets a hot key.
         hv = hv.join(inc.select(F.col("hv_id").alias("id")).distinct(), "id", "left_semi")

@@ -89,13 +89,43 @@ class _State:
     sends: list[Send] = field(default_factory=list)
 
 
+#: Numeric types, each of which holds the values of those before it.
+_WIDTHS = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
+
+
+def _fits(new: T.DataType, kind: T.DataType) -> bool:
+    """Whether every value of type ``new`` can be kept as ``kind``."""
+    if isinstance(new, T.NullType) or new.simpleString() == kind.simpleString():
+        return True
+    if isinstance(new, T.StructType) and isinstance(kind, T.StructType):
+        return new.names == kind.names and all(_fits(a.dataType, b.dataType) for a, b in zip(new, kind))
+    if isinstance(new, T.ArrayType) and isinstance(kind, T.ArrayType):
+        return _fits(new.elementType, kind.elementType)
+    if isinstance(new, T.MapType) and isinstance(kind, T.MapType):
+        return _fits(new.keyType, kind.keyType) and _fits(new.valueType, kind.valueType)
+    if isinstance(kind, T.DecimalType):
+        digits = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}.get(type(new))
+        if isinstance(new, T.DecimalType):
+            return new.scale <= kind.scale and new.precision - new.scale <= kind.precision - kind.scale
+        return digits is not None and digits <= kind.precision - kind.scale
+    kinds = [type(new), type(kind)]
+    return all(x in _WIDTHS for x in kinds) and _WIDTHS.index(kinds[0]) <= _WIDTHS.index(kinds[1])
+
+
 def _run(rows: DataFrame, ran: Column, program: Program, superstep: int) -> _State:
     """Apply a program to rows ``(id, attr, msg)`` where ``ran`` holds."""
     kind = rows.schema["attr"].dataType
     step = program.step(superstep, F.col("id"), F.col("attr"), F.col("msg"))
     attr = F.col("attr")
     if step.become is not None:
-        become = step.become if isinstance(kind, T.StructType) else step.become.cast(kind)
+        new = rows.select(step.become.alias("new")).schema["new"].dataType
+        if not _fits(new, kind):
+            raise TypeError(
+                f"a program turns an attribute of type {kind.simpleString()} into {new.simpleString()}; "
+                "cast the attribute first or what it becomes"
+            )
+        same = new.simpleString() == kind.simpleString()
+        become = step.become if same else step.become.cast(kind.simpleString())
         attr = F.when(ran, become).otherwise(attr)
     outbox = []
     for i, send in enumerate(step.sends):

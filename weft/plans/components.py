@@ -9,12 +9,13 @@ from weft.operators.superstep import Program, Send, Step
 
 
 def connected_components(
-    graph: HyperGraph, max_iters: int | None = 10, compat: bool = False
+    graph: HyperGraph, max_iters: int | None = None, compat: bool = False
 ) -> HyperGraph:
     """Label every vertex and hyperedge with the largest id of its component.
 
-    Attributes become ``struct(_1=attr, _2=label)``. ``max_iters=None`` runs until
-    nothing changes. With ``compat`` a hyperedge's first label is its own id whatever
+    Attributes become ``struct(_1=attr, _2=label)``. It runs until nothing changes; a
+    number of ``max_iters`` (10 is a common choice) stops earlier, and labels of longer
+    chains are then not final. With ``compat`` a hyperedge's first label is its own id whatever
     it hears (which on a dual, whose hyperedge ids are the small ones, ends the run
     with every node on its own label) and an isolated hyperedge keeps 0; otherwise the
     first label is the larger of both, and an isolated hyperedge keeps its own id.

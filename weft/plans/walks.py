@@ -49,7 +49,7 @@ def random_walk(
 
     def hyperedge(superstep, id, attr, msg):
         weight = attr["weight"].cast("bigint")
-        return Step(sends=[Send(F.struct(weight.alias("weight"), (msg / attr["card"]).alias("value")))])
+        return Step(sends=[Send(F.struct(weight.alias("weight"), divide(msg, attr["card"]).alias("value")))])
 
     start = graph.with_tables(hv, graph.he.select("id", F.struct("attr.card", "attr.weight").alias("attr")))
     unused = F.struct(F.lit(1).cast("bigint").alias("weight"), F.lit(0.0).alias("value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -12,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 HOT_ROWS_CONF = "spark.weft.hotRows"
 HOT_ROWS_DEFAULT = 1_000_000
 
-#: Loops use fewer partitions than the session's while each holds fewer links than this.
-LINKS_PER_PARTITION = 100_000
+#: Links in a partition of a loop, up to MANY partitions and beyond them.
+LINKS_PER_PARTITION, MANY, LINKS_BEYOND = 100_000, 10_000, 5_000_000
+
+#: Loops change settings of their session, so one runs at a time.
+_LOOPS = threading.RLock()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -70,8 +74,12 @@ def hot_rows(spark: SparkSession) -> int:
 
 
 def partitions_for(spark: SparkSession, rows: int) -> int:
-    """Partitions for a loop over ``rows`` links: the session's number, fewer for small data."""
-    return max(1, min(shuffle_partitions(spark), -(-rows // LINKS_PER_PARTITION)))
+    """Partitions for a loop over ``rows`` links, from the data alone.
+
+    Adaptive execution is off in loops, so nothing splits a partition later; the session's
+    setting is no bound.
+    """
+    return max(1, min(MANY, -(-rows // LINKS_PER_PARTITION)), -(-rows // LINKS_BEYOND))
 
 
 @contextmanager
@@ -81,17 +89,20 @@ def fixed_plans(spark: SparkSession, partitions: int):
     Loops lay their tables out once (hash partitions of a known number, hot keys
     already spread) and want every round to keep that layout. Under adaptive execution
     a checkpointed frame forgets how it is partitioned, and each round would shuffle
-    the node state again.
+    the node state again. Loops of several threads wait for one another, so that each
+    finds and restores the session's own settings; other queries of the session that run
+    meanwhile are planned statically too.
     """
     settings = {
         "spark.sql.adaptive.enabled": "false",
         "spark.sql.shuffle.partitions": str(partitions),
     }
-    before = {key: spark.conf.get(key) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
+    with _LOOPS:
+        before = {key: spark.conf.get(key) for key in settings}
+        for key, value in settings.items():
             spark.conf.set(key, value)
+        try:
+            yield
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.model import HyperGraph
+from weft.operators.structure import shift_between
+from weft.session import cut
 
 
 def from_incidences(
@@ -24,8 +26,7 @@ def from_incidences(
     card = F.struct(F.count("*").cast("int").alias("card"), F.lit(1).alias("weight"))
     he = inc.groupBy(F.col("he_id").alias("id")).agg(card.alias("attr"))
     hv = inc.select(F.col("hv_id").alias("id")).distinct()
-    top, bottom = inc.agg(F.max("hv_id"), F.min("he_id")).first()
-    shift = 0 if top is None else top - bottom + 1
+    shift = shift_between(*inc.agg(F.max("hv_id"), F.min("he_id"), F.max("he_id")).first())
     graph = HyperGraph.from_tables(inc, hv, he, shift=shift)
     if partition:
         graph = graph.assign_parts(*partition)
@@ -63,5 +64,5 @@ def read_csv(
         .csv(path)
     )
     missing = F.raise_error(F.lit("an incidence line lacks an id")).cast("bigint")
-    inc = rows.select(*[F.coalesce(c, missing).alias(c) for c in rows.columns])
+    inc = cut(rows.select(*[F.coalesce(c, missing).alias(c) for c in rows.columns]))  # text is parsed once
     return from_incidences(inc, min_cardinality, max_cardinality, partition)
