@@ -65,23 +65,27 @@ def fingerprint(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.concat(c["n"].cast("string"), F.lit("."), F.when(c["x"] == 0, F.lit("0")).otherwise(F.lower(F.hex(c["x"]))))), " ")
 
 
-def subtract(a: str, b: str) -> Column:
-    return F.expr(f"zip_with({a}, {b}, (p, q) -> named_struct('n', p.n - q.n, 'x', p.x ^ q.x))")
+def subtract(a: str, b: str) -> str:
+    """SQL of one sketch minus another, cell by cell."""
+    return f"zip_with({a}, {b}, (p, q) -> named_struct('n', p.n - q.n, 'x', p.x ^ q.x))"
 
 
 def peel(cells: str) -> Column:
-    """``struct<cells, found>``: digests recovered (n = 1: only left, -1: only right) and what remains in the cells."""
+    """``struct<cells, found>``: digests recovered (n = 1: only left, -1: only right) and what remains in the cells.
+
+    ``cells`` is SQL; it is evaluated once.
+    """
     pure = f"array_distinct(filter(s.cells, c -> abs(c.n) = 1 AND (c.x & 65535L) = {_CHECK.format('c.x')}))"
     place = f"shiftright(p.x, 16 + {_BITS} * (j div {ROW})) & {ROW - 1}L"
     return F.expr(f"""
-        aggregate(sequence(1, {ROUNDS}),
-            named_struct('cells', {cells}, 'found', filter({cells}, c -> false)),
+        element_at(transform(array({cells}), first -> aggregate(sequence(1, {ROUNDS}),
+            named_struct('cells', first, 'found', filter(first, c -> false)),
             (s, i) -> if(exists(s.cells, c -> abs(c.n) = 1),
                 element_at(transform(array({pure}), pure -> named_struct(
                     'cells', transform(s.cells, (c, j) -> aggregate(pure, c,
                         (a, p) -> if(({place}) = j % {ROW}, named_struct('n', a.n - p.n, 'x', a.x ^ p.x), a))),
                     'found', concat(s.found, pure))), 1),
-                s))""")
+                s))), 1)""")
 
 
 def done(peeled: str) -> Column:
@@ -91,12 +95,17 @@ def done(peeled: str) -> Column:
 def differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, n_diff)``: how many digests of the arrays ``a`` and ``b`` are in one of them only.
 
-    ``keys`` name a pair and are not null. One sketch each first, then retries as described above.
+    ``keys`` name a pair and are not null. One sketch each first, then :func:`retried`.
     """
-    solved, rest = [], _attempt(pairs)
-    solved.append(rest.where("ok").select(*keys, "n"))
+    first = _attempt(pairs)
+    return first.where("ok").select(*keys, F.col("n").cast("bigint").alias("n_diff")).union(retried(first.where("NOT ok").select(*keys, "a", "b"), keys))
+
+
+def retried(failed: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`differences` of pairs for which one sketch each was too small."""
+    solved = []
     bits = f"greatest(1, least(30, ceil(log2((size(a) + size(b)) / {LOAD}))))"
-    work = rest.where("NOT ok").select(*keys, F.expr(bits).cast("int").alias("level"), "a", "b")
+    work = failed.select(*keys, F.expr(bits).cast("int").alias("level"), "a", "b")
     for attempt in range(ATTEMPTS):
         sides = [F.expr(f"transform({c}, d -> named_struct('side', {s}, 'd', d))") for c, s in (("a", 0), ("b", 1))]
         loose = work.select(*keys, "level", F.explode(F.concat(*sides)).alias("e"))
@@ -120,7 +129,7 @@ def differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def _attempt(pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``ok`` and ``n`` of one sketch each; digests only where they are needed again."""
     cells = pairs.withColumns({"_sa": sketch("a"), "_sb": sketch("b")})
-    peeled = cells.withColumn("_cells", subtract("_sa", "_sb")).withColumn("_p", peel("_cells")).withColumn("ok", done("_p"))
+    peeled = cells.withColumn("_p", peel(subtract("_sa", "_sb"))).withColumn("ok", done("_p"))
     rest = [F.when(~F.col("ok"), F.col(c)).alias(c) for c in ("a", "b")]
     others = [c for c in pairs.columns if c not in ("a", "b")]
     return kept(peeled.select(*others, "ok", F.when(F.col("ok"), F.size("_p.found")).otherwise(0).alias("n"), *rest), "sketches")
@@ -129,7 +138,7 @@ def _attempt(pairs: DataFrame) -> DataFrame:
 def recovered(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, ok, only_a, only_b)``: the digests that one sketch per pair of arrays ``a``, ``b`` gives back."""
     cells = pairs.withColumns({"_sa": sketch("a"), "_sb": sketch("b")})
-    peeled = cells.withColumn("_cells", subtract("_sa", "_sb")).withColumn("_p", peel("_cells")).withColumn("ok", done("_p"))
+    peeled = cells.withColumn("_p", peel(subtract("_sa", "_sb"))).withColumn("ok", done("_p"))
     sides = [F.expr(f"transform(filter(_p.found, c -> c.n = {n}), c -> c.x)").alias(c) for c, n in (("only_a", 1), ("only_b", -1))]
     return peeled.select(*keys, "ok", *sides)
 
@@ -168,34 +177,39 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
     following, repeats = successors(rows.select("doc_id", "h", F.length("text").cast("bigint").alias("n_chars")))
-    # one key for both, never null: a null id has a hash of its own
-    keyed = rows.select(F.struct(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "h").alias("key"), "doc_id", "text")
-    keyed = keyed.dropDuplicates(["key"]) if repeats else keyed
-    giver = following.select(
-        F.struct(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "h").alias("key"),
-        F.struct(F.coalesce("owner_id", F.lit(0)), F.col("owner_id").isNull(), "owner_h").alias("owner"), "need",
-    )
-    heads = keyed.join(giver, "key").select(
-        F.col("owner").alias("key"), F.expr("substring(text, 1, need)").alias("head"), digests(F.col("text")).alias("next")
-    )
-    size = F.length("text")
-    edited = keyed.join(heads, "key").select(
-        "key", "doc_id", size.cast("bigint").alias("n_chars"), "text", "next",
+    # a key of columns that are never null: a null id has a mark of its own
+    def key(id: str, h: str) -> list[Column]:
+        return [F.coalesce(id, F.lit(0)).alias("k_id"), F.col(id).isNull().alias("k_none"), F.coalesce(h, F.lit(0)).alias("k_h")]
+
+    # both joins read the same columns of the same rows, so that texts are shuffled once
+    on = ["k_id", "k_none", "k_h"]
+    keyed = rows.select(*key("doc_id", "h"), "text", digests(F.col("text")).alias("own"))
+    keyed = keyed.dropDuplicates(on) if repeats else keyed
+    owner = F.struct(*key("owner_id", "owner_h")).alias("owner")
+    giver = following.select(*key("doc_id", "h"), owner, "need")
+    heads = keyed.join(giver.hint("merge"), on).select("owner.*", F.expr("substring(text, 1, need)").alias("head"), F.col("own").alias("next"))
+    edited = keyed.join(heads.hint("merge"), on).select(
+        F.struct(*on).alias("key"), F.length("text").cast("bigint").alias("n_chars"), "own", "next",
         F.concat(F.expr("substring(text, 1, length(text) - length(text) div 3)"), "head").alias("edited"),
     )
-    base = edited.select(
-        "key", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("edit"), "next",
-    )
-    base = kept(base, "digests")
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("edit").alias("b")), F.struct(F.lit(1).alias("kind"), F.col("next").alias("b"))))
-    pairs = base.select("key", F.col("own").alias("a"), kinds.alias("k")).select("key", "k.kind", "a", "k.b")
-    found = differences(pairs, ["key", "kind"])
-    found = found.groupBy("key").agg(*(F.max(F.when(F.col("kind") == i, F.col("n_diff"))).alias(c) for i, c in enumerate(("d_edit", "d_next"))))
-    joined = base.join(found, "key").withColumns({"_own": sketch("own"), "_edit": sketch("edit")})
-    own, edit, following_size = F.size("own"), F.size("edit"), F.size("next")
-    return joined.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_own")).alias("fingerprint"), fingerprint(F.col("_edit")).alias("edited_fingerprint"),
-        likeness(own, edit, F.col("d_edit")).alias("near_edited"), likeness(own, following_size, F.col("d_next")).alias("near_next"),
-        own.alias("n_paragraphs"),
+    edited = edited.select("key", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "next", digests(F.col("edited")).alias("edit"))
+    cells = edited.withColumns({f"_{c}": sketch(c) for c in ("own", "edit", "next")})
+    cells = cells.withColumns({f"_p_{c}": peel(subtract("_own", f"_{c}")) for c in ("edit", "next")})
+    cells = cells.withColumns({f"_ok_{c}": done(f"_p_{c}") for c in ("edit", "next")})
+    failed = ~F.col("_ok_edit") | ~F.col("_ok_next")
+    first = cells.select(
+        "key", "n_chars", "edited_sha256", fingerprint(F.col("_own")).alias("fingerprint"), fingerprint(F.col("_edit")).alias("edited_fingerprint"),
+        *(F.size(c).alias(f"n_{c}") for c in ("own", "edit", "next")),
+        *(F.when(F.col(f"_ok_{c}"), F.size(f"_p_{c}.found")).alias(f"d_{c}") for c in ("edit", "next")),
+        F.when(failed, F.col("own")).alias("own"), *(F.when(~F.col(f"_ok_{c}"), F.col(c)).alias(c) for c in ("edit", "next")),
     )
+    first = kept(first, "fingerprints")
+    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("b")) for i, c in enumerate(("edit", "next"))))).alias("k")
+    again = first.where("own IS NOT NULL").select("key", F.col("own").alias("a"), kinds).select("key", "k.kind", "a", "k.b").where("b IS NOT NULL")
+    found = retried(again, ["key", "kind"])
+    found = found.groupBy("key").agg(*(F.max(F.when(F.col("kind") == i, F.col("n_diff"))).alias(f"r_{c}") for i, c in enumerate(("edit", "next"))))
+    joined = first.join(found, "key", "left")
+    n_own = F.col("n_own")
+    near = (likeness(n_own, F.col(f"n_{c}"), F.coalesce(f"d_{c}", f"r_{c}")).alias(name) for c, name in (("edit", "near_edited"), ("next", "near_next")))
+    id = F.when(~F.col("key.k_none"), F.col("key.k_id")).alias("doc_id")
+    return joined.select(id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near, n_own.alias("n_paragraphs"))
