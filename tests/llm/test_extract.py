@@ -7,7 +7,7 @@ from weft.llm import extract
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
 <header class="site"><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><aside>Side</aside>
-<main><article><header><h1>Title %d &amp; more</h1></header><p>First&nbsp; paragraph   of <b>page %d</b>,
+<main><article><header><div class="post-header"><h1>Title %d &amp; more</h1></div></header><p>First&nbsp; paragraph   of <b>page %d</b>,
 with &lt;tags&gt; &quot;quoted&quot;.<p>Second<br>line <i>%d</i></p><ul><li>one<li>two</ul><div class="ad">Buy</div>
 <form><input value="x"><button>Send</button></form><section class="comments"><p>Nice!</p></section></article></main>
 <footer>&copy; us</footer><noscript>off</noscript></body></html>"""

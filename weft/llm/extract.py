@@ -52,6 +52,7 @@ NOISE_WORDS = set(
     "share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe subscription signup popup modal overlay widget "
     "login search toolbar pagination pager skip form".split()
 )
+HEADS = set("header masthead".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CONTENT_WORDS = set("article content post entry story main body text maincontent articlebody postbody".split())
 CLOSES_P = set(
@@ -84,6 +85,8 @@ class Element:
         words = set(_WORD.findall(named))
         above = parent or self
         inside = parent is not None and parent.content > 0
+        if inside:
+            words -= HEADS  # the head of an article is part of it
         noise = name in NOISE_TAGS or (name == "header" and not inside) or bool(words & NOISE_WORDS) or bool("=role" in named and words & NOISE_ROLES)
         if name in ("html", "body", "article", "main"):
             noise = False
