@@ -107,12 +107,11 @@ def retried(failed: DataFrame, keys: list[str]) -> DataFrame:
     bits = f"greatest(1, least(30, ceil(log2((size(a) + size(b)) / {LOAD}))))"
     work = failed.select(*keys, F.expr(bits).cast("int").alias("level"), "a", "b")
     for attempt in range(ATTEMPTS):
-        sides = [F.expr(f"transform({c}, d -> named_struct('side', {s}, 'd', d))") for c, s in (("a", 0), ("b", 1))]
-        loose = work.select(*keys, "level", F.explode(F.concat(*sides)).alias("e"))
-        sub = F.expr("shiftrightunsigned(e.d, 32) & (shiftleft(1L, level) - 1L)")
-        groups = loose.groupBy(*keys, "level", sub.alias("sub")).agg(F.collect_list("e").alias("es"))  # about LOAD each
-        a, b = (F.expr(f"transform(filter(es, e -> e.side = {s}), e -> e.d)").alias(c) for c, s in (("a", 0), ("b", 1)))
-        rest = _attempt(groups.select(*keys, "level", a, b))
+        loose = work.select(*keys, "level", F.size("a").alias("size_a"), F.posexplode(F.concat("a", "b")).alias("at", "d"))
+        sub = F.expr("shiftrightunsigned(d, 32) & (shiftleft(1L, level) - 1L)").alias("sub")
+        left = F.col("at") < F.col("size_a")
+        a, b = (F.collect_list(F.when(side, F.col("d"))).alias(c) for c, side in (("a", left), ("b", ~left)))  # about LOAD together
+        rest = _attempt(loose.groupBy(*keys, "level", sub).agg(a, b).drop("sub"))
         solved.append(rest.where("ok").select(*keys, "n"))
         work = rest.where("NOT ok").select(*keys, F.expr("least(31, level + 2)").alias("level"), "a", "b")
         if not work.limit(1).count():
@@ -198,18 +197,19 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     cells = cells.withColumns({f"_ok_{c}": done(f"_p_{c}") for c in ("edit", "next")})
     failed = ~F.col("_ok_edit") | ~F.col("_ok_next")
     first = cells.select(
-        "key", "n_chars", "edited_sha256", fingerprint(F.col("_own")).alias("fingerprint"), fingerprint(F.col("_edit")).alias("edited_fingerprint"),
+        F.monotonically_increasing_id().alias("row"), "key.k_id", "key.k_none", "n_chars", "edited_sha256", fingerprint(F.col("_own")).alias("fingerprint"), fingerprint(F.col("_edit")).alias("edited_fingerprint"),
         *(F.size(c).alias(f"n_{c}") for c in ("own", "edit", "next")),
         *(F.when(F.col(f"_ok_{c}"), F.size(f"_p_{c}.found")).alias(f"d_{c}") for c in ("edit", "next")),
         F.when(failed, F.col("own")).alias("own"), *(F.when(~F.col(f"_ok_{c}"), F.col(c)).alias(c) for c in ("edit", "next")),
     )
     first = kept(first, "fingerprints")
     kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("b")) for i, c in enumerate(("edit", "next"))))).alias("k")
-    again = first.where("own IS NOT NULL").select("key", F.col("own").alias("a"), kinds).select("key", "k.kind", "a", "k.b").where("b IS NOT NULL")
-    found = retried(again, ["key", "kind"])
-    found = found.groupBy("key").agg(*(F.max(F.when(F.col("kind") == i, F.col("n_diff"))).alias(f"r_{c}") for i, c in enumerate(("edit", "next"))))
-    joined = first.join(found, "key", "left")
+    again = first.where("own IS NOT NULL").select("row", F.col("own").alias("a"), kinds)
+    again = again.select((F.col("row") * 2 + F.col("k.kind")).alias("pair"), "a", "k.b").where("b IS NOT NULL")
+    found = retried(again, ["pair"]).groupBy(F.shiftright("pair", 1).alias("row"))
+    found = found.agg(*(F.max(F.when(F.col("pair") % 2 == i, F.col("n_diff"))).alias(f"r_{c}") for i, c in enumerate(("edit", "next"))))
+    joined = first.join(found, "row", "left")
     n_own = F.col("n_own")
     near = (likeness(n_own, F.col(f"n_{c}"), F.coalesce(f"d_{c}", f"r_{c}")).alias(name) for c, name in (("edit", "near_edited"), ("next", "near_next")))
-    id = F.when(~F.col("key.k_none"), F.col("key.k_id")).alias("doc_id")
+    id = F.when(~F.col("k_none"), F.col("k_id")).alias("doc_id")
     return joined.select(id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near, n_own.alias("n_paragraphs"))
