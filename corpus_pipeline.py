@@ -18,8 +18,12 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that are on too many pages of their source."""
-    clean = linedup.drop_boilerplate(docs)
+    """Texts without the lines that are on too many different pages of their source.
+
+    Copies of a page are one vote: this stage runs before copies are removed, and a page's
+    own copies would otherwise empty it.
+    """
+    clean = linedup.drop_boilerplate(docs, copies_vote=False)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -23,16 +23,22 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(
-    docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_vote: bool = True
 ) -> DataFrame:
-    """``(host, digest, pages, total)``: lines on at least ``min_pages`` and more than ``ratio`` of a host's pages."""
+    """``(host, digest, pages, total)``: lines on at least ``min_pages`` and more than ``ratio`` of a host's pages.
+
+    Unless ``copies_vote``, pages of a host with equal texts count as one, in ``pages`` and in ``total``.
+    """
     pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("total"))
+    number = F.count("*") if copies_vote else F.count_distinct("page")
+    pages = pages if copies_vote else pages.withColumn("page", F.xxhash64("text"))
+    own = [] if copies_vote else ["page"]
+    totals = pages.groupBy("host").agg(number.alias("total"))
     digests = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), F.md5))
     counts = (
-        pages.select("host", F.explode(digests).alias("digest"))
+        pages.select("host", *own, F.explode(digests).alias("digest"))
         .groupBy("host", "digest")
-        .agg(F.count("*").alias("pages"))
+        .agg(number.alias("pages"))
         .where(F.col("pages") >= min_pages)
     )
     both = counts.alias("c").join(totals.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host")))
@@ -40,16 +46,16 @@ def boilerplate(
 
 
 def drop_boilerplate(
-    docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_vote: bool = True
 ) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text_col``; all rows and columns stay.
 
-    A page is one row; a line repeated within it counts once, and all its copies go. Lines
+    A page is one row (one text, unless ``copies_vote``); a line repeated within it counts once, and all its copies go. Lines
     are compared whole; blank ones are never boilerplate. Null texts stay null and empty
     ones empty, both count as pages. Null is a host like any other. A page of nothing but
     boilerplate is left with an empty text. Hosts of fewer than ``min_pages`` pages lose nothing.
     """
-    found = boilerplate(docs, host_col, text_col, ratio, min_pages)
+    found = boilerplate(docs, host_col, text_col, ratio, min_pages, copies_vote)
     lists = kept(found.groupBy("host").agg(F.collect_list("digest").alias("digests")), "boilerplate")
     number = lists.agg(F.sum(F.size("digests"))).first()[0] or 0
     bad = lists.select(F.col("host").alias("_line_host"), F.col("digests").alias("_line_digests"))
