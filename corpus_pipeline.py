@@ -30,21 +30,33 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near duplicates.
 
-    Rows that repeat the id of such a document are copies of it or rivals for its place; one stays.
+    Groups without any id are told apart by their fingerprints, and each keeps one document.
+    Rows that repeat the id of such a document are copies of it or rivals for its place; the
+    one with the smallest hash of its text stays.
     """
     groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    first = kept(first, "first").withColumnRenamed("doc_id", "_first")
-    repeats = first.where("_rows > 1").limit(1).count()
-    found = docs.join(first.select("_first"), docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
-    return found.dropDuplicates(["doc_id"]) if repeats else found
+    own = F.when(F.col("component_id").isNull(), F.col("root"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
+    first = groups.groupBy("component_id", own.alias("own")).agg(least).select(F.col("least.doc_id").alias("_first"), F.col("least.text_hash").alias("_hash"))
+    first = kept(first, "first")
+    same = docs["doc_id"].eqNullSafe(first["_first"]) & (F.xxhash64(docs["text"]) == first["_hash"])
+    found = kept(docs.join(first, same, "left_semi"), "found")
+    if found.count() == first.count():
+        return found
+    return found.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select(*found.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
-    taken = mixing.mix(docs, **MIX).groupBy("doc_id").agg(F.count("*").alias("_times"))
-    taken = taken.select(F.col("doc_id").alias("_taken"), F.sequence(F.lit(1), F.col("_times")).alias("_copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]))
+    key = F.xxhash64(*docs.columns)  # rows that share id and key are equal, and any of them stands for all
+    taken = mixing.mix(docs, **MIX, key=key).groupBy("doc_id", "_key").agg(F.count("*").alias("_times"), F.count_if(F.col("epoch") == 0).alias("_rows"))
+    taken = kept(taken, "taken")
+    repeats = taken.where("_rows > 1").limit(1).count()
+    taken = taken.select(F.col("doc_id").alias("_taken"), "_key", F.sequence(F.lit(1), F.col("_times")).alias("_copies"))
+    single = docs.dropDuplicates() if repeats else docs
+    key = F.xxhash64(*(single[c] for c in docs.columns))
+    joined = single.join(taken, single["doc_id"].eqNullSafe(taken["_taken"]) & (key == taken["_key"]))
+    docs = single
     return joined.select(*(docs[c] for c in docs.columns), F.explode(taken["_copies"]).alias("_copy")).select(*(F.col(c) for c in docs.columns))
 
 

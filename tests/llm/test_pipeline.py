@@ -93,3 +93,29 @@ def test_mixing_stage_on_odd_rows(spark):
     out = corpus_pipeline.mixed(spark, docs, PATH)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {1, 2, 3}
     assert mixing.mix(docs).count() == out.count()
+
+
+def test_rows_without_id_keep_one_of_each_group(spark):
+    words = [" ".join(f"{a}{i}" for i in range(30)) for a in ("red", "blue", "green")]
+    rows = [(None, words[0]), (None, words[0]), (None, words[1]), (9, words[2]), (2, words[2]), (9, words[2] + " "), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    out = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, PATH).collect()), key=repr)
+    assert [x for x in out if x[0] is None] == [(None, words[1]), (None, words[0])]
+    assert len(out) == 3 and out[0][0] == 2
+
+
+def test_a_repeated_id_does_not_bring_its_near_copy_back(spark):
+    words = [" ".join(f"{a}{i}" for i in range(30)) for a in ("red", "blue")]
+    docs = spark.createDataFrame([(1, words[0]), (5, words[0]), (5, words[1])], "doc_id bigint, text string")
+    out = sorted((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, PATH).collect())
+    assert out == [(1, words[0]), (5, words[1])]
+
+
+def test_mixing_stage_keeps_repeated_rows_apart(spark):
+    rows = [(1, "a b", "x"), (1, "c d", "x"), (1, "c d", "x"), (None, "e f", "y"), (None, "g h i", "y"), (2, "j " * 40, "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(2)
+    out = corpus_pipeline.mixed(spark, docs, PATH)
+    want = Counter((r.doc_id, r.source, r.tokens) for r in mixing.mix(docs, **MIX).collect())
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.source, len(r.text.split()) + 1) for r in out.collect()) == want
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(i, t) for i, t, _ in rows}

@@ -103,6 +103,7 @@ def mix(
     total_tokens: int | None = None,
     block_docs: int = BLOCK_DOCS,
     step_tokens: int = STEP_TOKENS,
+    key: Column | None = None,
 ) -> DataFrame:
     """One row per occurrence of a document in the mix: ``doc_id, source, epoch, tokens, position, step``.
 
@@ -111,11 +112,13 @@ def mix(
     step holds each source by its weight. A document is taken if it starts within the
     budget. Null is a source like any other. ``tokens`` (default: words of ``text`` and
     one) is counted as at least 1. Rows that repeat an id are documents of their own, in
-    an order among themselves that follows their tokens. An empty table gives an empty one.
+    an order among themselves that follows their tokens, then ``key``; a ``key`` (BIGINT)
+    is returned as ``_key``. An empty table gives an empty one.
     """
     tokens = word_count(F.col("text")) if tokens is None else tokens
     rows = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.greatest(F.coalesce(tokens, F.lit(1)).cast("bigint"), F.lit(1)).alias("tokens")
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.greatest(F.coalesce(tokens, F.lit(1)).cast("bigint"), F.lit(1)).alias("tokens"),
+        *([] if key is None else [key.alias("_key")]),
     )
     return _streams(kept(rows, "mix"), max_repeats, target_entropy, total_tokens, block_docs, step_tokens)
 
@@ -127,6 +130,7 @@ def _place(epoch: Column, doc: Column) -> Column:
 
 
 def _streams(rows: DataFrame, max_repeats, target_entropy, total_tokens, block_docs, step_tokens) -> DataFrame:
+    keys = [c for c in rows.columns if c == "_key"]
     totals = kept(source_totals(rows), "sources")
     plan = budgets(totals, exponent(totals, max_repeats, target_entropy), total_tokens)
     plan = kept(plan.withColumn("_source", F.struct("source")).drop("source"), "budgets")
@@ -142,9 +146,9 @@ def _streams(rows: DataFrame, max_repeats, target_entropy, total_tokens, block_d
         .agg(F.sum("tokens").alias("sum"))
         .select("_source", "epoch", "block", F.coalesce(F.sum("sum").over(by_block), F.lit(0)).alias("before"))
     )
-    inside = Window.partitionBy("_source", "epoch", "block").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "epoch", "block").orderBy("place", "doc_id", "tokens", *keys).rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     each = each.join(starts, ["_source", "epoch", "block"])
     each = each.withColumn("position", F.col("epoch") * F.col("total") + F.col("before") + F.col("within")).where("position < budget")
     step = F.floor(F.col("position") / F.col("budget") * F.lit(steps)).cast("bigint").alias("step")
-    return each.select("doc_id", F.col("_source.source").alias("source"), F.col("epoch").cast("int").alias("epoch"), "tokens", "position", step)
+    return each.select("doc_id", F.col("_source.source").alias("source"), F.col("epoch").cast("int").alias("epoch"), "tokens", "position", step, *keys)

@@ -52,15 +52,15 @@ def simhash(data: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, bits)``: the fingerprint of every row as a signed BIGINT; null text has no words."""
+    """``(doc_id, bits, text_hash)``: the fingerprint of every row as a signed BIGINT; null text has no words."""
 
     def run(batches):
         for batch in batches:
             bits = np.array([simhash(x, shingle) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64)), batch.column(2)], ["doc_id", "bits", "text_hash"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, bits bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id bigint, bits bigint, text_hash bigint")
 
 
 def masks(max_bits: int) -> list[int]:
@@ -101,9 +101,10 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """``(doc_id, bits, fingerprint, component_id)``, one row per row of ``docs``.
+    """``(doc_id, bits, fingerprint, component_id, root, text_hash)``, one row per row of ``docs``.
 
-    ``component_id`` is the smallest id reachable over links. Texts that are null or
+    ``component_id`` is the smallest id reachable over links, ``root`` the smallest
+    fingerprint, which no two components share, and ``text_hash`` tells rows of one id apart. Texts that are null or
     without words have fingerprint 0 and are linked like any other; texts of fewer words
     than a shingle have one, all their words. Repeated rows stay repeated; rows with a
     null id are fingerprinted and linked, but never name a component unless nothing else
@@ -114,7 +115,7 @@ def near_duplicates(
     roots = connected(links(nodes, max_bits))
     joined = nodes.join(roots, nodes.bits == roots.node, "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(lowest, "root").select("bits", "component_id")
+    named = joined.join(lowest, "root").select("bits", "component_id", "root")
     return found.join(named, "bits").select(
-        "doc_id", "bits", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", "bits", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id", "root", "text_hash"
     )
