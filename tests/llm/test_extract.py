@@ -84,3 +84,20 @@ def test_odd_rows(spark):
     want = [(1, "x"), (2, ""), (3, ""), (None, "plain text"), (4, "word " * 49_999 + "word"), (4, "word " * 49_999 + "word"), (5, "a\nb\nc\nd<"), (6, "x\ndeep"), (7, "a < b & c < d")]
     assert got == sorted(want, key=repr)
     assert extract.extract(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("depth", [10, 59, 60, 61, 200, 3000])
+def test_end_tags_of_deep_elements_close_those(depth):
+    page = "<body><div class=wrap><article><p>one</p>" + "<div>" * depth + "<p>deep</p><div class=ad><div>Buy</div>now</div><aside>Side</aside><p>down</p>"
+    page += "</div>" * depth + "<p>two</p></article></div><p>after</p></body>"
+    assert extract.page_text(extract.Parser(), page, set(), set()) == "one\ndeep\ndown\ntwo"
+
+
+def test_an_article_below_many_elements():
+    page = "<body>" + "<div>" * 100 + "<p>menu</p><article><p>text <a href=x>link</a> on</p></article><p>after</p>" + "</div>" * 100
+    assert extract.page_text(extract.Parser(), page, set(), set()) == "text link on"
+
+
+def test_noise_words_of_headings_and_inline_elements_within_content():
+    page = '<article><h2 id="discussion">Discussion</h2><p>code <span class="hljs-comment">note</span></p><div id="comments">Nice</div></article>'
+    assert extract.page_text(extract.Parser(), page, set(), set()) == "Discussion\ncode note"

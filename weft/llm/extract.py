@@ -13,7 +13,8 @@ that meets in one place for a host are its frequent tokens, whose number is boun
 (tokens of a mean page) / ``MIN_SHARE``, however many pages the host has.
 
 Elements whose name, class, id or role says menu, header, footer, sidebar, notice, advert,
-form, script, style or reader comments are never article, nor is what they hold.
+form, script, style or reader comments are never article, nor is what they hold. Within
+content, words of headings and inline elements say nothing: there they name the text.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ MIN_PAGES = 5
 HELD_TOKENS = 300_000
 BROADCAST_TOKENS = 200_000
 PATHS = 100_000  # remembered element paths per task
-DEPTH = 60  # deeper elements count as their ancestor at this depth
+DEPTH = 60  # deeper elements count as the one around them, unless they are the first noise, content or link
 
 # HTML elements by their kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +54,7 @@ NOISE_WORDS = set(
     "login search toolbar pagination pager skip form".split()
 )
 HEADS = set("header masthead".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CONTENT_WORDS = set("article content post entry story main body text maincontent articlebody postbody".split())
 CLOSES_P = set(
@@ -87,6 +89,8 @@ class Element:
         inside = parent is not None and parent.content > 0
         if inside:
             words -= HEADS  # the head of an article is part of it
+        if inside and (name in INLINE or name in HEADINGS):
+            words = set()  # a slug or a style, not a part of the page
         noise = name in NOISE_TAGS or (name == "header" and not inside) or bool(words & NOISE_WORDS) or bool("=role" in named and words & NOISE_ROLES)
         if name in ("html", "body", "article", "main"):
             noise = False
@@ -121,6 +125,18 @@ class Parser:
         if self.count % 1000 == 0:
             self.root = Element(None, "", "")  # also frees what odd pages left
         out, node, at = [], self.root, 0
+        stack: list[tuple[str, Element]] = []  # open elements, as deep as the page goes
+        places: dict[str, list[int]] = {}  # of each name in the stack
+        scopes: list[int] = []  # places of names in SCOPES
+
+        def close(place: int) -> Element:
+            while len(stack) > place:
+                gone = stack.pop()[0]
+                places[gone].pop()
+                if gone in SCOPES:
+                    scopes.pop()
+            return stack[-1][1] if stack else self.root
+
         for m in _TOKEN.finditer(page):
             if m.start() > at:
                 out.append((1, node, page[at : m.start()]))
@@ -130,28 +146,26 @@ class Parser:
                 continue
             name = name.lower()
             if m.group(2):
-                inner = node
-                while inner.parent is not None and inner.name != name:
-                    if inner.name in SCOPES and name not in SCOPES:
-                        inner = None
-                        break
-                    inner = inner.parent
-                if inner is not None and inner.parent is not None:
-                    node = inner.parent
+                if places.get(name) and (name in SCOPES or not scopes or scopes[-1] < places[name][-1]):
+                    node = close(places[name][-1])
                 if name not in INLINE:
                     out.append((2, node, ""))
                 continue
             if name in CLOSES_P or name in SIBLINGS:
-                ends, inner = SIBLINGS.get(name, {"p"}), node
-                while inner.parent is not None and inner.name not in ends and inner.name not in SCOPES:
-                    inner = inner.parent
-                if inner.parent is not None and inner.name in ends:
-                    node = inner.parent
+                last = max((places[x][-1] for x in SIBLINGS.get(name, {"p"}) if places.get(x)), default=-1)
+                if last > (scopes[-1] if scopes else -1):
+                    node = close(last)
             if name not in INLINE:
                 out.append((2, node, ""))
-            opened = node.child(name, m.group(4)) if node.depth < DEPTH else node
+            opened = node.child(name, m.group(4))
+            if node.depth >= DEPTH and (opened.noise, opened.content, opened.link) == (node.noise, node.content, node.link):
+                opened = node
             out.append((0, opened, ""))
             if name not in VOID and not m.group(4).endswith("/"):
+                places.setdefault(name, []).append(len(stack))
+                if name in SCOPES:
+                    scopes.append(len(stack))
+                stack.append((name, opened))
                 node = opened
         if at < len(page):
             out.append((1, node, page[at:]))
