@@ -7,6 +7,10 @@ to the site's template rather than to a page. Valid classes nest: an element is
 only where the element around it is. What the template leaves open are its slots, and the
 article is what fills the slots below the template's content element.
 
+Where content is marked (article, main, or a class that says so), the marks decide: all text
+below them but noise is article, also what every page repeats. The template's texts are left
+out only below an element that the text's share alone has chosen.
+
 An occurrence vector has one entry per page of the host, so it is never built: each task
 adds up a hash of (page, count) for every token, and equal sums mean equal vectors. All
 that meets in one place for a host are its frequent tokens, whose number is bounded by
