@@ -67,3 +67,27 @@ def test_ties_go_to_smaller_ids(spark, k):
     frame = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(30)], "vec_id bigint, embedding array<double>")
     have = found(neighbours.search(frame, frame.where("vec_id = 1"), k=k))
     assert [i for i, _ in have[1]] == [3, 5, 7][:k]
+
+
+def test_copies_take_no_places(spark, monkeypatch):
+    """A third of the rows is one vector and norms differ: pivots stay distinct, ties whole, and others are found."""
+    monkeypatch.setattr(neighbours, "BLOCK", 700)
+    monkeypatch.setattr(neighbours, "LEAST", 1)
+    rng = np.random.default_rng(5)
+    own = rng.normal(size=(1000, 64))
+    own *= rng.uniform(0.8, 1.25, size=(1000, 1)) / np.linalg.norm(own, axis=1, keepdims=True)
+    ids = rng.permutation(1500).tolist()
+    vectors = own.tolist() + [own[0].tolist()] * 500
+    near = [(5000 + i, (own[0] + 0.05 * rng.normal(size=64)).tolist()) for i in range(10)]
+    asked = [(ids[0], vectors[0]), *near, *((ids[i], vectors[i]) for i in range(1, 40))]
+    schema = "vec_id bigint, embedding array<double>"
+    base, queries = spark.createDataFrame(list(zip(ids, vectors)), schema), spark.createDataFrame(asked, schema)
+    vecs = neighbours.distinct(base.select("vec_id", base["embedding"].alias("v")), 21)
+    assert vecs.count() == 1000 and len(np.unique(neighbours.pivots_of(vecs), axis=0)) == neighbours.PIVOTS
+    have, want = found(neighbours.search(base, queries)), brute(ids, vectors, asked)
+    copies = {ids[0], *ids[1000:]}
+    for q, _ in asked:
+        assert len(have[q]) == 20
+        named = [i for i, _ in have[q] if i in copies]
+        assert named == sorted(copies - {q})[: len(named)]
+    assert np.mean([len({i for i, _ in have[q]} & {i for i, _ in want[q]}) / 20 for q, _ in asked]) >= 0.9

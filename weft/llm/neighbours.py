@@ -6,10 +6,14 @@ nearest pivots, adds up the footrule distance of the two orders (a pivot that on
 lacks counts as rank ``prefix``), and the vectors with the smallest distance are
 reranked by their exact inner product.
 
+Equal vectors are one row of the index, with the smallest of their ids, and one pivot at
+most: copies take no places from others. Ids are put in again when a block's best are known.
+
 Vectors are dealt by hash into blocks of about ``BLOCK`` rows, each with its own inverted
 files, so that no pivot's file can grow with the data or with how common a vector is.
 Queries are dealt into groups of about ``QUERIES``; a task holds one block and one group.
-The share ``rerank`` of every block is reranked, at every size of the data.
+The share ``rerank`` of every block is reranked, at every size of the data, with all
+whose distance equals that of its last.
 """
 
 from __future__ import annotations
@@ -39,12 +43,19 @@ def usable(frame: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def pivots_of(vectors: DataFrame, number: int = PIVOTS) -> np.ndarray:
-    """The ``number`` vectors with the smallest hash of their components, scaled to unit length."""
+    """The ``number`` vectors with the smallest hash of their components, scaled to unit length; ``vectors`` are distinct."""
     rows = vectors.orderBy(F.xxhash64("v"), "vec_id").limit(number).collect()
     found = np.array([r.v for r in rows], float)
     return found / np.linalg.norm(found, axis=1, keepdims=True) if len(found) else found
 
 
+def distinct(vectors: DataFrame, most: int) -> DataFrame:
+    """``(vec_id, v, ids)``: each vector once, with its smallest ``most`` ids in order; ``vec_id`` is the first."""
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))  # cut off before the shuffle too
+    few = vectors.withColumn("place", place).where(F.col("place") <= most)
+    return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("vec_id"), "v", "ids")
+
+
 def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """(rows, prefix) pivot numbers, nearest first; ties: smaller number."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -91,7 +102,8 @@ def search(
     candidate; repeated rows of an id count once, the greatest components winning. With fewer than
     ``k`` candidates all are returned; without queries or candidates nothing is.
     """
-    vectors = kept(usable(base, id_col, vector_col).groupBy("vec_id").agg(F.max("v").alias("v")), "vectors")
+    vectors = usable(base, id_col, vector_col).groupBy("vec_id").agg(F.max("v").alias("v"))
+    vectors = kept(distinct(vectors, k + 1), "vectors")  # one of the ids may be the query's own
     asked = kept(usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.max("v").alias("v")), "asked")
     centres = pivots_of(vectors, pivots)
     prefix = min(prefix, len(centres))
@@ -104,21 +116,26 @@ def search(
         if len(rows) and len(asked):
             ids, v = rows["vec_id"].to_numpy(), np.array(rows["v"].tolist(), float)
             own = np.argsort(ids, kind="stable")
-            ids, v = ids[own], v[own]
+            ids, v, every = ids[own], v[own], [rows["ids"].iloc[i] for i in own]
+            alone = np.array([len(x) == 1 for x in every])
             files = InvertedFiles(orders(v, sent.value, prefix), len(sent.value))
             q = np.array(asked["v"].tolist(), float)
             count = min(len(ids), max(LEAST, int(np.ceil(rerank * len(ids)))))
             for query, vector, order in zip(asked["vec_id"].to_numpy(), q, orders(q, sent.value, prefix)):
                 near = files.similarity(order)
-                found = np.argpartition(-near, count - 1)[:count] if count < len(ids) else np.arange(len(ids))
-                found = found[ids[found] != query]
+                found = np.flatnonzero(near >= np.partition(near, -count)[-count]) if count < len(ids) else np.arange(len(ids))
+                found = found[(ids[found] != query) | ~alone[found]]
                 score = v[found] @ vector
                 if len(found) > k:
                     least = np.partition(score, -k)[-k]
                     good = score >= least  # all ties of the last place, so that the smaller ids can win
                     found, score = found[good], score[good]
-                best = np.lexsort((ids[found], -score))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[found[best]], "score": score[best]}))
+                names = [every[i] for i in found]
+                score = np.repeat(score, [len(x) for x in names])
+                names = np.concatenate(names) if names else np.zeros(0, np.int64)
+                names, score = names[names != query], score[names != query]
+                best = np.lexsort((names, -score))[:k]
+                out.append(pd.DataFrame({"query_id": query, "vec_id": names[best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     left = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
