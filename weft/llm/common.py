@@ -23,7 +23,17 @@ def kept(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = scratch_path(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    written = spark.read.schema(frame.schema).parquet(path)
+    written.kept_at = path
+    return written
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of tables that :func:`kept` wrote, once nothing reads them any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def worker_store() -> dict:
