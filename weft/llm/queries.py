@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import extract, langid, linedup, mixing, neighbours, packing, quality, simhash, sketches, viterbi
+from weft.llm import collocations, exactdedup, extract, langid, linedup, mixing, neighbours, packing, quality, ranked, simhash, sketches, viterbi
 from weft.llm.common import id_crc32, table
 
 #: Folder of the public vocabulary files; a parameter of every query that needs one.
@@ -71,9 +71,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), **MIX)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of each language."""
+    found = collocations.collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item among all."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exactdedup.duplicate_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_quality, op2_fingerprints, op3_neighbours, op4_simhash, op5_language, op6_packing, op7_token_counts, op8_extraction, op9_line_dedup, op10_mixing)
-}
+    f.__name__: f
+    for f in (
+        op1_quality, op2_fingerprints, op3_neighbours, op4_simhash, op5_language, op6_packing, op7_token_counts, op8_extraction, op9_line_dedup, op10_mixing,
+        op11_collocations, op12_ranked, op13_exact_dedup,
+    )
+}
 
 LINE_DEDUP_SQL = f"""
 WITH lines AS (
@@ -125,4 +145,68 @@ SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, tokens, CAST(position AS
 FROM placed, steps WHERE position < budget
 """
 
-ORACLE = {"op9_line_dedup": LINE_DEDUP_SQL, "op10_mixing": MIXING_SQL}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+COLLOCATIONS_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), spoken AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS words FROM pieces
+), totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM spoken GROUP BY lang),
+grams AS (
+  SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase
+  FROM spoken, LATERAL unnest(range(1, {collocations.LONGEST + 1})) s(size), LATERAL unnest(range(1, len(words) - size + 2)) p(i)
+), f AS (
+  SELECT lang, phrase, any_value(size) AS size, count(*) AS n FROM grams GROUP BY lang, phrase HAVING count(*) >= {collocations.MIN_COUNT}
+), staying AS (
+  SELECT f.* FROM f WHERE size > 1 AND NOT EXISTS (
+    SELECT 1 FROM f g WHERE g.lang = f.lang AND g.size > f.size AND contains(' ' || g.phrase || ' ', ' ' || f.phrase || ' ')
+      AND 100 * g.n >= {collocations.CONTAINED_PERCENT} * f.n)
+), cuts AS (
+  SELECT lang, phrase, n AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM staying, LATERAL unnest(range(1, size)) c(k)
+), scores AS (
+  SELECT c.*, l.n AS l, r.n AS r, t.n AS n,
+    CAST((1000::HUGEINT * a * t.n) // (l.n::HUGEINT * r.n) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = head JOIN f r ON r.lang = c.lang AND r.phrase = tail JOIN totals t ON t.lang = c.lang
+), worst AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM worst QUALIFY rank <= {collocations.TOP}
+"""
+
+RANKED_SQL = f"""
+WITH terms AS (
+  SELECT doc_id, row, unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS row FROM documents)
+), lengths AS (SELECT row, any_value(doc_id) AS doc_id, count(*) AS n FROM terms GROUP BY row),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+tfs AS (SELECT row, term, count(*) AS tf FROM terms GROUP BY row, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, totals GROUP BY term, docs
+), wanted AS (
+  SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+), queries AS (SELECT item_id, term, count(*) AS q FROM wanted GROUP BY item_id, term),
+scores AS (
+  SELECT item_id, row, any_value(l.doc_id) AS doc_id,
+    CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * l.n * docs) // terms)))) AS BIGINT) AS score
+  FROM queries JOIN tfs USING (term) JOIN weights USING (term) JOIN lengths l USING (row), totals GROUP BY item_id, row
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= {ranked.TOP}
+"""
+
+EXACT_DEDUP_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+ORACLE = {
+    "op9_line_dedup": LINE_DEDUP_SQL,
+    "op10_mixing": MIXING_SQL,
+    "op11_collocations": COLLOCATIONS_SQL,
+    "op12_ranked": RANKED_SQL,
+    "op13_exact_dedup": EXACT_DEDUP_SQL,
+}

@@ -226,8 +226,8 @@ def _search_block(docs: DataFrame, block: list, id_col: str, text_col: str, top:
     sizes = rows.agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
     number, terms = sizes[0], sizes[1] or 0
     df = np.zeros(width, np.int64)
-    for i, n in rows.select(F.explode("ids").alias("i")).groupBy("i").count().toLocalIterator():
-        df[i] = n
+    holding = rows.select(F.explode("ids").alias("i")).groupBy("i").count().toArrow()  # a row per term of the block
+    df[holding["i"].to_numpy()] = holding["count"].to_numpy()
     weight = [math.floor(1000 * math.log((2 * number + 2) / (2 * int(x) + 1))) for x in df]
     queries = []
     for counts in wanted:
