@@ -87,7 +87,11 @@ class Stretch:
         self.seed = np.array([seeds[lang] for lang in langs], np.uint64)[self.owner]
         up, self.down = powers(len(self.flat) + 1)
         self.sums = np.zeros(len(self.flat) + 1, np.uint64)
-        np.cumsum((self.flat.astype(np.uint64) + np.uint64(1)) * up[: len(self.flat)], dtype=np.uint64, out=self.sums[1:])
+        terms = self.sums[1:]
+        terms += self.flat
+        terms += np.uint64(1)  # so that a byte 0 counts
+        terms *= up[: len(terms)]
+        np.cumsum(terms, out=terms)
 
     def places(self, size: int) -> np.ndarray:
         """Words at which an n-gram of ``size`` words starts within its piece."""

@@ -12,8 +12,8 @@ whose k-th best score so far is t:
   (length of the document's rest), and those below t go;
 * survivors are scored again, exactly, in 64-bit integers.
 
-The longest vectors are searched first, to give every query a t to start from; then all
-partitions work at once, each raising its own t. Nothing is cut but by these bounds, so the
+About ``BUCKET`` of the longest vectors are searched first, where they lie, to give every query
+a t to start from; then all partitions work at once, each raising its own t. Nothing is cut but by these bounds, so the
 result is that of scoring every document. Queries are a stated set, worked through in blocks
 whose text is bounded; only they, and counts of their terms, are broadcast.
 """
@@ -235,17 +235,18 @@ def _search_block(docs: DataFrame, block: list, id_col: str, text_col: str, top:
         pairs = [p for p in pairs if p[1] > 0]
         queries.append(tuple(np.array([p[j] for p in pairs], np.int64) for j in (0, 1)))
     shared = spark.sparkContext.broadcast(queries)
-    vectors = measured(rows, number, terms)
+    vectors = kept(measured(rows, number, terms), "vectors")
     how = (number, terms, width, top)
-    head = searched(vectors.orderBy(F.desc("length")).limit(BUCKET), shared, {}, *how)
-    least = head.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("low")).where(F.col("n") >= top)
-    least = {row.query: row.low for row in least.collect()}  # a row per query of the block
+    cut = F.percentile_approx("length", F.lit(max(0.0, 1 - BUCKET / max(number, 1))), F.lit(10_000))
+    longest = vectors.where(F.col("length") >= (vectors.agg(cut).first()[0] or 0.0))
+    head = _best(searched(longest, shared, {}, *how), top).where(F.col("rank") == top)
+    least = {row.query: row.score for row in head.collect()}  # a row per query of the block
     ordered = vectors.withColumn("spread", F.xxhash64("doc_id", F.monotonically_increasing_id()))
     ordered = ordered.repartitionByRange(F.desc("length"), "spread").drop("spread").sortWithinPartitions(F.desc("length"))
     found = _best(searched(ordered, shared, least, *how), top)
     names = spark.createDataFrame([(i, row.item_id) for i, row in enumerate(block)], "query bigint, item_id bigint")
     found = kept(found.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", "score"), "ranked")
-    forget(rows)
+    forget(rows, vectors)
     return found
 
 
