@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators import placement, projection, structure, superstep
+from weft.operators.layout import Layout
 
 Predicate = Callable[[Column, Column], Column]
 
@@ -32,6 +33,7 @@ class HyperGraph:
     he: DataFrame
     inc: DataFrame
     distinct: bool = False
+    layout: Layout | None = field(default=None, compare=False, repr=False)
 
     # -- construction -----------------------------------------------------------------
 
@@ -67,7 +69,21 @@ class HyperGraph:
         return graph.partition_by(*partition) if partition else graph
 
     def with_tables(self, hv: DataFrame, he: DataFrame) -> HyperGraph:
-        return HyperGraph(hv, he, self.inc, self.distinct)
+        return HyperGraph(hv, he, self.inc, self.distinct, self.layout)
+
+    def prepare(self) -> HyperGraph:
+        """This hypergraph with its incidences laid out for supersteps, once for all algorithms.
+
+        Both directions are written below the checkpoint folder as tables bucketed by sender,
+        parallel incidences merged. Whatever keeps the incidences (attribute maps,
+        :meth:`dual`, every algorithm's result) keeps the layout. :meth:`release` deletes it.
+        """
+        return self if self.layout else replace(self, layout=Layout.of(self))
+
+    def release(self) -> None:
+        """Delete the layout of :meth:`prepare`; no graph that shares it can be used for supersteps afterwards."""
+        if self.layout:
+            self.layout.release()
 
     # -- sinks ------------------------------------------------------------------------
 
@@ -155,7 +171,7 @@ class HyperGraph:
     def dual(self) -> HyperGraph:
         """Vertices become hyperedges and the reverse; ids stay."""
         inc = self.inc.select(F.col("hv_id").alias("he_id"), F.col("he_id").alias("hv_id"))
-        return HyperGraph(self.he, self.hv, inc, self.distinct)
+        return HyperGraph(self.he, self.hv, inc, self.distinct, self.layout and self.layout.dual())
 
     def to_graph(self, value: Callable[[Column], Column], combine="sum", block: int = projection.BLOCK) -> Graph:
         """One-mode projection: an edge for every ordered pair of members of a hyperedge.
@@ -185,9 +201,9 @@ class HyperGraph:
 
     # -- supersteps -------------------------------------------------------------------
 
-    def compute(self, max_iters, initial, vertex_program, hyperedge_program, trace=None) -> HyperGraph:
+    def compute(self, max_iters, initial, vertex_program, hyperedge_program, trace=None, frontier=None) -> HyperGraph:
         """See :func:`weft.operators.superstep.compute`."""
-        return superstep.compute(self, max_iters, initial, vertex_program, hyperedge_program, trace)
+        return superstep.compute(self, max_iters, initial, vertex_program, hyperedge_program, trace, frontier)
 
 
 @dataclass(frozen=True)

@@ -68,6 +68,8 @@ def update(nodes: DataFrame, values: DataFrame, f) -> DataFrame:
 
 
 def links(graph: HyperGraph) -> DataFrame:
+    if graph.layout:
+        return graph.layout.links()
     if graph.distinct:
         return graph.inc.select("he_id", "hv_id", F.lit(1).cast("bigint").alias("copies"))
     return merge_copies(graph.inc, ["he_id", "hv_id"])

@@ -1,10 +1,11 @@
 """Alternating vertex / hyperedge supersteps.
 
 One *half step* is one Spark job: senders join their links (no shuffle, see
-:class:`~weft.operators.routes.Routes`), messages are pre-aggregated and shuffled once
+:mod:`weft.operators.layout`), messages are pre-aggregated and shuffled once
 by destination, joined to the destination's state, and the destination's program runs
-as Column expressions. Its new state goes to the checkpoint folder, so plans stay small
-and a lost executor costs no earlier half step; the state it replaces is deleted.
+as Column expressions. The new values of the nodes that heard something, and only those, go
+to the checkpoint folder, so plans stay small and a lost executor costs no earlier half
+step; values that were replaced are deleted.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.operators.combiners import Combiner, default_combiner, resolve
-from weft.operators.routes import Routes, arrange, merge_copies
-from weft.session import cut, discard, fixed_plans, partitions_for
+from weft.operators.layout import Lane, Layout, NodeState
+from weft.session import cut
 
 if TYPE_CHECKING:
     from weft.model import HyperGraph
@@ -137,7 +138,8 @@ def _run(rows: DataFrame, ran: Column, program: Program, superstep: int) -> _Sta
             outbox.append(F.when(sent, send.to.ids).alias(f"_to{i}"))
     if any(callable(send.payload) for send in step.sends):
         outbox.append(F.struct("attr", "msg").alias("_was"))
-    state = rows.select("id", attr.alias("attr"), ran.alias("_ran"), *outbox)
+    rest = [c for c in rows.columns if c == "_layer"]
+    state = rows.select("id", attr.alias("attr"), ran.alias("_ran"), *outbox, *rest)
     return _State(state, step.sends)
 
 
@@ -160,7 +162,7 @@ def _accepts(i: int, send: Send) -> Column:
     return sent & (~listed if isinstance(send.to, AllExcept) else listed)
 
 
-def _deliver(state: _State, routes: Routes, combiner) -> DataFrame:
+def _deliver(state: _State, routes, combiner) -> DataFrame:
     """Messages of ``state`` combined per destination: ``(dst_id, msg)``."""
     sends = state.sends
     senders = state.rows.where(_any_sent(sends)).drop("attr", "_ran")
@@ -185,23 +187,20 @@ def _deliver(state: _State, routes: Routes, combiner) -> DataFrame:
 
 
 def _half_step(
-    senders: _State, routes: Routes, combiner, nodes: DataFrame, program: Program, superstep: int
+    senders: _State, lane: Lane, combiner, nodes: NodeState, program: Program, superstep: int
 ) -> tuple[_State, int, int]:
-    """Deliver to ``nodes``, run their program, write the new state.
+    """Deliver to ``nodes``, run their program on those that have a message, write their new state.
 
-    Returns it with the number of nodes that had a message and of nodes that sent one.
+    Returns what they send, the number of nodes that had a message and of nodes that sent one.
     """
-    messages = _deliver(senders, routes, combiner).hint("merge")
-    heard = nodes.select("id", "attr").join(messages, F.col("id") == F.col("dst_id"), "left")
-    state = _run(heard, F.col("dst_id").isNotNull(), program, superstep)
+    heard = nodes.current(_deliver(senders, lane, combiner))
+    state = _run(heard, F.lit(True), program, superstep)
     seen = Observation()
-    observed = state.rows.observe(
-        seen,
-        F.count_if("_ran").alias("heard"),
-        F.count_if(_any_sent(state.sends)).alias("sent"),
-    )
-    state.rows = cut(observed)
-    return state, seen.get["heard"], seen.get["sent"]
+    counts = [F.count("*").alias("heard"), F.count_if(_any_sent(state.sends)).alias("sent"), *nodes.counters()]
+    written = nodes.push(state.rows.observe(seen, *counts).drop("_layer"))
+    found = seen.get
+    nodes.pushed(written, found["heard"], found)
+    return _State(written, state.sends), found["heard"], found["sent"]
 
 
 def compute(
@@ -211,6 +210,7 @@ def compute(
     vertex_program: Program,
     hyperedge_program: Program,
     trace: list[int] | None = None,
+    frontier: list[tuple[int, int, int]] | None = None,
 ) -> HyperGraph:
     """Run vertex and hyperedge programs in alternation.
 
@@ -219,59 +219,46 @@ def compute(
     and send nothing. Each program runs at most ``max_iters`` times (``None``: until no
     messages flow); with 0 only the first vertex run happens. Messages the hyperedges
     send in the last superstep are not applied. ``trace`` collects the number of nodes
-    with a message per half step.
+    with a message per half step, ``frontier`` (half step, nodes with a message, nodes that
+    send). On a graph made by :meth:`~weft.model.HyperGraph.prepare` the incidences stay
+    where they are; otherwise they are laid out for this one run.
     """
-    spark = graph.inc.sparkSession
     if max_iters == 0:
         start = graph.hv.withColumn("msg", initial)
         state = _run(start.select("id", "attr", "msg"), F.lit(True), vertex_program, 0)
         return graph.with_tables(hv=cut(state.rows.select("id", "attr")), he=graph.he)
 
     with ExitStack() as kept:
-        links = graph.links().persist()
-        kept.callback(links.unpersist)
-        total = links.count()
-        parts = partitions_for(spark, total)
-        first = {}
+        layout = graph.layout
+        if layout is None:
+            layout = Layout.of(graph)
+            kept.callback(layout.release)
+        nodes = {}
         for role in ("hv", "he"):
-            first[role] = arrange(getattr(graph, role).select("id", "attr"), parts)
-            kept.callback(first[role].unpersist)
-        kept.enter_context(fixed_plans(spark, parts))
-        routes = {}
-        for receiver, a, b in (("he", "hv_id", "he_id"), ("hv", "he_id", "hv_id")):
-            directed = links.select(F.col(a).alias("src_id"), F.col(b).alias("dst_id"), "copies")
-            routes[receiver] = Routes(directed, total)
-            kept.callback(routes[receiver].release)
-        state = {
-            "hv": _run(first["hv"].withColumn("msg", initial), F.lit(True), vertex_program, 0),
-            "he": _State(first["he"]),
-        }
+            nodes[role] = NodeState(getattr(graph, role), layout.parts)
+            kept.callback(nodes[role].release)
+        first: list[_State] = []
+
+        def begin(rows: DataFrame) -> DataFrame:
+            first.append(_run(rows.withColumn("msg", initial), F.lit(True), vertex_program, 0))
+            return first[0].rows
+
+        nodes["hv"].replace(begin)
+        state = first[0]
         program = {"hv": vertex_program, "he": hyperedge_program}
-        written: dict[str, DataFrame] = {}
-
-        superstep, sender, receiver = 0, "hv", "he"
-        while state[sender].sends:
-            reached, heard, sent = _half_step(
-                state[sender],
-                routes[receiver],
-                program[sender].combiner,
-                state[receiver].rows,
-                program[receiver],
-                superstep,
+        superstep, half, sender, receiver = 0, 0, "hv", "he"
+        while state.sends:
+            state, heard, sent = _half_step(
+                state, layout.lanes[receiver], program[sender].combiner, nodes[receiver], program[receiver], superstep
             )
-            discard(written.get(receiver))
-            state[receiver], written[receiver] = reached, reached.rows
             if trace is not None:
                 trace.append(heard)
+            if frontier is not None:
+                frontier.append((half, heard, sent))
+            half += 1
             superstep += receiver == "he"
-            if len(written) == 2:
-                links.unpersist()  # both layouts exist by now
             if sent == 0 or superstep == max_iters:
                 break
             sender, receiver = receiver, sender
-
-        done = {
-            role: (written[role] if role in written else cut(state[role].rows)).select("id", "attr")
-            for role in ("hv", "he")
-        }
+        done = {role: nodes[role].finish() for role in ("hv", "he")}
     return graph.with_tables(**done)
