@@ -144,6 +144,40 @@ SELECT id, label FROM label UNION ALL
 SELECT hv, max(label) FROM link JOIN label ON label.id = link.he GROUP BY hv""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def frontier(half_steps: int, source: int) -> str:
+    """Breadth first: reached in each half step, and those reached for the first time."""
+    ctes = f""",
+s0 AS MATERIALIZED (SELECT id FROM hv WHERE id = {source})"""
+    rows = []
+    for k in range(1, half_steps + 1):
+        role, other = ("he", "hv") if k % 2 else ("hv", "he")
+        seen = " UNION ALL ".join(f"SELECT id FROM s{j}" for j in range(k - 2, -1, -2)) or "SELECT -1 AS id WHERE false"
+        ctes += f""",
+r{k} AS MATERIALIZED (SELECT DISTINCT inc.{role} AS id FROM inc JOIN s{k - 1} s ON s.id = inc.{other}),
+s{k} AS MATERIALIZED (SELECT id FROM r{k} WHERE id NOT IN ({seen}))"""
+        count = f"SELECT CAST({k - 1} AS INTEGER) AS half_step, (SELECT count(*) FROM r{k}) AS reached, (SELECT count(*) FROM s{k}) AS sent"
+        rows.append(f"SELECT * FROM ({count}) WHERE reached > 0 OR half_step = 0")
+    return orders(ctes + " " + " UNION ALL ".join(rows))
+
+
+CHAINS = """
+WITH runs AS (
+  SELECT o_orderkey AS o, o_orderkey // 1000 AS run, o_orderkey - row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) AS island
+  FROM orders
+), shift AS (SELECT max(o) - min(o) + 1 AS s FROM runs),
+labels AS (SELECT o, s, max(o) OVER (PARTITION BY run, island) + s AS label FROM runs, shift)
+SELECT o AS id, label FROM labels UNION ALL SELECT o + s, label FROM labels"""
+
+REGISTERS = """,
+digest AS (SELECT id, md5(CAST(id AS VARCHAR)) AS d FROM hv),
+reg AS (SELECT id, CAST('0x' || substr(d, 1, 3) AS INTEGER) AS register, CAST('0x' || substr(d, 4, 13) AS BIGINT) AS rest FROM digest),
+inside AS (
+  SELECT he, register, max(CASE WHEN rest = 0 THEN 53 ELSE 53 - length(bin(rest)) END) AS rank FROM inc JOIN reg ON reg.id = inc.hv GROUP BY he, register)
+SELECT hv AS id, register, CAST(max(rank) AS INTEGER) AS rank FROM inc JOIN inside USING (he) GROUP BY hv, register"""
+
+EVERYONE = ", ends AS (SELECT DISTINCT hv AS v FROM inc)"
+
+
 def components(rounds: int) -> str:
     ctes = ", v0 AS MATERIALIZED (SELECT id, id AS val FROM hv)"
     for k in range(rounds):
@@ -466,6 +500,14 @@ def build() -> dict[str, str]:
             e AS (SELECT id, coalesce(n, 0) AS n FROM hv LEFT JOIN c ON c.hv = id)
             SELECT id, n AS estimate, CAST(floor(n - n * 0.0325::DOUBLE) AS BIGINT) AS low,
                    CAST(ceil(n + n * 0.0325::DOUBLE) AS BIGINT) AS high FROM e"""),
+        "sketch_registers": orders(REGISTERS),
+        "recipients_table": heard(
+            "sum(inc.hv)", "(inc.hv, inc.he) IN (SELECT (l_partkey, l_orderkey + s) FROM lineitem, shift WHERE l_returnflag = 'R')", EVERYONE
+        ),
+        "recipients_table_except": heard("sum(inc.hv)", "inc.he NOT IN (SELECT o_orderkey + s FROM orders, shift WHERE o_orderstatus = 'F')", EVERYONE),
+        "components_chain": CHAINS,
+        "frontier_sizes": frontier(7, 1),
+        "shortest_path_prepared": f"SELECT id, a.distance AS first, b.distance AS second FROM ({hops(6, 1)}) a JOIN ({hops(6, 2)}) b USING (id)",
         "recipients_only": heard("sum(inc.hv)", "inc.he IN (first, last)", ENDS),
         "recipients_except": heard("sum(inc.hv)", "inc.he NOT IN (first, last)", ENDS),
         "message_by_destination": heard("sum(inc.he * p_size - inc.hv)", "true", ENDS),

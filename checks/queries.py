@@ -18,6 +18,7 @@ from weft.plans import (
     connected_components,
     label_propagation,
     neighbour_counts,
+    neighbour_registers,
     pagerank,
     pagerank_entropy,
     pagerank_graph,
@@ -437,6 +438,12 @@ def neighbours_hll(spark, sf):
     return neighbour_counts(orders_parts(spark, sf))
 
 
+@query
+def sketch_registers(spark, sf):
+    """The registers from which neighbour counts are estimated, row by row."""
+    return neighbour_registers(orders_parts(spark, sf))
+
+
 # -- supersteps ---------------------------------------------------------------------------
 
 def zero():
@@ -482,6 +489,25 @@ def recipients_except(spark, sf):
     )
 
 
+@query
+def recipients_table(spark, sf):
+    """Parts reach only the orders that returned them: pairs from a table."""
+    graph = orders_parts(spark, sf)
+    lines = table(spark, sf, "lineitem").where("l_returnflag = 'R'")
+    pairs = lines.join(graph.he.select("id", "orig_id"), F.col("l_orderkey") == F.col("orig_id"))
+    pairs = pairs.select(F.col("l_partkey").alias("sender"), F.col("id").alias("receiver"))
+    return _heard(graph, lambda id, _: [Send(id, Only(pairs))])
+
+
+@query
+def recipients_table_except(spark, sf):
+    """Every part reaches the orders that a table does not name."""
+    graph = orders_parts(spark, sf)
+    closed = table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    closed = closed.join(graph.he.select("id", "orig_id"), F.col("o_orderkey") == F.col("orig_id"))
+    return _heard(graph, lambda id, _: [Send(id, AllExcept(closed.select(F.col("id").alias("receiver"))))])
+
+
 @query
 def message_by_destination(spark, sf):
     return _heard(orders_parts(spark, sf, "p_size"), lambda id, size: [Send(lambda dst: dst * size - id)])
@@ -651,6 +677,20 @@ def components_small_dual(spark, sf):
     return both(connected_components(few_lines(spark, sf).dual()), "label")
 
 
+def order_chains(spark, sf) -> HyperGraph:
+    """Each order joins itself and its successor, in runs of a thousand keys."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    later = orders.select((F.col("id") - 1).alias("he_id"), F.col("id").alias("hv_id")).where("id % 1000 <> 0")
+    later = later.join(orders.select(F.col("id").alias("he_id")), "he_id", "left_semi")
+    return HyperGraph.from_tables(orders.select(F.col("id").alias("he_id"), F.col("id").alias("hv_id")).union(later), orders, orders)
+
+
+@query
+def components_chain(spark, sf):
+    """Components whose chains are a thousand links long."""
+    return both(connected_components(order_chains(spark, sf)), "label")
+
+
 @query
 def label_propagation_labels(spark, sf):
     return both(label_propagation(orders_parts(spark, sf), 3), "label")
@@ -698,6 +738,23 @@ def shortest_path_hops(spark, sf):
     return both(shortest_path(orders_parts(spark, sf), 10, 1), "distance")
 
 
+@query
+def shortest_path_prepared(spark, sf):
+    """Two runs on incidences that are laid out once: distances from two parts."""
+    graph = orders_parts(spark, sf).prepare()
+    near, far = (both(shortest_path(graph, 6, source), name) for source, name in ((1, "first"), (2, "second")))
+    graph.release()
+    return near.join(far, "id")
+
+
+@query
+def frontier_sizes(spark, sf):
+    """Per half step of a shortest path: nodes that heard something, and nodes it brought nearer."""
+    rows: list[tuple[int, int, int]] = []
+    shortest_path(orders_parts(spark, sf), 4, 1, frontier=rows)
+    return spark.createDataFrame(rows, "half_step int, reached bigint, sent bigint")
+
+
 @query
 def shortest_path_sum(spark, sf):
     return both(shortest_path(orders_parts(spark, sf), 4, 1, "sum"), "distance", digits=True)

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,32 @@ if TYPE_CHECKING:
 #: Layers of changes that a node table may have before they are merged.
 MOST_LAYERS = 4
 
+#: A base of at most so many rows a bucket is written anew instead: one table is read faster than several.
+WHOLE_ROWS = 250_000
+
+#: How the jobs of a loop are planned. Buckets are of known number and hot keys spread, so
+#: nothing is left to adapt; every bucket is one sorted file, so joins need no sort.
+LOOP_SETTINGS = {
+    "spark.sql.adaptive.enabled": "false",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+}
+
+
+def loop_session(spark: SparkSession, parts: int) -> SparkSession:
+    """A session for a loop's own jobs, with the settings of ``spark`` but for :data:`LOOP_SETTINGS`.
+
+    Nothing is set on ``spark`` itself, so its other queries and other loops are not affected.
+    """
+    loop = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if loop.conf.isModifiable(key):
+            loop.conf.set(key, value)
+    for key, value in LOOP_SETTINGS.items():
+        loop.conf.set(key, value)
+    loop.conf.set("spark.sql.shuffle.partitions", str(parts))
+    return loop
+
 
 def bucketed(frame: DataFrame, keys: list[str], parts: int, name: str) -> DataFrame:
     """Write ``frame`` in ``parts`` buckets by ``keys`` and read it back.
@@ -117,45 +143,57 @@ class Layout:
 class NodeState:
     """``(id, attr)`` of one role: a base table and layers of later values, the newest last."""
 
-    def __init__(self, nodes: DataFrame, parts: int):
-        self.parts = parts
-        self.written = [bucketed(nodes.select("id", "attr").repartition(parts, "id"), ["id"], parts, "nodes")]
-        self.base, self.rows = self.written[0], None
+    def __init__(self, nodes: DataFrame, parts: int, loop: SparkSession):
+        self.parts, self.spark = parts, nodes.sparkSession
+        first = bucketed(nodes.select("id", "attr").repartition(parts, "id"), ["id"], parts, "nodes")
+        self.number = first.count()
+        self.whole = self.number <= WHOLE_ROWS * parts
+        self.base = loop.table(first.bucketed_as[0])
+        self.base.bucketed_as = first.bucketed_as
+        self.written = [self.base]
+        self.table: DataFrame | None = self.base  # whose columns the base is, if any
         self.layers: list[list] = []  # [table, rows of it that are still the newest of their id]
 
     def replace(self, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Let the base be what ``f`` makes of its rows; nothing is written."""
         rows = f(self.base)
-        self.base = rows.select("id", "attr")
+        self.base, self.table = rows.select("id", "attr"), None
         return rows
 
     def current(self, messages: DataFrame | None = None) -> DataFrame:
-        """``(id, attr, _layer)``, with ``msg`` and only where there is one if ``messages(dst_id, msg)`` are given.
+        """``(id, attr, _layer)``, and ``dst_id`` and ``msg`` if ``messages(dst_id, msg)`` are given.
 
-        ``_layer`` is the number of the layer that the attribute comes from, -1 for the base.
+        Then there are only nodes that have one, unless the table is written whole. ``_layer``
+        is the number of the layer that the attribute comes from, -1 for the base.
         """
         rows, attr, layer = self.base, F.col("attr"), F.lit(-1)
         if messages is not None:
-            rows = rows.join(messages, F.col("id") == F.col("dst_id"))
+            rows = rows.join(messages, F.col("id") == F.col("dst_id"), "left" if self.whole else "inner")
         for i, (table, _) in enumerate(self.layers):
             values = table.select(F.col("id").alias(f"_id{i}"), F.col("attr").alias(f"_attr{i}"))
             rows = rows.join(values, F.col("id") == F.col(f"_id{i}"), "left")
             attr = F.when(F.col(f"_id{i}").isNotNull(), F.col(f"_attr{i}")).otherwise(attr)
             layer = F.when(F.col(f"_id{i}").isNotNull(), F.lit(i)).otherwise(layer)
-        return rows.select("id", attr.alias("attr"), *([] if messages is None else ["msg"]), layer.alias("_layer"))
+        return rows.select("id", attr.alias("attr"), *([] if messages is None else ["dst_id", "msg"]), layer.alias("_layer"))
 
     def counters(self) -> list:
         """Aggregates over :meth:`current` that :meth:`push` takes: how many rows each layer gave."""
         return [F.count_if(F.col("_layer") == i).alias(f"layer{i}") for i in range(len(self.layers))]
 
     def push(self, rows: DataFrame) -> DataFrame:
-        """Write ``rows(id, attr, ...)``, the new values of some nodes, as the newest layer."""
+        """Write ``rows(id, attr, ...)``: the newest layer, or all nodes if the table is written whole."""
         table = bucketed(rows, ["id"], self.parts, "nodes")
         self.written.append(table)
         return table
 
     def pushed(self, table: DataFrame, rows: int, counts: dict[str, int]) -> None:
         """Count layers down by what the new one replaces, drop the empty ones, merge if there are many."""
+        if self.whole:
+            stale, self.base, self.table = self.written[:-1], table.select("id", "attr"), table
+            self.written = [table]
+            for old in stale:
+                drop_bucketed(old)
+            return
         for i, layer in enumerate(self.layers):
             layer[1] -= counts[f"layer{i}"]
         gone = [layer for layer in self.layers if layer[1] == 0]
@@ -173,13 +211,11 @@ class NodeState:
         The newest layer stays as it is: what its nodes send is still to be delivered.
         """
         *old, newest = self.layers
-        if self.rows is None:
-            self.rows = self.base.count()
         live = sum(n for _, n in old)
-        if 2 * live >= self.rows:
+        if 2 * live >= self.number:
             self.layers = old
             base = bucketed(self.current().select("id", "attr"), ["id"], self.parts, "nodes")
-            stale, self.base, self.layers = self.written[0], base, [newest]
+            stale, self.base, self.table, self.layers = self.written[0], base, base, [newest]
             self.written[0] = base
             drop_bucketed(stale)
         else:
@@ -200,8 +236,11 @@ class NodeState:
         drop_bucketed(table)
 
     def finish(self) -> DataFrame:
-        """``(id, attr)`` of all nodes, in a checkpoint of its own."""
-        return cut(self.current().select("id", "attr"))
+        """``(id, attr)`` of all nodes, in a checkpoint of its own, for the session they came from."""
+        if self.layers or self.table is None:
+            self.table = bucketed(self.current().select("id", "attr"), ["id"], self.parts, "nodes")
+            self.written.append(self.table)
+        return cut(self.spark.table(self.table.bucketed_as[0]).select("id", "attr"))
 
     def release(self) -> None:
         for table in self.written:

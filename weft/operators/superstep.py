@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from contextlib import ExitStack
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.operators.combiners import Combiner, default_combiner, resolve
-from weft.operators.layout import Lane, Layout, NodeState
+from weft.operators.layout import Lane, Layout, NodeState, loop_session
 from weft.session import cut
 
 if TYPE_CHECKING:
@@ -34,16 +34,20 @@ class Everyone:
 
 @dataclass(frozen=True)
 class Only:
-    """Incident nodes among ``ids``: Python ints, or an array Column."""
+    """Incident nodes among ``ids``: Python ints, an array Column, or a frame.
 
-    ids: Iterable[int] | Column
+    A frame ``(sender, receiver)`` lists pairs, one with ``receiver`` alone nodes that any
+    sender may reach. It may be of any size, with repeated rows; null ids match nothing.
+    """
+
+    ids: Iterable[int] | Column | DataFrame
 
 
 @dataclass(frozen=True)
 class AllExcept:
-    """Incident nodes not among ``ids``: Python ints, or an array Column."""
+    """Incident nodes not among ``ids``, which are given as for :class:`Only`."""
 
-    ids: Iterable[int] | Column
+    ids: Iterable[int] | Column | DataFrame
 
 
 @dataclass(frozen=True)
@@ -155,18 +159,48 @@ def _accepts(i: int, send: Send) -> Column:
     sent = F.col(f"_sent{i}")
     if isinstance(send.to, Everyone):
         return sent
-    if isinstance(send.to.ids, Column):
+    if isinstance(send.to.ids, DataFrame):
+        listed = F.col(f"_listed{i}")
+    elif isinstance(send.to.ids, Column):
         listed = F.array_contains(f"_to{i}", F.col("dst_id"))
     else:
         listed = F.col("dst_id").isin([int(x) for x in send.to.ids])
     return sent & (~listed if isinstance(send.to, AllExcept) else listed)
 
 
+def _marked(linked: DataFrame, sends: list[Send]) -> DataFrame:
+    """``_listed{i}`` for each send whose recipients are a frame: whether the link is in it."""
+    ends = {"sender": "src_id", "receiver": "dst_id"}
+    for i, send in enumerate(sends):
+        if isinstance(send.to, Everyone) or not isinstance(send.to.ids, DataFrame):
+            continue
+        keys = [c for c in ends if c in send.to.ids.columns]
+        if "receiver" not in keys:
+            raise ValueError("a frame of recipients needs a column receiver")
+        listed = send.to.ids.select(*[F.col(c).cast("bigint").alias(ends[c]) for c in keys]).dropna().distinct()
+        linked = linked.join(listed.withColumn(f"_listed{i}", F.lit(True)), [ends[c] for c in keys], "left")
+        linked = linked.withColumn(f"_listed{i}", F.coalesce(f"_listed{i}", F.lit(False)))
+    return linked
+
+
+def _for_receivers(sends: list[Send]) -> bool:
+    """Whether all is one send to receivers that a frame names whoever sends: their messages
+    can be combined first, so that no receiver's links have to meet in one place."""
+    if len(sends) != 1 or isinstance(sends[0].to, Everyone) or not isinstance(sends[0].to.ids, DataFrame):
+        return False
+    return "sender" not in sends[0].to.ids.columns
+
+
 def _deliver(state: _State, routes, combiner) -> DataFrame:
     """Messages of ``state`` combined per destination: ``(dst_id, msg)``."""
     sends = state.sends
+    if _for_receivers(sends):
+        to = sends[0].to
+        found = _deliver(_State(state.rows, [replace(sends[0], to=Everyone())]), routes, combiner)
+        listed = to.ids.select(F.col("receiver").cast("bigint").alias("dst_id"))
+        return found.join(listed, "dst_id", "left_anti" if isinstance(to, AllExcept) else "left_semi")
     senders = state.rows.where(_any_sent(sends)).drop("attr", "_ran")
-    linked = routes.join(senders.withColumnRenamed("id", "src_id"))
+    linked = _marked(routes.join(senders.withColumnRenamed("id", "src_id")), sends)
     if "_was" in linked.columns:
         linked = linked.select("*", F.col("src_id").alias("id"), "_was.attr", "_was.msg")
     letters = [
@@ -194,9 +228,9 @@ def _half_step(
     Returns what they send, the number of nodes that had a message and of nodes that sent one.
     """
     heard = nodes.current(_deliver(senders, lane, combiner))
-    state = _run(heard, F.lit(True), program, superstep)
+    state = _run(heard, F.col("dst_id").isNotNull(), program, superstep)
     seen = Observation()
-    counts = [F.count("*").alias("heard"), F.count_if(_any_sent(state.sends)).alias("sent"), *nodes.counters()]
+    counts = [F.count_if("_ran").alias("heard"), F.count_if(_any_sent(state.sends)).alias("sent"), *nodes.counters()]
     written = nodes.push(state.rows.observe(seen, *counts).drop("_layer"))
     found = seen.get
     nodes.pushed(written, found["heard"], found)
@@ -234,8 +268,9 @@ def compute(
             layout = Layout.of(graph)
             kept.callback(layout.release)
         nodes = {}
+        loop = loop_session(graph.inc.sparkSession, layout.parts)
         for role in ("hv", "he"):
-            nodes[role] = NodeState(getattr(graph, role), layout.parts)
+            nodes[role] = NodeState(getattr(graph, role), layout.parts, loop)
             kept.callback(nodes[role].release)
         first: list[_State] = []
 

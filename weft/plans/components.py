@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.model import HyperGraph
+from weft.operators.contraction import component_roots
 from weft.operators.superstep import Program, Send, Step
+from weft.session import cut, discard
 
 
 def connected_components(
@@ -13,14 +15,18 @@ def connected_components(
 ) -> HyperGraph:
     """Label every vertex and hyperedge with the largest id of its component.
 
-    Attributes become ``struct(_1=attr, _2=label)``. It runs until nothing changes; a
-    number of ``max_iters`` (10 is a common choice) stops earlier, and labels of longer
-    chains are then not final. With ``compat`` a hyperedge's first label is its own id whatever
+    Attributes become ``struct(_1=attr, _2=label)``. By default components are contracted
+    (:mod:`weft.operators.contraction`), in few jobs however long their chains are. With a
+    number of ``max_iters`` (10 is a common choice) labels flood instead, superstep by
+    superstep, and those of longer chains are not final. With ``compat`` a hyperedge's first label is its own id whatever
     it hears (which on a dual, whose hyperedge ids are the small ones, ends the run
     with every node on its own label) and an isolated hyperedge keeps 0; otherwise the
     first label is the larger of both, and an isolated hyperedge keeps its own id.
     """
 
+    if max_iters is None and not compat:
+        return _contracted(graph)
+
     def later(attr, msg):
         return Step(F.greatest(msg, attr), [Send(F.greatest(msg, attr), when=msg > attr)])
 
@@ -39,3 +45,13 @@ def connected_components(
     )
     done = start.compute(max_iters, zero, Program(vertex, "max"), Program(hyperedge, "max"))
     return graph.attach(done.hv, done.he)
+
+
+def _contracted(graph: HyperGraph) -> HyperGraph:
+    roots = component_roots(graph.links().select(F.col("he_id").alias("a"), F.col("hv_id").alias("b")))
+    labels = {}
+    for role in ("hv", "he"):
+        nodes = getattr(graph, role).select("id").join(roots, "id", "left")
+        labels[role] = cut(nodes.select("id", F.coalesce("root", "id").alias("attr")))
+    discard(roots)
+    return graph.attach(labels["hv"], labels["he"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.model import HyperGraph
@@ -14,6 +14,44 @@ SKETCH_BITS = 12
 STANDARD_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
 
 
+def registers(ids: Column) -> tuple[Column, Column]:
+    """Register (0..4095) and rank (1..53) of an id: of the 64 first bits of the MD5 of its
+    decimal text, the first 12 and the place of the first 1 among the other 52."""
+    digest = F.md5(ids.cast("string").cast("binary"))
+    register = F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
+    rest = F.conv(F.substring(digest, 4, 13), 16, 10).cast("bigint")
+    return register, F.when(rest == 0, F.lit(53)).otherwise(53 - F.length(F.bin(rest)))
+
+
+def neighbour_registers(graph: HyperGraph) -> DataFrame:
+    """``(id, register, rank)``: the sketch of each vertex's co-members, itself included, as rows.
+
+    A hyperedge's register is the largest rank of its members there, a vertex's the largest of
+    its hyperedges; registers that stay empty have no row. Both are plain maxima over rows of
+    fixed size: they combine before each shuffle, small neighbourhoods take few rows, and no
+    sketch is ever held in one value. Sketches of any vertices unite by ``max`` per register.
+    """
+    inc = graph.links().select("he_id", "hv_id")
+    register, rank = registers(F.col("hv_id"))
+    inside = inc.select("he_id", register.alias("register"), rank.alias("rank"))
+    inside = inside.groupBy("he_id", "register").agg(F.max("rank").alias("rank"))
+    around = inc.join(apart(inside), "he_id")
+    return around.groupBy(F.col("hv_id").alias("id"), "register").agg(F.max("rank").alias("rank"))
+
+
+def estimates(sketches: DataFrame) -> DataFrame:
+    """``(id, estimate)`` (DOUBLE) from the register rows of each id.
+
+    The harmonic mean over all registers, empty ones being 0; while it is below 2.5 times
+    their number and some are empty, the count follows from how many are.
+    """
+    size = 1 << SKETCH_BITS
+    found = sketches.groupBy("id").agg(F.count("*").alias("_full"), F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("_sum"))
+    raw = F.lit(0.7213 / (1 + 1.079 / size) * size * size) / (F.col("_sum") + (size - F.col("_full")))
+    few = size * F.log(F.lit(float(size)) / (size - F.col("_full")))
+    return found.select("id", F.when((raw <= 2.5 * size) & (F.col("_full") < size), few).otherwise(raw).alias("estimate"))
+
+
 def neighbour_counts(graph: HyperGraph, exact: bool = False) -> DataFrame:
     """Distinct co-members per vertex, the vertex itself included; 0 if isolated.
 
