@@ -34,15 +34,14 @@ def runs(graph):
 
 def test_layers_change_no_result(chains, monkeypatch):
     """Written whole, and as layers, merged at once."""
-    want = runs(chains)
+    hops = lambda: [values(x) for done in [shortest_path(chains, 7, 4)] for x in (done.hv, done.he)]
+    want = hops()
     merges = []
     merge = layout.NodeState._merge
     monkeypatch.setattr(layout.NodeState, "_merge", lambda self: (merges.append(len(self.layers)), merge(self))[1])
     monkeypatch.setattr(layout, "WHOLE_ROWS", -1)
     monkeypatch.setattr(layout, "MOST_LAYERS", 1)
-    for got, expected in zip(runs(chains), want):
-        assert got == pytest.approx(expected)
-    assert merges
+    assert hops() == want and merges
 
 
 def test_a_half_step_writes_its_frontier(chains, monkeypatch):

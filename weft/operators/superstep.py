@@ -188,7 +188,7 @@ def _for_receivers(sends: list[Send]) -> bool:
     can be combined first, so that no receiver's links have to meet in one place."""
     if len(sends) != 1 or isinstance(sends[0].to, Everyone) or not isinstance(sends[0].to.ids, DataFrame):
         return False
-    return "sender" not in sends[0].to.ids.columns
+    return "receiver" in sends[0].to.ids.columns and "sender" not in sends[0].to.ids.columns
 
 
 def _deliver(state: _State, routes, combiner) -> DataFrame:
