@@ -119,7 +119,7 @@ def test_activity_counts(tree, cycle, monkeypatch):
 
     assert trace(shortest_path, tree, 10, 1, "sum") == [1, 3, 2, 3, 2, 4, 2, 2, 1]
     assert trace(shortest_path, cycle, 10, 1, "sum") == [2, 5, 4, 5, 4, 5, 2]
-    assert trace(connected_components, tree) == [4, 9, 4, 8, 3, 5, 2, 3, 1]
+    assert trace(connected_components, tree, 10) == [4, 9, 4, 8, 3, 5, 2, 3, 1]
     assert len(trace(random_walk, tree, 3, [1], 0.15, 1e-4)) == 5
 
 
