@@ -1,4 +1,4 @@
-"""Operators for preparing training text: ten operators, their queries and SQL."""
+"""Operators for preparing training text: thirteen operators, their queries and SQL."""
 
 import sys
 
