@@ -101,3 +101,38 @@ def test_an_article_below_many_elements():
 def test_noise_words_of_headings_and_inline_elements_within_content():
     page = '<article><h2 id="discussion">Discussion</h2><p>code <span class="hljs-comment">note</span></p><div id="comments">Nice</div></article>'
     assert extract.page_text(extract.Parser(), page, set(), set()) == "Discussion\ncode note"
+
+
+WRAPPERS = [
+    '<div class="layout with-sidebar"><article>%s</article></div>', '<form id="aspnetForm"><div><article>%s</article></div></form>',
+    '<div class="menu-open"><main>%s</main></div>', '<div class="elementor-widget"><div class="elementor-widget-container"><article>%s</article></div></div>',
+]
+
+
+@pytest.mark.parametrize("pages", [1, 8])
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_an_article_in_a_wrapper_with_a_noise_word(spark, wrapper, pages):
+    """A layout's class word does not make the article below it noise; what lies in the article still can be."""
+    own = [f"<h1>Title {i}</h1><p>Sentence {i} of this page alone, number {i * 7}.</p>" for i in range(pages)]
+    around = '<body><nav>Home</nav><div class="top">Hello</div>%s<div class="sidebar"><p>Side</p></div><footer>us</footer></body>'
+    inside = '<div class="widget">Buy</div><section class="comments"><article>Nice</article></section>'
+    rows = [(i, f"https://w.example/{i}", around % (wrapper % (x + inside))) for i, x in enumerate(own)]
+    want = {i: f"Title {i}\nSentence {i} of this page alone, number {i * 7}." for i in range(pages)}
+    assert texts(extract.extract(frame(spark, rows))) == want
+
+
+@pytest.mark.parametrize("pages", [1, 8])
+@pytest.mark.parametrize("word", ["comments", "related", "sidebar"])
+def test_articles_in_noise_beside_the_text_stay_noise(spark, word, pages):
+    """Neither beside marked content nor beside plain text that is longer."""
+    for text in ('<div class="post-body">%s</div>', "<div>%s</div>"):
+        own = [f"<p>Sentence {i} of this page alone, with some more words in it.</p>" for i in range(pages)]
+        rows = [(i, f"https://n.example/{i}", f'<body>{text % x}<div class="{word}"><article>Card {i}</article></div></body>') for i, x in enumerate(own)]
+        want = {i: f"Sentence {i} of this page alone, with some more words in it." for i in range(pages)}
+        assert texts(extract.extract(frame(spark, rows))) == want
+
+
+def test_comments_and_menus_hold_no_article():
+    for wrapper in ('<div class="comments">%s</div>', "<aside>%s</aside>", '<div role="navigation">%s</div>'):
+        page = "<body><p>x</p>" + wrapper % "<article>a longer text than the page has</article>" + "</body>"
+        assert extract.page_text(extract.Parser(), page, set(), set()) == "x"

@@ -19,6 +19,12 @@ that meets in one place for a host are its frequent tokens, whose number is boun
 Elements whose name, class, id or role says menu, header, footer, sidebar, notice, advert,
 form, script, style or reader comments are never article, nor is what they hold. Within
 content, words of headings and inline elements say nothing: there they name the text.
+
+Class and id words may also describe a layout ("with-sidebar", "menu-open", "widget"), and a
+form may hold a whole page. So an article or main element that lies in such an element, and in
+no content, is *wrapped*: it counts where the page or the template has no other mark and it
+holds more text than all that lies outside noise. Below nav, header, footer or aside elements,
+roles that say noise and reader comments nothing is wrapped.
 """
 
 from __future__ import annotations
@@ -58,6 +64,7 @@ NOISE_WORDS = set(
     "login search toolbar pagination pager skip form".split()
 )
 HEADS = set("header masthead".split())
+COMMENT_WORDS = set("comment comments disqus respond reply replies discussion".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CONTENT_WORDS = set("article content post entry story main body text maincontent articlebody postbody".split())
@@ -81,7 +88,7 @@ _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 class Element:
     """A role: the path of names (with classes and ids) from the root to an element."""
 
-    __slots__ = ("name", "path", "key", "noise", "content", "inline", "link", "depth", "children", "parent")
+    __slots__ = ("name", "path", "key", "noise", "barred", "content", "wrapped", "within", "inline", "link", "depth", "children", "parent")
 
     def __init__(self, parent: Element | None, name: str, named: str):
         self.parent, self.name, self.children = parent, name, {}
@@ -95,11 +102,18 @@ class Element:
             words -= HEADS  # the head of an article is part of it
         if inside and (name in INLINE or name in HEADINGS):
             words = set()  # a slug or a style, not a part of the page
-        noise = name in NOISE_TAGS or (name == "header" and not inside) or bool(words & NOISE_WORDS) or bool("=role" in named and words & NOISE_ROLES)
+        said = words & NOISE_WORDS
+        noise = name in NOISE_TAGS or (name == "header" and not inside) or bool(said) or bool("=role" in named and words & NOISE_ROLES)
         if name in ("html", "body", "article", "main"):
             noise = False
-        self.noise = parent is not None and (parent.noise or noise)
+        # barred: noise for another reason than being a form or having a word that may describe a layout
+        sure = noise and (name in NOISE_TAGS - {"form"} or name == "header" or bool("=role" in named and words & NOISE_ROLES) or bool(said & COMMENT_WORDS))
+        self.within = parent is not None and (parent.within or parent.content > 0)  # below content, in noise too
+        self.barred = parent is not None and (parent.barred or sure)
         rank = 3 if name == "article" else 2 if name == "main" or "main=role" in named else 1 if name in ("div", "section", "td") and words & CONTENT_WORDS else 0
+        opens = parent is not None and parent.noise and rank > 1 and not noise and not self.barred and not self.within
+        self.noise = parent is not None and not opens and (parent.noise or noise)
+        self.wrapped = parent is not None and (parent.wrapped or opens)
         self.content = 0 if parent is None or self.noise else max(parent.content, rank)
         self.inline = name in INLINE
         self.link = parent is not None and (above.link or name == "a")
@@ -162,7 +176,7 @@ class Parser:
             if name not in INLINE:
                 out.append((2, node, ""))
             opened = node.child(name, m.group(4))
-            if node.depth >= DEPTH and (opened.noise, opened.content, opened.link) == (node.noise, node.content, node.link):
+            if node.depth >= DEPTH and (opened.noise, opened.barred, opened.content, opened.link) == (node.noise, node.barred, node.content, node.link):
                 opened = node
             out.append((0, opened, ""))
             if name not in VOID and not m.group(4).endswith("/"):
@@ -254,17 +268,23 @@ def deduce(tokens: pd.DataFrame) -> tuple[list[str], list[int]]:
     for path in paths:
         element = element_of(path)
         if element.content and (element.parent is None or element.parent.content < element.content):
-            marked.setdefault(element.content, []).append(path)
-    if marked:
+            marked.setdefault((not element.wrapped, element.content), []).append(path)
+    if marked and max(marked)[0]:
         return sorted(marked[max(marked)]), texts
-    chars = {}
+    chars, wrapped, outside = {}, 0, 0
     every = tokens[tokens["path"].notna()]
     for path, n in zip(every["path"], every["chars"]):
-        if n and not element_of(path).noise:
+        element = element_of(path)
+        if n and not element.noise:
+            wrapped, outside = wrapped + n * element.wrapped, outside + n * (not element.wrapped)
+            if element.wrapped:
+                continue
             while path:  # also what fills a slot counts for the template around it
                 if path in paths:
                     chars[path] = chars.get(path, 0) + n
                 path = path.rpartition("/")[0]
+    if marked and wrapped > outside:
+        return sorted(marked[max(marked)]), texts
     whole = max(chars.values(), default=0)
     best = [p for p, n in chars.items() if whole and n >= 0.6 * whole]
     return ([max(best, key=lambda p: (p.count("/"), p))] if best else []), texts
@@ -284,8 +304,15 @@ def page_text(parser: Parser, source: str | None, roots: set[str], template: set
     opened = {e.path for kind, e, _ in events if kind == 0}
     roots = roots & opened
     if not roots:  # a page of another make than its host's others
-        ranks = {e.path: e.content for kind, e, _ in events if kind == 0 and e.content and e.parent.content < e.content}
-        best = max(ranks.values(), default=0)
+        ranks = {e.path: (not e.wrapped, e.content) for kind, e, _ in events if kind == 0 and e.content and e.parent.content < e.content}
+        best = max(ranks.values(), default=(False, 0))
+        if not best[0]:  # wrapped articles only, or none
+            sizes = [0, 0]
+            for kind, e, text in events:
+                if kind == 1 and not e.noise:
+                    sizes[e.wrapped] += len(text.strip())
+            if sizes[1] <= sizes[0]:
+                ranks = {}
         roots = {p for p, rank in ranks.items() if rank == best} or {""}
     inside: dict[int, tuple[bool, bool]] = {}
     blocks, parts = [], []
