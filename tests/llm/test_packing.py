@@ -1,9 +1,10 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from weft.llm import packing
 from weft.llm.queries import TOKENIZERS
@@ -82,3 +83,21 @@ def test_odd_rows(odd_docs, no_docs, library):
 def test_piece_beyond_a_capacity(some_docs):
     with pytest.raises(ValueError):
         packing.pack(packing.pieces(some_docs, PATH), max_attention=10)
+
+
+def test_copies_of_a_piece_are_in_different_sequences(spark):
+    """Many copies, in one block and in several, with ids and without; nothing is lost."""
+    rows = [(1, 0, 0, 10, 5)] * 40 + [(None, 0, 0, 10, 5)] * 40 + [(None, 0, 0, 10, 6)] * 20 + [(i, 0, 0, 10, 5) for i in range(2, 60)]
+    found = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    for block_pieces in (1000, 30):
+        out = packing.pack(found, max_tokens=100, block_pieces=block_pieces, copies_apart=True).collect()
+        assert Counter((r.doc_id, r.ids_crc32) for r in out) == Counter((i, c) for i, *_, c in rows)
+        held = Counter((r.sequence_id, r.doc_id, r.ids_crc32) for r in out)
+        assert max(held.values()) == 1
+        assert len({(r.sequence_id, r.offset) for r in out}) == len(rows) and all(r.offset + r.length <= 100 for r in out)
+
+
+def test_a_null_id_does_not_fill_one_block(spark):
+    found = spark.createDataFrame([(None, 0, 0, 10, 5)] * 4000, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    out = packing.pack(found, max_tokens=100, block_pieces=500)
+    assert out.select((F.col("sequence_id") / 2**32).cast("int").alias("block")).distinct().count() == 8

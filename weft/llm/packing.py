@@ -111,9 +111,13 @@ def pieces(
     return rows.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def best_fit(lengths: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def best_fit(
+    lengths: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm", same: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item; ``lengths`` descend. ``capacity``: tokens, documents, attention cost.
 
+    ``same[i]`` says that item i is a copy of the one before it; copies never share a bin.
+
     ``rule``: "norm" takes the bin with the smallest weighted norm of what would be left,
     "dot" the one with the largest weighted product of item and room. Ties: oldest bin.
     """
@@ -122,12 +126,17 @@ def best_fit(lengths: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rul
     room, names, open_, made = np.empty((256, 3)), np.empty(256, np.int64), 0, 0
     least = lengths[-1] if number else 0
     scale = weights / capacity**2
+    run = 0  # where the present run of copies begins
     for i, length in enumerate(lengths):
         item = np.array([length, 1, length * length], float)
         at = -1
+        if same is None or not same[i]:
+            run = i
         if open_ and length < capacity[0]:
             left = room[:open_] - item
             fits = (left >= 0).all(axis=1)
+            if run < i:
+                fits &= ~np.isin(names[:open_], bins[run:i])
             if fits.any():
                 value = (left * left) @ scale if rule == "norm" else -(room[:open_] @ (item * scale))
                 value[~fits] = np.inf
@@ -154,11 +163,15 @@ def pack(
     weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
     rule: str = "norm",
     block_pieces: int = BLOCK_PIECES,
+    copies_apart: bool = False,
 ) -> DataFrame:
     """``found`` (of :func:`pieces`) plus ``sequence_id`` and ``offset``, gapless from 0.
 
     Capacities that are not given cannot bind: as many documents as tokens, and the cost of
     one piece that fills a sequence. ``weights`` rate the three capacities in the rule.
+    Pieces are dealt to blocks by what they are and their place in the written table, so
+    that neither repeated nor null ids make a block large. With ``copies_apart`` no sequence
+    holds a piece (id, number, place and tokens) twice, which takes more sequences if need be.
     """
     capacity = np.array([max_tokens, max_documents or max_tokens, max_attention or max_tokens**2], float)
     found = kept(found, "pieces")
@@ -167,12 +180,15 @@ def pack(
         raise ValueError("a piece is beyond a capacity of a sequence")
     blocks = max(1, -(-longest[0] // block_pieces))
 
+    names = ["length", "doc_id", "piece", "start", "ids_crc32"]
+
     def run(key, frame):
-        frame = frame.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], ignore_index=True)
-        bins, offsets = best_fit(frame["length"].to_numpy(), capacity, np.array(weights), rule)
+        frame = frame.sort_values(names, ascending=[False, True, True, True, True], ignore_index=True)
+        same = frame.duplicated(names).to_numpy() if copies_apart else None  # copies follow one another: all keys are sorted
+        bins, offsets = best_fit(frame["length"].to_numpy(), capacity, np.array(weights), rule, same)
         return frame.drop(columns="block").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    block = F.pmod(F.xxhash64("doc_id", "piece", F.lit(6)), F.lit(blocks)).alias("block")
+    block = F.pmod(F.xxhash64(*names, F.monotonically_increasing_id()), F.lit(blocks)).alias("block")
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     return found.select("*", block).groupBy("block").applyInPandas(run, schema)
 

@@ -63,7 +63,7 @@ def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = linedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    clean = linedup.drop_boilerplate(table(spark, sf_dir, "documents"), copies_vote=False)
     return clean.select("doc_id", "source", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
@@ -96,9 +96,9 @@ QUERIES = {
 }
 
 LINE_DEDUP_SQL = f"""
-WITH lines AS (
-  SELECT source, doc_id, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents
-), totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+WITH pages AS (SELECT DISTINCT source, text FROM documents), lines AS (
+  SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM pages
+), totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
 bad AS (
   SELECT l.source, l.line FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
   WHERE trim(l.line) <> '' GROUP BY l.source, l.line
