@@ -28,16 +28,15 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates.
+    """One document of every group of near duplicates.
 
-    Groups without any id are told apart by their fingerprints, and each keeps one document.
-    Rows that repeat the id of such a document are copies of it or rivals for its place; the
-    one with the smallest hash of its text stays.
+    A group is a component of linked fingerprints, whatever its ids: rows of one id whose texts
+    are not linked are different documents, and each group keeps one. The smallest id stays,
+    null after all others; of rows that share it, the one with the smallest hash of its text.
     """
     groups = simhash.near_duplicates(docs)
-    own = F.when(F.col("component_id").isNull(), F.col("root"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
-    first = groups.groupBy("component_id", own.alias("own")).agg(least).select(F.col("least.doc_id").alias("_first"), F.col("least.text_hash").alias("_hash"))
+    first = groups.groupBy("root").agg(least).select(F.col("least.doc_id").alias("_first"), F.col("least.text_hash").alias("_hash"))
     first = kept(first, "first")
     same = docs["doc_id"].eqNullSafe(first["_first"]) & (F.xxhash64(docs["text"]) == first["_hash"])
     found = kept(docs.join(first, same, "left_semi"), "found")
@@ -61,8 +60,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
-    return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    """Pieces of documents with their places in sequences; what the mix repeats is never twice in one."""
+    return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json", copies_apart=True)
 
 
 STAGES = [
