@@ -160,6 +160,33 @@ s{k} AS MATERIALIZED (SELECT id FROM r{k} WHERE id NOT IN ({seen}))"""
     return orders(ctes + " " + " UNION ALL ".join(rows))
 
 
+def traffic(half_steps: int, source: int, n: int, cutoff: int) -> str:
+    """Copies of senders and messages combined within parts, per strategy and half step of a breadth first search."""
+    hv, he = "hv", "he"
+    parts = {
+        "1D-src": hashed(hv, n),
+        "1D-dst": hashed(he, n),
+        "2D": uneven_grid(n, 4).replace("src", hv).replace("dst", he),
+        "RandomVertexCut": pair(hv, he, n),
+        "HybridSrc": f"CASE WHEN d > {cutoff} THEN {positive(he, n)} ELSE {positive(hv, n)} END",
+    }
+    ctes = f""",
+busy AS MATERIALIZED (SELECT he, hv, count(*) OVER (PARTITION BY hv) AS d FROM inc),
+s0 AS MATERIALIZED (SELECT id FROM hv WHERE id = {source})"""
+    rows = []
+    for k in range(half_steps):
+        role, other = ("he", "hv") if k % 2 == 0 else ("hv", "he")
+        seen = " UNION ALL ".join(f"SELECT id FROM s{j}" for j in range(k - 1, -1, -2)) or "SELECT -1 AS id WHERE false"
+        ctes += f""",
+l{k} AS MATERIALIZED (SELECT busy.* FROM busy JOIN s{k} s ON s.id = busy.{other}),
+s{k + 1} AS MATERIALIZED (SELECT DISTINCT {role} AS id FROM l{k} WHERE {role} NOT IN ({seen}))"""
+        for strategy, part in parts.items():
+            rows.append(f"""SELECT '{strategy}' AS strategy, CAST({k} AS INTEGER) AS half_step,
+  count(DISTINCT (part, {other})) AS copies, count(DISTINCT (part, {role})) AS messages
+  FROM (SELECT he, hv, {part} AS part FROM l{k}) HAVING count(*) > 0 OR {k} = 0""")
+    return orders(ctes + " " + " UNION ALL ".join(rows))
+
+
 CHAINS = """
 WITH runs AS (
   SELECT o_orderkey AS o, o_orderkey // 1000 AS run, o_orderkey - row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) AS island
@@ -507,6 +534,15 @@ def build() -> dict[str, str]:
         "recipients_table_except": heard("sum(inc.hv)", "inc.he NOT IN (SELECT o_orderkey + s FROM orders, shift WHERE o_orderstatus = 'F')", EVERYONE),
         "components_chain": CHAINS,
         "frontier_sizes": frontier(7, 1),
+        "median_messages": orders(""", m AS (SELECT inc.he, median(p_size) AS x FROM inc JOIN hv ON hv.id = inc.hv GROUP BY inc.he),
+            t AS (SELECT inc.hv, max(x) AS x FROM inc JOIN m USING (he) GROUP BY inc.hv)
+            SELECT id, CAST(coalesce(x, p_size) AS DOUBLE) AS median FROM hv LEFT JOIN t ON t.hv = hv.id
+            UNION ALL SELECT id, CAST(x AS DOUBLE) FROM he LEFT JOIN m ON m.he = he.id"""),
+        "parquet_by_part": orders(f"""SELECT he AS he_id, inc.hv AS hv_id, CAST({hashed('inc.hv', 12)} AS INTEGER) AS part, count(*) AS copies
+            FROM inc JOIN hv ON hv.id = inc.hv WHERE p_size = 50 GROUP BY ALL"""),
+        "messages_by_strategy": traffic(3, 1, 12, 30),
+        "pagerank_placed": pagerank(5),
+        "shortest_path_placed": hops(10, 1),
         "shortest_path_prepared": f"SELECT id, a.distance AS first, b.distance AS second FROM ({hops(6, 1)}) a JOIN ({hops(6, 2)}) b USING (id)",
         "recipients_only": heard("sum(inc.hv)", "inc.he IN (first, last)", ENDS),
         "recipients_except": heard("sum(inc.hv)", "inc.he NOT IN (first, last)", ENDS),

@@ -6,10 +6,12 @@ order line; the set hypergraph merges orders with the same suppliers.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft import AllExcept, Fold, Graph, HyperGraph, Mode, Only, Program, Send, Step
+from weft import AllExcept, ArrowProgram, Fold, Graph, HyperGraph, Mode, Only, Program, Send, Step
 from weft.functions import entropy_bits
 from weft.operators.ids import dense_ids
 from weft.operators.placement import assign_partitions, partition_stats
@@ -755,6 +757,60 @@ def frontier_sizes(spark, sf):
     return spark.createDataFrame(rows, "half_step int, reached bigint, sent bigint")
 
 
+@query
+def pagerank_placed(spark, sf):
+    """PageRank with messages combined inside the parts of a grid first."""
+    return both(pagerank(orders_parts(spark, sf).assign_parts("2D", 12), 5), "rank", digits=True)
+
+
+@query
+def shortest_path_placed(spark, sf):
+    return both(shortest_path(orders_parts(spark, sf).assign_parts("HybridSrc", PARTS, CUTOFF), 10, 1), "distance")
+
+
+@query
+def messages_by_strategy(spark, sf):
+    """Rows that travel per half step of a shortest path, as each strategy places the incidences."""
+    graph, rows = orders_parts(spark, sf), []
+    for strategy in ("1D-src", "1D-dst", "2D", "RandomVertexCut", "HybridSrc"):
+        traffic: list[tuple[int, int, int]] = []
+        shortest_path(graph.assign_parts(strategy, PARTS, CUTOFF), 2, 1, traffic=traffic)
+        rows += [(strategy, *row) for row in traffic]
+    return spark.createDataFrame(rows, "strategy string, half_step int, copies bigint, messages bigint")
+
+
+SENDS = pa.list_(pa.struct([("to", pa.int64()), ("msg", pa.float64())]))
+
+
+@query
+def median_messages(spark, sf):
+    """Orders take the median size of their parts (numpy over Arrow batches), parts the largest such median."""
+    def median(superstep, batch):
+        """The median of each node's list of numbers, kept and sent to whoever is incident."""
+        medians = [float(np.median(x)) for x in batch.column("msg").to_pylist()]
+        sends = pa.array([[{"to": None, "msg": x}] for x in medians], SENDS)
+        return pa.table({"id": batch.column("id"), "attr": pa.array(medians), "sends": sends})
+
+    def size(superstep, id, attr, msg):
+        if superstep == 0:
+            return Step(sends=[Send(F.array(attr))])
+        return Step(msg)
+
+    graph = orders_parts(spark, sf, "p_size").map_vertices(lambda _, a: a.cast("double")).map_hyperedges(lambda *_: F.lit(None).cast("double"))
+    done = graph.compute(None, F.lit(0.0), Program(size, "concat"), ArrowProgram(median, "double", "max"))
+    return done.hv.select("id", F.col("attr").alias("median")).unionByName(done.he.select("id", F.col("attr").alias("median")))
+
+
+@query
+def parquet_by_part(spark, sf):
+    """Incidences of the largest parts, read back from a store that is laid out by part."""
+    graph = orders_parts(spark, sf, "p_size")
+    path = scratch_path(spark, "store")
+    graph.assign_parts("1D-src", PARTS, CUTOFF).write_parquet(path)
+    found = HyperGraph.read_parquet(spark, path, graph.hv.where("attr = 50").select("id"))
+    return found.inc.groupBy("he_id", "hv_id", "part").agg(F.count("*").alias("copies"))
+
+
 @query
 def shortest_path_sum(spark, sf):
     return both(shortest_path(orders_parts(spark, sf), 4, 1, "sum"), "distance", digits=True)

@@ -8,7 +8,7 @@ from conftest import CYCLE, incidence_graph, values
 from pyspark.sql import functions as F
 
 from weft import AllExcept, Only, Program, Send, Step
-from weft.operators import layout
+from weft.operators import layout, skew
 from weft.operators.contraction import component_roots
 from weft.plans import connected_components, estimates, neighbour_counts, neighbour_registers, pagerank, shortest_path
 from weft.session import checkpoint_folder
@@ -167,3 +167,52 @@ def test_registers_give_good_estimates(spark):
     exact = {r.id: r.neighbours for r in neighbour_counts(graph, exact=True).collect()}
     assert found.keys() == exact.keys()
     assert all(abs(found[i] - n) <= max(1, 0.06 * n) for i, n in exact.items())
+
+
+@pytest.mark.parametrize("strategy, parts", [("1D-src", 3), ("2D", 1)])
+def test_placed_incidences_change_no_result(chains, strategy, parts, monkeypatch):
+    """Laid out by part, on the graph and on its dual; one part that holds everything is split."""
+    with monkeypatch.context() as patch:
+        if parts == 1:
+            patch.setattr(skew, "hot_limit", lambda *_: 3)
+        placed = chains.assign_parts(strategy, parts).prepare()
+    assert (placed.layout.lanes["he"].hot is not None) == (parts == 1)
+    hops = lambda g: [values(x) for done in [shortest_path(g, 7, 51)] for x in (done.hv, done.he)]
+    links = lambda g: sorted(tuple(r) for r in g.links().select("he_id", "hv_id", "copies").collect())
+    assert runs(placed) == [pytest.approx(x) for x in runs(chains)] and hops(placed.dual()) == hops(chains.dual()) and links(placed) == links(chains)
+    placed.release()
+
+
+def test_a_null_part_is_a_part(chains):
+    placed = type(chains)(chains.hv, chains.he, chains.inc.withColumn("part", F.when(F.col("hv_id") % 2 == 0, 1)))
+    assert runs(placed) == [pytest.approx(x) for x in runs(chains)]
+
+
+def test_placed_links_do_not_move(chains):
+    """Senders go to the parts; messages are combined there before the one shuffle to the receivers."""
+    placed = chains.assign_parts("2D", 4).prepare()
+    lane, spark = placed.layout.lanes["he"], chains.inc.sparkSession
+    state = layout.NodeState(chains.hv, placed.layout.parts, layout.loop_session(spark, placed.layout.parts))
+    senders = state.base.select(F.col("id").alias("src_id"), F.lit(1).alias("msg"))
+    text = plan(lane.join(senders).groupBy("dst_id").agg(F.min("msg").alias("msg")))
+    assert text.count("Exchange hashpartitioning(part") == 1 and text.count("Exchange hashpartitioning(dst_id") == 1
+    assert text.count("Exchange") == 2 and text.count("partial_min") == 1
+    state.release()
+    placed.release()
+
+
+def test_traffic_follows_the_placement(spark):
+    """A star of one hyperedge: one message a part, one copy of every member's row."""
+    graph = incidence_graph(spark, [(100, v) for v in range(40)])
+    flood = Program(lambda ss, id, attr, msg: Step(sends=[Send(id)]), "min")
+    start = graph.map_vertices(lambda id, _: id).map_hyperedges(lambda id, _: id)
+    found = {}
+    for strategy in ("1D-src", "1D-dst"):
+        placed = start.assign_parts(strategy, 5)
+        found[strategy] = []
+        placed.compute(1, F.lit(0).cast("bigint"), flood, flood, traffic=found[strategy])
+        used = placed.inc.select("part").distinct().count()
+        assert found[strategy] == [(0, 40, used)]
+    assert found["1D-dst"][0][2] == 1 < found["1D-src"][0][2]
+    with pytest.raises(ValueError, match="assign_parts"):
+        start.compute(1, F.lit(0).cast("bigint"), flood, flood, traffic=[])

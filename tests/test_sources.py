@@ -126,6 +126,7 @@ def test_batch_job(spark, tmp_path):
     path = write_csv(tmp_path / "cycle.csv", CYCLE)
     rows = job.run(spark, path, 0, "HybridDst", 2, 3, 4, 2, 1).collect()
     assert [r.run for r in rows] == [0, 1, 2] and all(r.ms >= 0 for r in rows)
+    assert rows[0].messages is None and rows[1].messages == rows[2].messages > 0 and rows[1].copies > 0
     with pytest.raises(ValueError, match="unknown partition strategy"):
         job.run(spark, path, 0, "Nowhere", 2, 3, 4, 1, 1)
 

@@ -1,6 +1,7 @@
 """Model, attribute maps, structural operators and one-mode graphs."""
 
 import math
+from dataclasses import replace
 
 import pytest
 from conftest import TREE, incidence_graph, written
@@ -225,3 +226,32 @@ def test_ids_that_do_not_fit_are_refused(spark):
 def test_filtered_incidences_are_read_once(spark, tree):
     small = tree.sub_hypergraph(hyperedge=lambda id, attr: attr["card"] <= 3)
     assert all(t._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2 for t in (small.hv, small.he, small.inc))
+
+
+def test_a_store_by_part(spark, tmp_path):
+    """Known to be distinct and placed when read again; a read for some vertices opens only their parts."""
+    rows = [(100 + i % 7, i) for i in range(30)]
+    graph = replace(incidence_graph(spark, rows), distinct=True).assign_parts("1D-src", 6)
+    path = str(tmp_path / "placed")
+    graph.write_parquet(path)
+    again = HyperGraph.read_parquet(spark, path)
+    assert again.distinct and "part" in again.inc.columns
+    whole = lambda g: sorted(tuple(r) for r in g.inc.select("he_id", "hv_id", "part").collect())
+    assert whole(again) == whole(graph)
+    few = HyperGraph.read_parquet(spark, path, spark.createDataFrame([(3,), (3,), (17,), (999,), (None,)], "id bigint"))
+    assert whole(few) == [r for r in whole(graph) if r[1] in (3, 17)]
+    assert {r.id for r in few.hv.collect()} == {3, 17} and {r.id for r in few.he.collect()} == {r.he_id for r in few.inc.collect()}
+    text = few.inc._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in text or "PartitionFilters: [part" in text
+    none = HyperGraph.read_parquet(spark, path, spark.createDataFrame([], "id bigint"))
+    assert none.inc.count() == none.hv.count() == none.he.count() == 0
+
+
+def test_a_store_without_parts_or_manifest(spark, tmp_path):
+    graph = incidence_graph(spark, [(100, 1), (100, 2), (101, 2)])
+    graph.write_parquet(str(tmp_path / "plain"))
+    few = HyperGraph.read_parquet(spark, str(tmp_path / "plain"), graph.hv.where("id = 1"))
+    assert [r.hv_id for r in few.inc.collect()] == [1] and few.he.count() == 1 and not few.distinct
+    for name in ("hv", "he", "inc"):
+        getattr(graph, name).write.parquet(str(tmp_path / "old" / name))
+    assert HyperGraph.read_parquet(spark, str(tmp_path / "old")).inc.count() == 3

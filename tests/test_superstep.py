@@ -1,10 +1,12 @@
 """The superstep loop: delivery, recipients, combiners, activity."""
 
+import pyarrow as pa
 import pytest
+from conftest import incidence_graph
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft import AllExcept, HyperGraph, Only, Program, Send, Step
+from weft import AllExcept, ArrowProgram, HyperGraph, Only, Program, Send, Step
 from weft.operators.combiners import ByField, Concatenate, SumByKey, default_combiner, fold_by_key, resolve
 from weft.plans import connected_components, random_walk, shortest_path
 
@@ -216,3 +218,55 @@ def test_partitions_follow_the_data(spark):
 
     assert partitions_for(spark, 10) == 1 and partitions_for(spark, 1_000_000) == 10
     assert partitions_for(spark, 10**10) == 10_000 and partitions_for(spark, 10**12) == 200_000
+
+
+SENDS = pa.list_(pa.struct([("to", pa.int64()), ("msg", pa.int64())]))
+
+
+def relay():
+    """A function that travels with its code: workers cannot import the tests."""
+
+    def step(superstep, batch):
+        """Nodes divisible by three send nothing, by two to two nodes they name (one of them no neighbour), others to all."""
+        ids, msgs = batch.column("id").to_pylist(), batch.column("msg").to_pylist()
+        sends = [[] if i % 3 == 0 else [{"to": i % 4 + 12, "msg": i}, {"to": 13, "msg": -i}, {"to": 555, "msg": 9}] if i % 2 == 0 else [{"to": None, "msg": 10 * i}] for i in ids]
+        turned = list(reversed(range(len(ids))))  # rows may come back in any order
+        return pa.table({"id": [ids[i] for i in turned], "attr": pa.array([msgs[i] for i in turned], pa.int64()), "sends": pa.array([sends[i] for i in turned], SENDS)})
+
+    return step
+
+
+@pytest.mark.parametrize("placed", [False, True])
+@pytest.mark.parametrize("whole", [250_000, -1])
+def test_an_arrow_program_sends_none_one_or_many(spark, monkeypatch, whole, placed):
+    from weft.operators import layout
+
+    monkeypatch.setattr(layout, "WHOLE_ROWS", whole)
+    rows = [(100 + h, v) for h in range(4) for v in range(1, 12) if (v + h) % 3 != 1] + [(100, 2)]
+    graph = incidence_graph(spark, rows).map_vertices(lambda id, _: id).map_hyperedges(lambda id, _: id)
+    graph = graph.assign_parts("2D", 3) if placed else graph
+    keep = Program(lambda ss, id, attr, msg: Step(msg), "sum")
+    done = graph.compute(1, F.lit(7).cast("bigint"), ArrowProgram(relay(), "bigint", "sum"), keep)
+    want = {12 + h: [] for h in range(4)}  # hyperedge ids follow the vertex ids
+    for h, v in [(h - 88, v) for h, v in rows]:
+        sends = [] if v % 3 == 0 else [(v % 4 + 12, v), (13, -v)] if v % 2 == 0 else [(h, 10 * v)]
+        want[h] += [msg for to, msg in sends if to == h]
+    assert {r.id: r.attr for r in done.hv.collect()} == {v: 7 for v in {v for _, v in rows}}
+    assert {r.id: r.attr for r in done.he.collect()} == {h: sum(m) if m else h for h, m in want.items()}
+
+
+def test_an_arrow_program_as_receiver(spark):
+    """It runs on the nodes that heard something; the others keep their attribute."""
+    graph = incidence_graph(spark, [(100, 4), (101, 1), (101, 3), (102, 5), (102, 6)]).map_vertices(lambda id, _: id).map_hyperedges(lambda id, _: id)
+    tell = Program(lambda ss, id, attr, msg: Step(attr + msg, [Send(id, when=id > 3)] if ss == 0 else []), "sum")
+    done = graph.compute(None, F.lit(0).cast("bigint"), tell, ArrowProgram(relay(), "bigint", "sum"))
+    assert {r.id: r.attr for r in done.he.collect()} == {7: 4, 8: 8, 9: 11}
+    assert {r.id: r.attr for r in done.hv.collect()} == {1: 1, 3: 3, 4: 4 + 70, 5: 5, 6: 6}
+
+
+def test_an_arrow_program_returns_its_nodes(spark):
+    graph = incidence_graph(spark, [(100, 1), (100, 2)]).map_vertices(lambda id, _: id).map_hyperedges(lambda id, _: id)
+    step = relay()
+    lost = ArrowProgram(lambda ss, batch: step(ss, batch).slice(1), "bigint", "sum")
+    with pytest.raises(Exception, match="one row for each node"):
+        graph.compute(1, F.lit(7).cast("bigint"), lost, Program(lambda ss, id, attr, msg: Step(msg), "sum"))

@@ -2,10 +2,11 @@
 
 from weft.model import Graph, HyperGraph
 from weft.operators.combiners import Combiner, Fold, Mode, fields, largest, smallest, total
-from weft.operators.superstep import AllExcept, Everyone, Only, Program, Send, Step
+from weft.operators.superstep import AllExcept, ArrowProgram, Everyone, Only, Program, Send, Step
 
 __all__ = [
     "AllExcept",
+    "ArrowProgram",
     "Combiner",
     "Everyone",
     "Fold",

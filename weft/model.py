@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import placement, projection, structure, superstep
+from weft.operators import placement, projection, store, structure, superstep
 from weft.operators.layout import Layout
 
 Predicate = Callable[[Column, Column], Column]
@@ -88,12 +88,20 @@ class HyperGraph:
     # -- sinks ------------------------------------------------------------------------
 
     def write_parquet(self, path: str) -> None:
-        for name in ("hv", "he", "inc"):
-            getattr(self, name).write.parquet(f"{path}/{name}")
+        """Write the three tables and, last, a manifest of what is known of them.
+
+        Placed incidences (``inc.part``) are partitioned by part, with the parts of every
+        vertex beside them, so that a read for some vertices opens only their parts.
+        """
+        store.write(self, path)
 
     @staticmethod
-    def read_parquet(spark: SparkSession, path: str) -> HyperGraph:
-        return HyperGraph(*[spark.read.parquet(f"{path}/{name}") for name in ("hv", "he", "inc")])
+    def read_parquet(spark: SparkSession, path: str, vertices: DataFrame | None = None) -> HyperGraph:
+        """A hypergraph of :meth:`write_parquet`, ``distinct`` and placement included.
+
+        With ``vertices(id)`` only these, their incidences and the hyperedges that have them.
+        """
+        return HyperGraph(**store.read(spark, path, vertices))
 
     # -- views ------------------------------------------------------------------------
 
@@ -170,7 +178,8 @@ class HyperGraph:
 
     def dual(self) -> HyperGraph:
         """Vertices become hyperedges and the reverse; ids stay."""
-        inc = self.inc.select(F.col("hv_id").alias("he_id"), F.col("he_id").alias("hv_id"))
+        part = [c for c in self.inc.columns if c == "part"]
+        inc = self.inc.select(F.col("hv_id").alias("he_id"), F.col("he_id").alias("hv_id"), *part)
         return HyperGraph(self.he, self.hv, inc, self.distinct, self.layout and self.layout.dual())
 
     def to_graph(self, value: Callable[[Column], Column], combine="sum", block: int = projection.BLOCK) -> Graph:
@@ -185,7 +194,11 @@ class HyperGraph:
         return projection.to_graph(self, value, combine, block)
 
     def assign_parts(self, strategy: str, parts: int, threshold: int = placement.DEGREE_CUTOFF) -> HyperGraph:
-        """Add ``inc.part``, taking vertices as sources and hyperedges as destinations."""
+        """Add ``inc.part``, taking vertices as sources and hyperedges as destinations.
+
+        Supersteps then keep the incidences of a part together, see
+        :class:`~weft.operators.layout.PlacedLane`.
+        """
         edges = self.inc.select(F.col("hv_id").alias("src"), F.col("he_id").alias("dst"))
         placed = placement.assign_partitions(edges, strategy, parts, threshold)
         inc = placed.select(F.col("dst").alias("he_id"), F.col("src").alias("hv_id"), "part")
@@ -201,9 +214,9 @@ class HyperGraph:
 
     # -- supersteps -------------------------------------------------------------------
 
-    def compute(self, max_iters, initial, vertex_program, hyperedge_program, trace=None, frontier=None) -> HyperGraph:
+    def compute(self, max_iters, initial, vertex_program, hyperedge_program, trace=None, frontier=None, traffic=None) -> HyperGraph:
         """See :func:`weft.operators.superstep.compute`."""
-        return superstep.compute(self, max_iters, initial, vertex_program, hyperedge_program, trace, frontier)
+        return superstep.compute(self, max_iters, initial, vertex_program, hyperedge_program, trace, frontier, traffic)
 
 
 @dataclass(frozen=True)

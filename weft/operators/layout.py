@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.operators.routes import merge_copies
 from weft.operators.skew import SALT, copy_rows, hot_keys, split_rows
 from weft.session import cut, partitions_for, scratch_path, shuffle_partitions
 
@@ -54,8 +55,8 @@ def loop_session(spark: SparkSession, parts: int) -> SparkSession:
     return loop
 
 
-def bucketed(frame: DataFrame, keys: list[str], parts: int, name: str) -> DataFrame:
-    """Write ``frame`` in ``parts`` buckets by ``keys`` and read it back.
+def bucketed(frame: DataFrame, keys: list[str], parts: int, name: str, order: list[str] | None = None) -> DataFrame:
+    """Write ``frame`` in ``parts`` buckets by ``keys``, each sorted by ``order`` (or the keys), and read it back.
 
     Rows that already are hash partitioned that way are written where they are, one file a
     bucket; others are shuffled by the caller first.
@@ -64,7 +65,7 @@ def bucketed(frame: DataFrame, keys: list[str], parts: int, name: str) -> DataFr
     path, table = scratch_path(spark, name), f"weft_{name}_{uuid.uuid4().hex}"
     void = [f.name for f in frame.schema if isinstance(f.dataType, T.NullType)]  # Parquet has no such type
     frame = frame.withColumns({c: F.col(c).cast("int") for c in void}) if void else frame
-    frame.write.bucketBy(parts, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    frame.write.bucketBy(parts, *keys).sortBy(*(order or keys)).option("path", path).saveAsTable(table)
     found = spark.table(table)
     found.bucketed_as = (table, path)
     return found
@@ -104,9 +105,42 @@ class Lane:
         drop_bucketed(self.table)
 
 
+class PlacedLane(Lane):
+    """Links ``(src_id, dst_id, copies, part)`` of one direction that stay where they are placed.
+
+    The links of a part lie in one bucket. A sender's row is shipped once to each part that
+    has links of it, which a table of (part, sender) copies says; there its messages are
+    combined with those of the part's other senders before they are shuffled to their
+    receivers. So a placement decides how many rows travel: a half step ships one row per
+    copy of a sender and at most one message per (part, receiver). Parts with far more links
+    than a bucket should hold are split by receiver, which adds copies but no messages.
+    """
+
+    def __init__(self, links: DataFrame, total: int, parts: int):
+        self.parts = parts
+        self.hot = hot_keys(links, "part", total)
+        self.keys = ["part"] if self.hot is None else ["part", SALT]
+        rows = links if self.hot is None else split_rows(links, "part", ["dst_id"], self.hot)
+        self.table = bucketed(rows.repartition(parts, *self.keys), self.keys, parts, "links", [*self.keys, "src_id"])
+        copies = self.table.select("src_id", *self.keys).distinct()
+        self.copies = bucketed(copies.repartition(parts, "src_id"), ["src_id"], parts, "copies")
+
+    def join(self, senders: DataFrame) -> DataFrame:
+        """``senders`` (one row per ``src_id``), shipped to the parts they have links in, with those links."""
+        shipped = senders.join(self.copies, "src_id").repartition(self.parts, *self.keys)
+        return shipped.join(self.table, [*self.keys, "src_id"]).drop(SALT)
+
+    def release(self) -> None:
+        super().release()
+        drop_bucketed(self.copies)
+
+
 @dataclass(frozen=True)
 class Layout:
-    """Incidences in both directions, by the role that receives, and the number of buckets."""
+    """Incidences in both directions, by the role that receives, and the number of buckets.
+
+    Incidences with a column ``part`` (of ``assign_parts``) are laid out by part.
+    """
 
     lanes: dict[str, Lane]
     parts: int
@@ -115,21 +149,26 @@ class Layout:
     def of(graph: HyperGraph) -> Layout:
         """Merge parallel incidences and write both directions; the caller releases them."""
         spark = graph.inc.sparkSession
-        links = graph.links().persist()
+        placed = "part" in graph.inc.columns
+        part = [F.coalesce(F.col("part").cast("int"), F.lit(-1)).alias("part")] if placed else []
+        links = merge_copies(graph.inc.select("he_id", "hv_id", *part), ["he_id", "hv_id", "part"]) if placed else graph.links()
+        links = links.persist()
         try:
             total = links.count()
             parts = max(partitions_for(spark, total), shuffle_partitions(spark))
             lanes = {}
             for receiver, a, b in (("he", "hv_id", "he_id"), ("hv", "he_id", "hv_id")):
-                directed = links.select(F.col(a).alias("src_id"), F.col(b).alias("dst_id"), "copies")
-                lanes[receiver] = Lane(directed, total, parts)
+                directed = links.select(F.col(a).alias("src_id"), F.col(b).alias("dst_id"), "copies", *(["part"] if placed else []))
+                lanes[receiver] = (PlacedLane if placed else Lane)(directed, total, parts)
         finally:
             links.unpersist()
         return Layout(lanes, parts)
 
     def links(self) -> DataFrame:
-        """``(he_id, hv_id, copies)``, bucketed by hyperedge unless some are split."""
+        """``(he_id, hv_id, copies)``, bucketed by hyperedge unless some are split or incidences are placed."""
         found = self.lanes["hv"].links()
+        if isinstance(self.lanes["hv"], PlacedLane):  # a pair may be in several parts
+            found = found.groupBy("src_id", "dst_id").agg(F.sum("copies").alias("copies"))
         return found.select(F.col("src_id").alias("he_id"), F.col("dst_id").alias("hv_id"), "copies")
 
     def dual(self) -> Layout:
@@ -160,6 +199,14 @@ class NodeState:
         self.base, self.table = rows.select("id", "attr"), None
         return rows
 
+    def rewrite(self, rows: DataFrame) -> DataFrame:
+        """Write ``rows(id, attr, ...)`` of all nodes as the base, before any layer."""
+        table = bucketed(rows.repartition(self.parts, "id"), ["id"], self.parts, "nodes")
+        stale, self.base, self.table, self.written = self.written, table.select("id", "attr"), table, [table]
+        for old in stale:
+            drop_bucketed(old)
+        return table
+
     def current(self, messages: DataFrame | None = None) -> DataFrame:
         """``(id, attr, _layer)``, and ``dst_id`` and ``msg`` if ``messages(dst_id, msg)`` are given.
 

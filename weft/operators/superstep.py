@@ -15,9 +15,12 @@ from contextlib import ExitStack
 from dataclasses import dataclass, field, replace
 from typing import TYPE_CHECKING
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weft.operators.combiners import Combiner, default_combiner, resolve
 from weft.operators.layout import Lane, Layout, NodeState, loop_session
@@ -86,12 +89,35 @@ class Program:
     combiner: Combiner | str | Callable[[Column, Column], Column] | None = None
 
 
+@dataclass(frozen=True)
+class ArrowProgram:
+    """A program for what no Column expresses: a function of Arrow batches.
+
+    ``step(superstep, batch)`` gets a record batch ``(id, attr, msg)`` of nodes that run, and
+    returns a table or batch ``(id, attr, sends)`` with a row for each of them, in any order.
+    ``sends`` is a list of structs ``(to, msg)``: none, one or many per node, ``to`` being the id
+    of an incident node or null for all of them. ``message`` is the type of ``msg`` in DDL.
+
+    It must give the same for the same nodes, since a lost task runs again; batches have at most
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows, and how nodes are dealt to them is open.
+    The rows it returns are shuffled once more than those of a :class:`Program`, to their buckets.
+    """
+
+    step: Callable[[int, pa.RecordBatch], pa.RecordBatch | pa.Table]
+    message: str
+    combiner: Combiner | str | Callable[[Column, Column], Column] | None = None
+
+
 @dataclass
 class _State:
-    """Rows ``(id, attr, ...outbox)`` of one role and the sends of its last step."""
+    """Rows ``(id, attr, ...outbox)`` of one role and the sends of its last step.
+
+    ``listed`` says that each row lists its sends in ``_sends``, as an :class:`ArrowProgram` does.
+    """
 
     rows: DataFrame
     sends: list[Send] = field(default_factory=list)
+    listed: bool = False
 
 
 #: Numeric types, each of which holds the values of those before it.
@@ -117,8 +143,42 @@ def _fits(new: T.DataType, kind: T.DataType) -> bool:
     return all(x in _WIDTHS for x in kinds) and _WIDTHS.index(kinds[0]) <= _WIDTHS.index(kinds[1])
 
 
-def _run(rows: DataFrame, ran: Column, program: Program, superstep: int) -> _State:
+def _run_arrow(rows: DataFrame, ran: Column, program: ArrowProgram, superstep: int) -> _State:
+    """Apply an Arrow program to rows ``(id, attr, msg)`` where ``ran`` holds; the others pass unchanged."""
+    layered = "_layer" in rows.columns
+    kind, step = rows.schema["attr"].dataType, program.step
+    listed = T.DataType.fromDDL(f"array<struct<to:bigint,msg:{program.message}>>")
+    fixed = [("id", T.LongType()), ("attr", kind), ("_ran", T.BooleanType()), ("_layer", T.IntegerType()), ("_sends", listed)]
+    schema = T.StructType([T.StructField(*f) for f in fixed])
+    target = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            given = pa.Table.from_batches([batch])
+            idle = given.filter(pc.invert(given["_ran"])).select(["id", "attr", "_ran", "_layer"])
+            parts = [idle.append_column("_sends", pa.nulls(idle.num_rows, target.field("_sends").type))]
+            heard = given.filter(given["_ran"]).combine_chunks()
+            for part in heard.select(["id", "attr", "msg"]).to_batches():
+                found = step(superstep, part)
+                found = pa.Table.from_batches([found]) if isinstance(found, pa.RecordBatch) else found
+                place = pc.index_in(found["id"], value_set=heard["id"].combine_chunks())
+                if found.num_rows != part.num_rows or place.null_count or len(pc.unique(place)) != part.num_rows:
+                    raise ValueError("an Arrow program returns one row for each node of its batch")
+                found = found.rename_columns(["_sends" if c == "sends" else c for c in found.column_names])
+                own = heard.select(["_ran", "_layer"]).take(place)
+                parts.append(found.append_column("_ran", own["_ran"]).append_column("_layer", own["_layer"]))
+            for table in parts:
+                yield from table.select(target.names).cast(target).to_batches()
+
+    given = rows.select("id", "attr", "msg", ran.alias("_ran"), (F.col("_layer") if layered else F.lit(-1)).cast("int").alias("_layer"))
+    done = given.mapInArrow(run, schema)
+    return _State(done if layered else done.drop("_layer"), listed=True)
+
+
+def _run(rows: DataFrame, ran: Column, program: Program | ArrowProgram, superstep: int) -> _State:
     """Apply a program to rows ``(id, attr, msg)`` where ``ran`` holds."""
+    if isinstance(program, ArrowProgram):
+        return _run_arrow(rows, ran, program, superstep)
     kind = rows.schema["attr"].dataType
     step = program.step(superstep, F.col("id"), F.col("attr"), F.col("msg"))
     attr = F.col("attr")
@@ -147,9 +207,11 @@ def _run(rows: DataFrame, ran: Column, program: Program, superstep: int) -> _Sta
     return _State(state, step.sends)
 
 
-def _any_sent(sends: list[Send]) -> Column:
+def _any_sent(state: _State) -> Column:
     sent = F.lit(False)
-    for i in range(len(sends)):
+    if state.listed:
+        return F.coalesce(F.size("_sends") > 0, sent)
+    for i in range(len(state.sends)):
         sent = sent | F.col(f"_sent{i}")
     return sent
 
@@ -191,15 +253,26 @@ def _for_receivers(sends: list[Send]) -> bool:
     return "receiver" in sends[0].to.ids.columns and "sender" not in sends[0].to.ids.columns
 
 
-def _deliver(state: _State, routes, combiner) -> DataFrame:
-    """Messages of ``state`` combined per destination: ``(dst_id, msg)``."""
+def _deliver(state: _State, routes, combiner, traffic: list | None = None) -> DataFrame:
+    """Messages of ``state`` combined per destination: ``(dst_id, msg)``.
+
+    ``traffic`` collects how many rows that takes on placed links, see :func:`compute`.
+    """
     sends = state.sends
+    if state.listed:
+        senders = state.rows.where(_any_sent(state)).select(F.col("id").alias("src_id"), "_sends")
+        linked = routes.join(senders)
+        letter = linked.select(*linked.columns, F.explode("_sends").alias("letter"))
+        letter = letter.where(F.coalesce(F.col("letter.to") == F.col("dst_id"), F.lit(True)))
+        if traffic is not None:
+            _count(letter, traffic)
+        return _combined(letter.select("dst_id", "letter.msg", "copies"), combiner)
     if _for_receivers(sends):
         to = sends[0].to
-        found = _deliver(_State(state.rows, [replace(sends[0], to=Everyone())]), routes, combiner)
+        found = _deliver(_State(state.rows, [replace(sends[0], to=Everyone())]), routes, combiner, traffic)
         listed = to.ids.select(F.col("receiver").cast("bigint").alias("dst_id"))
         return found.join(listed, "dst_id", "left_anti" if isinstance(to, AllExcept) else "left_semi")
-    senders = state.rows.where(_any_sent(sends)).drop("attr", "_ran")
+    senders = state.rows.where(_any_sent(state)).drop("attr", "_ran")
     linked = _marked(routes.join(senders.withColumnRenamed("id", "src_id")), sends)
     if "_was" in linked.columns:
         linked = linked.select("*", F.col("src_id").alias("id"), "_was.attr", "_was.msg")
@@ -210,41 +283,55 @@ def _deliver(state: _State, routes, combiner) -> DataFrame:
         )
         for i, send in enumerate(sends)
     ]
+    if traffic is not None:
+        _count(linked.where(F.exists(F.array(*letters), lambda x: x["keep"])), traffic)
     if len(letters) == 1:
         letter = linked.select("dst_id", "copies", letters[0].alias("letter"))
     else:
         letter = linked.select("dst_id", "copies", F.explode(F.array(*letters)).alias("letter"))
-    rows = letter.where("letter.keep").select("dst_id", "letter.msg", "copies")
+    return _combined(letter.where("letter.keep").select("dst_id", "letter.msg", "copies"), combiner)
+
+
+def _count(linked: DataFrame, traffic: list) -> None:
+    """Add a half step to ``traffic``: its copies of senders and its messages after combining within parts."""
+    counts = linked.agg(F.count_distinct("part", "src_id"), F.count_distinct("part", "dst_id")).first()
+    traffic.append((len(traffic), *counts))
+
+
+def _combined(rows: DataFrame, combiner) -> DataFrame:
     if combiner is None:
         combiner = default_combiner(rows.schema["msg"].dataType)
     return resolve(combiner).merge(rows)
 
 
 def _half_step(
-    senders: _State, lane: Lane, combiner, nodes: NodeState, program: Program, superstep: int
+    senders: _State, lane: Lane, combiner, nodes: NodeState, program: Program, superstep: int, traffic: list | None
 ) -> tuple[_State, int, int]:
     """Deliver to ``nodes``, run their program on those that have a message, write their new state.
 
     Returns what they send, the number of nodes that had a message and of nodes that sent one.
     """
-    heard = nodes.current(_deliver(senders, lane, combiner))
+    heard = nodes.current(_deliver(senders, lane, combiner, traffic))
     state = _run(heard, F.col("dst_id").isNotNull(), program, superstep)
     seen = Observation()
-    counts = [F.count_if("_ran").alias("heard"), F.count_if(_any_sent(state.sends)).alias("sent"), *nodes.counters()]
-    written = nodes.push(state.rows.observe(seen, *counts).drop("_layer"))
+    counts = [F.count_if("_ran").alias("heard"), F.count_if(_any_sent(state)).alias("sent"), *nodes.counters()]
+    rows = state.rows.observe(seen, *counts).drop("_layer")
+    # what a Python function returns is not known to be partitioned
+    written = nodes.push(rows.repartition(nodes.parts, "id") if state.listed else rows)
     found = seen.get
     nodes.pushed(written, found["heard"], found)
-    return _State(written, state.sends), found["heard"], found["sent"]
+    return _State(written, state.sends, state.listed), found["heard"], found["sent"]
 
 
 def compute(
     graph: HyperGraph,
     max_iters: int | None,
     initial: Column,
-    vertex_program: Program,
-    hyperedge_program: Program,
+    vertex_program: Program | ArrowProgram,
+    hyperedge_program: Program | ArrowProgram,
     trace: list[int] | None = None,
     frontier: list[tuple[int, int, int]] | None = None,
+    traffic: list[tuple[int, int, int]] | None = None,
 ) -> HyperGraph:
     """Run vertex and hyperedge programs in alternation.
 
@@ -256,7 +343,13 @@ def compute(
     with a message per half step, ``frontier`` (half step, nodes with a message, nodes that
     send). On a graph made by :meth:`~weft.model.HyperGraph.prepare` the incidences stay
     where they are; otherwise they are laid out for this one run.
+
+    Incidences with a column ``part`` are laid out by it: senders are shipped to the parts
+    and messages combined there first. ``traffic`` then collects (half step, copies of senders
+    shipped, messages after combining within parts); it costs one more job per half step.
     """
+    if traffic is not None and "part" not in graph.inc.columns:
+        raise ValueError("traffic is counted on placed incidences; call assign_parts first")
     if max_iters == 0:
         start = graph.hv.withColumn("msg", initial)
         state = _run(start.select("id", "attr", "msg"), F.lit(True), vertex_program, 0)
@@ -278,13 +371,17 @@ def compute(
             first.append(_run(rows.withColumn("msg", initial), F.lit(True), vertex_program, 0))
             return first[0].rows
 
-        nodes["hv"].replace(begin)
-        state = first[0]
+        if isinstance(vertex_program, ArrowProgram):  # written, so that it does not run again whenever the rows are read
+            rows = _run(nodes["hv"].base.withColumn("msg", initial), F.lit(True), vertex_program, 0).rows
+            state = _State(nodes["hv"].rewrite(rows), listed=True)
+        else:
+            nodes["hv"].replace(begin)
+            state = first[0]
         program = {"hv": vertex_program, "he": hyperedge_program}
         superstep, half, sender, receiver = 0, 0, "hv", "he"
-        while state.sends:
+        while state.sends or state.listed:
             state, heard, sent = _half_step(
-                state, layout.lanes[receiver], program[sender].combiner, nodes[receiver], program[receiver], superstep
+                state, layout.lanes[receiver], program[sender].combiner, nodes[receiver], program[receiver], superstep, traffic
             )
             if trace is not None:
                 trace.append(heard)
