@@ -111,6 +111,9 @@ def pieces(
     return rows.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
+WEIGHTS = (1.0, 0.5, 0.5)  # of tokens, documents and attention cost in the rule
+
+
 def best_fit(
     lengths: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm", same: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +163,7 @@ def pack(
     max_tokens: int = MAX_TOKENS,
     max_documents: int | None = None,
     max_attention: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = WEIGHTS,
     rule: str = "norm",
     block_pieces: int = BLOCK_PIECES,
     copies_apart: bool = False,
