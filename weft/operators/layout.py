@@ -37,6 +37,7 @@ LOOP_SETTINGS = {
     "spark.sql.adaptive.enabled": "false",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",  # links stay with their part, joined by part and sender
 }
 
 
