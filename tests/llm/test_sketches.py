@@ -47,7 +47,9 @@ def test_documents(some_docs):
     assert all(len(x) == 1 for x in by_text.values())
 
 
-def test_large_differences_and_repeats(spark):
+@pytest.mark.parametrize("split", [1, 8, 64])
+def test_large_differences_and_repeats(spark, monkeypatch, split):
+    monkeypatch.setattr(sketches, "SPLIT", split)  # 1: every retry in rows of its own
     rng = random.Random(8)
     lines = [f"line {i}" for i in range(4000)]
     docs = [(i, "\n".join(rng.choice(lines) for _ in range(n))) for i, n in enumerate([1, 5, 30, 200, 1500, 6000, 6000])]
@@ -73,6 +75,17 @@ def test_peeling_gives_the_digests_back(spark):
     assert all(r.ok for r in found) and {r.id: (set(r.only_a), set(r.only_b)) for r in found} == want
 
 
+def test_pairs_split_in_their_row(spark):
+    texts = [(n, "\n".join(f"a {i}" for i in range(n)), "\n".join(f"{'a' if i % 3 else 'b'} {i}" for i in range(n))) for n in (2, 40, 300, 5000)]
+    frame = spark.createDataFrame(texts, "id int, left string, right string")
+    pairs = frame.select("id", sketches.digests(F.col("left")).alias("a"), sketches.digests(F.col("right")).alias("b"))
+    for r in pairs.withColumn("s", sketches.split("a", "b")).collect():
+        differ = len(set(r.a) ^ set(r.b))
+        rest = len(set(r.s.a) ^ set(r.s.b))
+        assert r.s.n + rest == differ and set(r.s.a) <= set(r.a) and set(r.s.b) <= set(r.b)
+        assert rest == differ if r.id == 5000 else rest < differ  # too large a pair comes back whole
+
+
 def test_odd_rows(odd_docs, no_docs, spark):
     distinct = {(i, t or "") for i, t, *_ in rows()}
     hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for t in {t for _, t in distinct}], "text string").select("text", F.xxhash64("text").alias("h")).collect()}

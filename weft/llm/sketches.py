@@ -8,9 +8,11 @@ recovers the others: a cell with one digest gives it away, which empties it else
 A digest carries a check of its own bits, so a cell that only looks like one digest is
 not taken for it. Peeling that does not end in empty cells has failed, and the pair is
 tried again with a larger sketch: its digests are split by further bits over as many
-sketches as its size calls for, then over four times as many, where needed. These live in
-rows of their own, so that the work stays linear and no row grows with a text's number of
-paragraphs. Should ``ATTEMPTS`` not do, the digests themselves are compared.
+sketches as its size calls for, then over four times as many, where needed. Up to
+``SPLIT`` sketches are peeled in the pair's own row, which moves nothing; larger pairs and
+what is still left are in rows of their own, so that the work stays linear and no row grows
+with a text's number of paragraphs. Should ``ATTEMPTS`` not do, the digests themselves are
+compared. Where a pair is peeled changes no result.
 
 Built-in functions only; no Python runs on the data.
 """
@@ -25,6 +27,7 @@ from weft.operators.ids import counted_ids
 
 ROW = 16  # cells in each third; a power of two
 LOAD = 12  # digests of both sides that a sketch of a retry gets on average
+SPLIT = 64  # sketches of one pair that are peeled in its row
 ROUNDS = 12
 ATTEMPTS = 6
 LONG_PARAGRAPH = 600  # a longer line counts as its sentences
@@ -53,11 +56,15 @@ def digests(text: Column) -> Column:
 
 def sketch(column: str) -> Column:
     """Cells ``array<struct<n:int, x:bigint>>`` of a column of digests."""
-    return F.expr(f"""
+    return F.expr(_sketch(column))
+
+
+def _sketch(digests: str) -> str:
+    return f"""
         flatten(transform(array(16, {16 + _BITS}, {16 + 2 * _BITS}), place ->
             transform(sequence(0L, {ROW - 1}L), cell ->
-                element_at(transform(array(filter({column}, d -> (shiftright(d, place) & {ROW - 1}L) = cell)),
-                    own -> named_struct('n', size(own), 'x', aggregate(own, 0L, (a, d) -> a ^ d))), 1))))""")
+                element_at(transform(array(filter({digests}, d -> (shiftright(d, place) & {ROW - 1}L) = cell)),
+                    own -> named_struct('n', size(own), 'x', aggregate(own, 0L, (a, d) -> a ^ d))), 1))))"""
 
 
 def fingerprint(cells: Column) -> Column:
@@ -75,9 +82,13 @@ def peel(cells: str) -> Column:
 
     ``cells`` is SQL; it is evaluated once.
     """
+    return F.expr(_peel(cells))
+
+
+def _peel(cells: str) -> str:
     pure = f"array_distinct(filter(s.cells, c -> abs(c.n) = 1 AND (c.x & 65535L) = {_CHECK.format('c.x')}))"
     place = f"shiftright(p.x, 16 + {_BITS} * (j div {ROW})) & {ROW - 1}L"
-    return F.expr(f"""
+    return f"""
         element_at(transform(array({cells}), first -> aggregate(sequence(1, {ROUNDS}),
             named_struct('cells', first, 'found', filter(first, c -> false)),
             (s, i) -> if(exists(s.cells, c -> abs(c.n) = 1),
@@ -85,11 +96,42 @@ def peel(cells: str) -> Column:
                     'cells', transform(s.cells, (c, j) -> aggregate(pure, c,
                         (a, p) -> if(({place}) = j % {ROW}, named_struct('n', a.n - p.n, 'x', a.x ^ p.x), a))),
                     'found', concat(s.found, pure))), 1),
-                s))), 1)""")
+                s))), 1)"""
 
 
 def done(peeled: str) -> Column:
-    return F.expr(f"NOT exists({peeled}.cells, c -> c.n <> 0 OR c.x <> 0)")
+    return F.expr(_done(peeled))
+
+
+def _done(peeled: str) -> str:
+    return f"NOT exists({peeled}.cells, c -> c.n <> 0 OR c.x <> 0)"
+
+
+def level(a: str, b: str) -> str:
+    """SQL of the number of bits that split two arrays of digests into sketches of about ``LOAD``."""
+    return f"cast(greatest(1, least(30, ceil(log2((size({a}) + size({b})) / {LOAD})))) as int)"
+
+
+def split(a: str, b: str) -> Column:
+    """``struct<n, a, b, level>`` of a pair whose one sketch failed, peeled in its own row.
+
+    ``n`` digests were found to differ; ``a`` and ``b`` hold those of the sketches that failed
+    again. A pair that needs more than ``SPLIT`` sketches comes back whole. ``level`` is the
+    number of bits that the rest is to be split by next, see :func:`retried`.
+    """
+    own = "(shiftrightunsigned(d, 32) & (shiftleft(1L, bits) - 1L)) = sub"
+    parts = f"""transform(sequence(0L, shiftleft(1L, bits) - 1L), sub ->
+        named_struct('l', filter({a}, d -> {own}), 'r', filter({b}, d -> {own})))"""
+    peeled = _peel(subtract(f"({_sketch('part.l')})", f"({_sketch('part.r')})"))
+    none = "filter(part.l, d -> false)"
+    tried = f"""transform({parts}, part -> element_at(transform(array({peeled}), end ->
+        if({_done('end')}, named_struct('n', size(end.found), 'a', {none}, 'b', {none}),
+            named_struct('n', 0, 'a', part.l, 'b', part.r))), 1))"""
+    return F.expr(f"""element_at(transform(array({level(a, b)}), bits -> if(shiftleft(1L, bits) > {SPLIT}L,
+        named_struct('n', 0, 'a', {a}, 'b', {b}, 'level', bits),
+        element_at(transform(array({tried}), tries -> named_struct(
+            'n', aggregate(tries, 0, (n, t) -> n + t.n),
+            'a', flatten(transform(tries, t -> t.a)), 'b', flatten(transform(tries, t -> t.b)), 'level', bits + 2)), 1))), 1)""")
 
 
 def differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,10 +144,13 @@ def differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def retried(failed: DataFrame, keys: list[str]) -> DataFrame:
-    """:func:`differences` of pairs for which one sketch each was too small."""
+    """:func:`differences` of pairs for which one sketch each was too small.
+
+    A column ``level`` tells by how many bits to split first; without it, the sizes do.
+    """
     solved = []
-    bits = f"greatest(1, least(30, ceil(log2((size(a) + size(b)) / {LOAD}))))"
-    work = failed.select(*keys, F.expr(bits).cast("int").alias("level"), "a", "b")
+    bits = F.col("level") if "level" in failed.columns else F.expr(level("a", "b")).alias("level")
+    work = failed.select(*keys, bits, "a", "b")
     for attempt in range(ATTEMPTS):
         loose = work.select(*keys, "level", F.size("a").alias("size_a"), F.posexplode(F.concat("a", "b")).alias("at", "d"))
         sub = F.expr("shiftrightunsigned(d, 32) & (shiftleft(1L, level) - 1L)").alias("sub")
@@ -195,21 +240,22 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     cells = edited.withColumns({f"_{c}": sketch(c) for c in ("own", "edit", "next")})
     cells = cells.withColumns({f"_p_{c}": peel(subtract("_own", f"_{c}")) for c in ("edit", "next")})
     cells = cells.withColumns({f"_ok_{c}": done(f"_p_{c}") for c in ("edit", "next")})
-    failed = ~F.col("_ok_edit") | ~F.col("_ok_next")
+    cells = cells.withColumns({f"_s_{c}": F.when(~F.col(f"_ok_{c}"), split("own", c)) for c in ("edit", "next")})
+    left = {c: F.size(f"_s_{c}.a") + F.size(f"_s_{c}.b") > 0 for c in ("edit", "next")}
     first = cells.select(
         F.monotonically_increasing_id().alias("row"), "key.k_id", "key.k_none", "n_chars", "edited_sha256", fingerprint(F.col("_own")).alias("fingerprint"), fingerprint(F.col("_edit")).alias("edited_fingerprint"),
         *(F.size(c).alias(f"n_{c}") for c in ("own", "edit", "next")),
-        *(F.when(F.col(f"_ok_{c}"), F.size(f"_p_{c}.found")).alias(f"d_{c}") for c in ("edit", "next")),
-        F.when(failed, F.col("own")).alias("own"), *(F.when(~F.col(f"_ok_{c}"), F.col(c)).alias(c) for c in ("edit", "next")),
+        *(F.when(F.col(f"_ok_{c}"), F.size(f"_p_{c}.found")).otherwise(F.col(f"_s_{c}.n")).alias(f"d_{c}") for c in ("edit", "next")),
+        *(F.when(left[c], F.col(f"_s_{c}")).alias(f"rest_{c}") for c in ("edit", "next")),
     )
     first = kept(first, "fingerprints")
-    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("b")) for i, c in enumerate(("edit", "next"))))).alias("k")
-    again = first.where("own IS NOT NULL").select("row", F.col("own").alias("a"), kinds)
-    again = again.select((F.col("row") * 2 + F.col("k.kind")).alias("pair"), "a", "k.b").where("b IS NOT NULL")
+    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"rest_{c}").alias("rest")) for i, c in enumerate(("edit", "next"))))).alias("k")
+    again = first.where("rest_edit IS NOT NULL OR rest_next IS NOT NULL").select("row", kinds).where("k.rest IS NOT NULL")
+    again = again.select((F.col("row") * 2 + F.col("k.kind")).alias("pair"), "k.rest.level", "k.rest.a", "k.rest.b")
     found = retried(again, ["pair"]).groupBy(F.shiftright("pair", 1).alias("row"))
     found = found.agg(*(F.max(F.when(F.col("pair") % 2 == i, F.col("n_diff"))).alias(f"r_{c}") for i, c in enumerate(("edit", "next"))))
     joined = first.join(found, "row", "left")
     n_own = F.col("n_own")
-    near = (likeness(n_own, F.col(f"n_{c}"), F.coalesce(f"d_{c}", f"r_{c}")).alias(name) for c, name in (("edit", "near_edited"), ("next", "near_next")))
+    near = (likeness(n_own, F.col(f"n_{c}"), F.col(f"d_{c}") + F.coalesce(f"r_{c}", F.lit(0))).alias(name) for c, name in (("edit", "near_edited"), ("next", "near_next")))
     id = F.when(~F.col("k_none"), F.col("k_id")).alias("doc_id")
     return joined.select(id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near, n_own.alias("n_paragraphs"))
