@@ -603,6 +603,10 @@ def build() -> dict[str, str]:
     sql["list_messages"] = orders("""SELECT inc.he AS id, count(*) AS n, CAST(sum(inc.hv * p_size) AS BIGINT) AS total, min(inc.hv) AS low
         FROM inc JOIN hv ON hv.id = inc.hv GROUP BY inc.he""")
     sql["sketch_messages"] = sql["neighbours_wide"] = "SELECT o_orderkey AS id, true AS close FROM orders"
+    sql["neighbours_exact_wide"] = """WITH lots AS (
+            SELECT DISTINCT l_suppkey * 3 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS he, l_orderkey AS hv FROM lineitem),
+        c AS (SELECT a.hv, count(DISTINCT b.hv) AS n FROM lots a JOIN lots b ON a.he = b.he GROUP BY a.hv)
+        SELECT o_orderkey AS id, coalesce(n, 0) AS neighbours FROM orders LEFT JOIN c ON c.hv = o_orderkey"""
     sql["partition_statistics"] = f"""WITH p AS ({sql['part_hybrid_src']}),
         sizes AS (SELECT part, count(*) AS n FROM p GROUP BY part),
         s AS (SELECT avg(n) AS m FROM (SELECT count(DISTINCT part) AS n FROM p GROUP BY src)),

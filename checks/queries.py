@@ -636,6 +636,12 @@ def neighbours_wide(spark, sf):
     return close_to_exact(graph, neighbour_counts(graph).select("id", "estimate"))
 
 
+@query
+def neighbours_exact_wide(spark, sf):
+    """Exact counts where most hyperedges are bitmaps and the others still list their pairs."""
+    return neighbour_counts(flagged_lots(spark, sf), exact=True, heavy=200)
+
+
 @query
 def sketch_messages(spark, sf):
     """The same as a program: sketches are messages, united by the combiner that their type implies."""

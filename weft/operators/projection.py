@@ -97,15 +97,6 @@ def to_graph(graph: HyperGraph, value: Callable[[Column], Column], combine, bloc
     return Graph(graph.hv.select("id", "attr"), _mirror(edges, "attr"))
 
 
-def co_members(graph: HyperGraph, block: int = BLOCK) -> DataFrame:
-    """``(id, neighbours)``: exact number of distinct co-members, self included; 0 if isolated."""
-    values = graph.he.select(F.col("id").alias("he_id"), F.lit(1).alias("msg"))
-    pairs = member_pairs(graph, values, block).select("a", "b").distinct()
-    counts = _mirror(pairs).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_n"))
-    number = F.coalesce("_n", F.lit(0)).alias("neighbours")
-    return graph.hv.select("id").join(counts, "id", "left").select("id", number)
-
-
 class Projection:
     """The one-mode graph with edge weights summed over shared hyperedges, kept factored.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.model import HyperGraph
-from weft.operators.projection import co_members
+from weft.operators.comembers import HEAVY, co_members
 from weft.operators.skew import apart
 
 # Sketch size (log2 of its registers) and the relative error of one standard deviation.
@@ -52,16 +52,17 @@ def estimates(sketches: DataFrame) -> DataFrame:
     return found.select("id", F.when((raw <= 2.5 * size) & (F.col("_full") < size), few).otherwise(raw).alias("estimate"))
 
 
-def neighbour_counts(graph: HyperGraph, exact: bool = False) -> DataFrame:
+def neighbour_counts(graph: HyperGraph, exact: bool = False, heavy: int = HEAVY) -> DataFrame:
     """Distinct co-members per vertex, the vertex itself included; 0 if isolated.
 
     By default a sketch estimate, ``(id, estimate, low, high)`` with an interval of two
     standard errors: each hyperedge sketches its members, each vertex unites the
     sketches of its hyperedges. Linear in the incidences, merged before each shuffle.
-    ``exact=True`` lists the pairs and returns ``(id, neighbours)``.
+    ``exact=True`` returns ``(id, neighbours)``: hyperedges of up to ``heavy`` members list
+    their pairs, larger ones are bitmaps.
     """
     if exact:
-        return co_members(graph)
+        return co_members(graph, heavy)
     inc = graph.inc.select("he_id", "hv_id")
     sketches = inc.groupBy("he_id").agg(F.hll_sketch_agg("hv_id", F.lit(SKETCH_BITS)).alias("_s"))
     counts = (
