@@ -250,11 +250,15 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     first = kept(first, "fingerprints")
     kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"rest_{c}").alias("rest")) for i, c in enumerate(("edit", "next"))))).alias("k")
-    again = first.where("rest_edit IS NOT NULL OR rest_next IS NOT NULL").select("row", kinds).where("k.rest IS NOT NULL")
+    open_rows = F.col("rest_edit").isNotNull() | F.col("rest_next").isNotNull()
+    again = first.where(open_rows).select("row", kinds).where("k.rest IS NOT NULL")
     again = again.select((F.col("row") * 2 + F.col("k.kind")).alias("pair"), "k.rest.level", "k.rest.a", "k.rest.b")
     found = retried(again, ["pair"]).groupBy(F.shiftright("pair", 1).alias("row"))
     found = found.agg(*(F.max(F.when(F.col("pair") % 2 == i, F.col("n_diff"))).alias(f"r_{c}") for i, c in enumerate(("edit", "next"))))
-    joined = first.join(found, "row", "left")
+    # only rows with something left meet what was found; the others stay where they are
+    late, settled = (first.where(some).drop("rest_edit", "rest_next") for some in (open_rows, ~open_rows))
+    none = F.lit(None).cast("bigint")
+    joined = late.join(found, "row", "left").unionByName(settled.select("*", none.alias("r_edit"), none.alias("r_next")))
     n_own = F.col("n_own")
     near = (likeness(n_own, F.col(f"n_{c}"), F.col(f"d_{c}") + F.coalesce(f"r_{c}", F.lit(0))).alias(name) for c, name in (("edit", "near_edited"), ("next", "near_next")))
     id = F.when(~F.col("k_none"), F.col("k_id")).alias("doc_id")
