@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft import AllExcept, ArrowProgram, Fold, Graph, HyperGraph, Mode, Only, Program, Send, Step
-from weft.functions import entropy_bits
+from weft.functions import entropy_bits, wrapping_product
 from weft.operators.ids import dense_ids
 from weft.operators.placement import assign_partitions, partition_stats
 from weft.operators.projection import Projection
@@ -852,16 +852,10 @@ def _placement(strategy, parts, cutoff, rounds=16):
 
 
 def wide_edges(spark, sf) -> DataFrame:
-    """Edges whose ids are spread over all 64 bits: one by a large factor, one by the product
-    with an odd number, modulo 2^64."""
-    factor = (2654435761 * 4294967291) % (1 << 64)
-    low, high = factor & 0xFFFFFFFF, factor >> 32
-    # (order * factor) mod 2^64 from 32-bit halves; order keys are below 2^31
-    id = F.col("he_id")
-    bottom = id * low
-    top = (F.shiftrightunsigned(bottom, 32) + (id * high).bitwiseAND(0xFFFFFFFF)).bitwiseAND(0xFFFFFFFF)
-    spread = F.shiftleft(top, 32).bitwiseOR(bottom.bitwiseAND(0xFFFFFFFF))
-    return order_lines(spark, sf).select((-F.col("hv_id") * 4611686018427387).alias("src"), spread.alias("dst"))
+    """Edges whose ids are spread over all 64 bits: products with large numbers, modulo 2^64."""
+    src = wrapping_product(F.col("hv_id"), -4611686018427387)
+    dst = wrapping_product(F.col("he_id"), 2654435761 * 4294967291)
+    return order_lines(spark, sf).select(src.alias("src"), dst.alias("dst"))
 
 
 @query

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weft.functions import hash_part, pair_part, times_prime
+from weft.functions import hash_part, pair_part, times_prime, wrapping_product
 from weft.operators.placement import STRATEGIES, assign_partitions, partition_stats, place
 
 PRIME = 1125899906842597
@@ -28,6 +28,25 @@ def test_product_wraps_like_64_bit_arithmetic(spark):
     assert got == {x: (wrapped(x), h(x, 7)) for x in IDS}
 
 
+def test_any_product_wraps_like_64_bit_arithmetic(spark):
+    factors = [3, -4611686018427387, 2654435761 * 4294967291, -1, 2**63, 0, 2**64 - 2**32 + 1]
+    rows = spark.createDataFrame([(x,) for x in IDS], "x bigint")
+    got = rows.select("x", *[wrapping_product(F.col("x"), f).alias(f"f{i}") for i, f in enumerate(factors)]).collect()
+    assert [tuple(r) for r in got] == [(x, *((x * f + 2**63) % 2**64 - 2**63 for f in factors)) for x in IDS]
+
+
+def test_wide_ids_of_many_parts(spark, tmp_path):
+    """Part keys whose product with the factor passes 64 bits."""
+    from checks.queries import CATALOGUE
+
+    lines = [(h, v) for h, v in zip(range(1, 13), [1, 2000, 2001, 5000, 20_000, 1_200_000] * 2)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = sorted(((v * -4611686018427387 + 2**63) % 2**64 - 2**63, (h * 2654435761 * 4294967291 + 2**63) % 2**64 - 2**63) for h, v in lines)
+    for name in ("part_default_wide_ids", "part_hybrid_wide_ids"):
+        found = CATALOGUE[name](spark, str(tmp_path)).collect()
+        assert sorted((r.src, r.dst) for r in found) == want and all(0 <= r.part < 12 for r in found)
+
+
 @pytest.fixture(scope="module")
 def edges(spark):
     generator = random.Random(5)

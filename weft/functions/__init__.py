@@ -1,7 +1,7 @@
 """Column functions."""
 
 from weft.functions.columns import divide, entropy_bits, infinity, mode_struct, repeat_fold
-from weft.functions.hashing import hash_part, pair_part, times_prime, wrapping_abs, wrapping_sum
+from weft.functions.hashing import hash_part, pair_part, times_prime, wrapping_abs, wrapping_product, wrapping_sum
 
 __all__ = [
     "divide",
@@ -13,5 +13,6 @@ __all__ = [
     "repeat_fold",
     "times_prime",
     "wrapping_abs",
+    "wrapping_product",
     "wrapping_sum",
 ]

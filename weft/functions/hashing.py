@@ -44,6 +44,28 @@ def wrapping_sum(a: Column, b: Column) -> Column:
     return F.shiftleft(high.bitwiseAND(LOW), 32).bitwiseOR(low.bitwiseAND(LOW))
 
 
+def wrapping_product(value: Column, factor: int) -> Column:
+    """``value * factor`` wrapped to a signed 64-bit number, for any 64-bit ``value`` and ``factor``.
+
+    The low half of ``value`` is multiplied in two pieces of 16 bits and only the low 32 bits of
+    what goes to the upper half are kept, so no intermediate product reaches 2**49.
+    """
+    value = value.cast("bigint")
+    low, high = value.bitwiseAND(LOW), F.shiftrightunsigned(value, 32)
+    first, second = low.bitwiseAND(0xFFFF), F.shiftrightunsigned(low, 16)
+    near, far = factor & LOW, (factor >> 32) & LOW
+    upper = second * near
+    bottom = first * near + F.shiftleft(upper.bitwiseAND(0xFFFF), 16)
+
+    def kept(half: Column, by: int) -> Column:
+        """The low 32 bits of a product of two 32-bit numbers."""
+        shifted = F.shiftleft((F.shiftrightunsigned(half, 16) * by).bitwiseAND(0xFFFF), 16)
+        return (half.bitwiseAND(0xFFFF) * by + shifted).bitwiseAND(LOW)
+
+    top = F.shiftrightunsigned(upper, 16) + F.shiftrightunsigned(bottom, 32) + kept(low, far) + kept(high, near)
+    return F.shiftleft(top.bitwiseAND(LOW), 32).bitwiseOR(bottom.bitwiseAND(LOW))
+
+
 def wrapping_abs(value: Column) -> Column:
     """``|value|``; the smallest 64-bit number, having none, stays."""
     return F.when(value == LONG_MIN, value).otherwise(F.abs(value))
