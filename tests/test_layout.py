@@ -126,6 +126,16 @@ def test_long_chains_take_few_jobs(spark):
     assert component_roots(links.where("false")).count() == 0
 
 
+def test_rounds_do_not_multiply_estimated_sizes(spark):
+    """The size that the planner sees is that of the files, not a product over all rounds before."""
+    ids = random.Random(7).sample(range(10_000), 2_000)
+    links = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:])], "a bigint, b bigint")
+    trace = []
+    found = component_roots(links, trace)
+    assert trace.count("hook") >= 3 and {r.root for r in found.collect()} == {max(ids)}
+    assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10**6
+
+
 def test_contraction_equals_flooding(spark, chains):
     dice = random.Random(4)
     rows = [(dice.randrange(60), dice.randrange(70)) for _ in range(75)]

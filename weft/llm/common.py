@@ -7,35 +7,13 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.session import scratch_path
+from weft.session import forget, kept  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(frame: DataFrame, name: str) -> DataFrame:
-    """Write ``frame`` as Parquet below ``spark.checkpoint.dir`` and read it back.
-
-    Cuts the lineage as a checkpoint does, but columnar and compressed, and with a size
-    that the planner knows. Every executor can read it, so a lost one costs nothing.
-    """
-    spark = frame.sparkSession
-    path = scratch_path(spark, name)
-    frame.write.parquet(path)
-    written = spark.read.schema(frame.schema).parquet(path)
-    written.kept_at = path
-    return written
-
-
-def forget(*frames: DataFrame) -> None:
-    """Delete the files of tables that :func:`kept` wrote, once nothing reads them any more."""
-    for frame in frames:
-        spark = frame.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(frame.kept_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def worker_store() -> dict:
     """Memory that a Python worker keeps from task to task, for caches of bounded size.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from weft.session import cut, discard
+from weft.session import forget, kept
 
 
 def _unordered(links: DataFrame) -> DataFrame:
@@ -33,8 +33,8 @@ def _stars(parents: DataFrame, trace: list[str]) -> DataFrame:
         further = parents.withColumn("was", F.col("root"))
         for _ in range(3):
             further = _followed(further, parents)
-        reached = cut(further.observe(seen, F.count_if(F.col("root") != F.col("was")).alias("moved")).select("id", "root"))
-        discard(parents)
+        reached = kept(further.observe(seen, F.count_if(F.col("root") != F.col("was")).alias("moved")).select("id", "root"), "roots")
+        forget(parents)
         parents = reached
         trace.append("jump")
         if seen.get["moved"] == 0:
@@ -46,31 +46,31 @@ def component_roots(links: DataFrame, trace: list[str] | None = None) -> DataFra
     largest node of its component.
 
     Repeated links and links of a node to itself do not matter. Only the result stays in the
-    checkpoint folder. A node with very many links is a hot key of a join against one row per
+    checkpoint folder, as a table of :func:`weft.session.kept` that the caller may forget. A node with very many links is a hot key of a join against one row per
     node, which adaptive execution splits. ``trace`` collects the kind of each job.
     """
     trace = [] if trace is None else trace
-    left = cut(_unordered(links))
+    left = kept(_unordered(links), "links")
     rounds: list[DataFrame] = []
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        hooked = cut(both.groupBy(F.col("a").alias("id")).agg(F.max("b").alias("top")).select("id", F.greatest("id", "top").alias("root")))
+        tops = both.groupBy(F.col("a").alias("id")).agg(F.max("b").alias("top"))
+        hooked = kept(tops.select("id", F.greatest("id", "top").alias("root")), "roots")
         trace.append("hook")
         rounds.append(_stars(hooked, trace))
         ends = {}
         for end in ("a", "b"):
             ends[end] = rounds[-1].select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
         rest = left.join(ends["a"], "a").join(ends["b"], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        contracted = cut(_unordered(rest))
+        contracted = kept(_unordered(rest), "links")
         trace.append("contract")
-        discard(left)
+        forget(left)
         left = contracted
-    discard(left)
+    forget(left)
     if not rounds:
         return links.sparkSession.createDataFrame([], "id bigint, root bigint")
     while len(rounds) > 1:  # the last rounds are the smallest
         last, before = rounds.pop(), rounds.pop()
-        rounds.append(cut(_followed(before, last)))
-        discard(last)
-        discard(before)
+        rounds.append(kept(_followed(before, last), "roots"))
+        forget(last, before)
     return rounds[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weft.model import HyperGraph
 from weft.operators.contraction import component_roots
 from weft.operators.superstep import Program, Send, Step
-from weft.session import cut, discard
+from weft.session import cut, forget
 
 
 def connected_components(
@@ -53,5 +53,6 @@ def _contracted(graph: HyperGraph) -> HyperGraph:
     for role in ("hv", "he"):
         nodes = getattr(graph, role).select("id").join(roots, "id", "left")
         labels[role] = cut(nodes.select("id", F.coalesce("root", "id").alias("attr")))
-    discard(roots)
+    if hasattr(roots, "kept_at"):  # not if there are no links
+        forget(roots)
     return graph.attach(labels["hv"], labels["he"])
