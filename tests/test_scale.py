@@ -158,3 +158,22 @@ def test_scans_read_only_what_is_needed(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in text or "ReadSchema: struct<l_partkey:bigint>" in text
     kept = plan(graph.sub_hypergraph(lambda id, _: id < 10).hv)
     assert "LessThan(p_partkey,10)" in kept
+
+
+def test_pairs_of_a_task_are_bounded(spark, monkeypatch):
+    """Tasks follow the pairs that come out of the pairing, not the members that go in."""
+    from conftest import incidence_graph
+
+    from weft.operators import projection
+
+    rows = [(h, v) for h in range(20) for v in range(h, h + 20)]
+    graph = incidence_graph(spark, rows)
+    one = graph.he.select(F.col("id").alias("he_id"), F.lit(1).alias("msg"))
+    want = sorted(map(tuple, projection.member_pairs(graph, one).collect()))
+    assert projection.listed_pairs(graph) == (20, 20 * 210) and len(want) == 20 * 210
+    monkeypatch.setattr(projection, "PAIRS_PER_TASK", 100)
+    for block in (50, 5):
+        pairs = projection.member_pairs(graph, one, block)
+        sizes = [r.n for r in pairs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert pairs.rdd.getNumPartitions() == 42 and max(sizes) < 1000
+        assert sorted(map(tuple, pairs.collect())) == want
