@@ -71,3 +71,28 @@ def test_no_incidences(spark):
     inc = spark.createDataFrame([], "he_id bigint, hv_id bigint")
     graph = HyperGraph(spark.range(2).withColumn("attr", F.lit(None).cast("int")), he, inc)
     assert got(neighbour_counts(graph, exact=True)) == {0: 0, 1: 0}
+
+
+def test_sparse_hyperedges_are_counted_by_what_they_share(spark, monkeypatch):
+    """Large hyperedges that hardly overlap list no pairs of their members and make no bitmaps of unions."""
+    rng = random.Random(5)
+    rows = [(5000 + h, v) for v in range(1500) for h in rng.sample(range(12), rng.choice([1, 2, 2, 3]))]
+    rows += [(6000, v) for v in range(300)] + [(6001, v) for v in range(300)] + rows[:20]  # many words shared, by few classes
+    graph = incidence_graph(spark, rows)
+    monkeypatch.setattr(comembers, "member_pairs", None)
+    monkeypatch.setattr(comembers, "_united", None)
+    rows = [(r.he_id, r.hv_id) for r in graph.inc.collect()]
+    want = brute(rows, [r.id for r in graph.hv.collect()])
+    assert got(neighbour_counts(graph, exact=True)) == want
+    monkeypatch.undo()
+    assert got(neighbour_counts(graph, exact=True, heavy=10)) == want
+
+
+def test_meetings_may_be_too_many(mixed):
+    """A limit that what hyperedges share passes ends this way of counting; without one it counts the same."""
+    graph, _ = mixed
+    links = graph.links().select("he_id", "hv_id")
+    assert comembers._by_meetings(links, 1, 2000) is None
+    rows = [(r.he_id, r.hv_id) for r in graph.inc.collect()]
+    found = comembers._by_meetings(links, 10**9, 2)
+    assert {r.id: r._n for r in found.collect()} == brute(rows, {v for _, v in rows})
