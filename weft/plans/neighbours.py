@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.model import HyperGraph
 from weft.operators.comembers import HEAVY, co_members
+from weft.operators.projection import PAIRS_PER_TASK, pair_tasks
 from weft.operators.skew import apart
 
 # Sketch size (log2 of its registers) and the relative error of one standard deviation.
@@ -30,13 +31,28 @@ def neighbour_registers(graph: HyperGraph) -> DataFrame:
     its hyperedges; registers that stay empty have no row. Both are plain maxima over rows of
     fixed size: they combine before each shuffle, small neighbourhoods take few rows, and no
     sketch is ever held in one value. Sketches of any vertices unite by ``max`` per register.
+    Tasks follow the number of rows that members and registers make (about ``PAIRS_PER_TASK``
+    each); the members of a hyperedge that makes more are spread over pieces.
     """
     inc = graph.links().select("he_id", "hv_id")
+    rows = F.expr(f"n * least(n, {1 << SKETCH_BITS})")
+    sizes = inc.groupBy("he_id").agg(F.count("*").alias("n")).select("he_id", rows.alias("_rows"))
+    number, largest = sizes.agg(F.sum(F.col("_rows").cast("decimal(38,0)")), F.max("_rows")).first()
+    tasks = pair_tasks(inc.sparkSession, int(number or 0))
     register, rank = registers(F.col("hv_id"))
     inside = inc.select("he_id", register.alias("register"), rank.alias("rank"))
     inside = inside.groupBy("he_id", "register").agg(F.max("rank").alias("rank"))
-    around = inc.join(apart(inside), "he_id")
-    return around.groupBy(F.col("hv_id").alias("id"), "register").agg(F.max("rank").alias("rank"))
+    keys = ["he_id"]
+    if (largest or 0) > PAIRS_PER_TASK:
+        fan = sizes.where(F.col("_rows") > PAIRS_PER_TASK)
+        fan = fan.select("he_id", F.ceil(F.col("_rows") / PAIRS_PER_TASK).cast("int").alias("_fan"))
+        blocks = F.coalesce("_fan", F.lit(1))
+        inc = inc.join(apart(fan), "he_id", "left").select("he_id", "hv_id", F.pmod(F.xxhash64("hv_id"), blocks).cast("int").alias("_own"))
+        inside = inside.join(apart(fan), "he_id", "left").select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_own")).drop("_fan")
+        keys = ["he_id", "_own"]
+    around = inc.repartition(tasks, *keys).join(inside.repartition(tasks, *keys), keys)
+    around = around.select(F.col("hv_id").alias("id"), "register", "rank").repartition(tasks, "id", "register")
+    return around.groupBy("id", "register").agg(F.max("rank").alias("rank"))
 
 
 def estimates(sketches: DataFrame) -> DataFrame:
