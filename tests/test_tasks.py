@@ -24,3 +24,13 @@ def test_registers_in_small_tasks(lots, monkeypatch):
     assert found.rdd.getNumPartitions() >= 25
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_fold_counts_its_keys_in_small_tasks(spark, monkeypatch):
+    rows = spark.range(1000).select((F.col("id") % 300).alias("k"), F.col("id").alias("v"), F.lit(1).cast("bigint").alias("copies"))
+    calls, plain = [], type(rows).repartition
+    monkeypatch.setattr(combiners, "TASK_ROWS", 50)
+    monkeypatch.setattr(type(rows), "repartition", lambda self, n, *by: (calls.append(n), plain(self, n, *by))[1])
+    folded = fold_by_key(rows, ["k"], "v", lambda a, b: F.greatest(a, b))
+    assert calls == [20, 20]  # keys to be counted, keys to be gathered
+    assert {r.k: r.v for r in folded.collect()} == {k: k + 300 * ((999 - k) // 300) for k in range(300)}

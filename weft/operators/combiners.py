@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,13 +190,14 @@ def fold_by_key(
     slices_done, before = 0, None
     while True:
         merged = rows.groupBy(*keys, value).agg(F.sum("copies").alias("copies"))
-        merged = cut(merged)
+        written = Observation()
+        merged = cut(merged.observe(written, F.count("*").alias("n")))
         discard(before)
         before = merged
-        most, number = merged.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-        most = most or 0
-        # a checkpoint forgets how it is partitioned; the keys of a partition are gathered in its task
-        merged = merged.repartition(max(shuffle_partitions(merged.sparkSession), -(-(number or 0) // TASK_ROWS)), *keys)
+        # a checkpoint forgets how it is partitioned; the keys of a partition are counted and gathered in its task
+        tasks = max(shuffle_partitions(merged.sparkSession), -(-(written.get["n"] or 0) // TASK_ROWS))
+        most = merged.select(*keys).repartition(tasks, *keys).groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        merged = merged.repartition(tasks, *keys)
         # at most half as many slices as values, so that every round at least halves them
         slices = 1 if most <= group_rows else max(1, min(-(-2 * most // group_rows), most // 2))
         folded = merged.select(
