@@ -226,3 +226,14 @@ def test_traffic_follows_the_placement(spark):
     assert found["1D-dst"][0][2] == 1 < found["1D-src"][0][2]
     with pytest.raises(ValueError, match="assign_parts"):
         start.compute(1, F.lit(0).cast("bigint"), flood, flood, traffic=[])
+
+
+def test_buckets_hold_enough_links_for_messages_to_combine(spark, monkeypatch):
+    from weft.operators import layout
+    from weft.sources import from_incidences
+
+    monkeypatch.setattr("weft.session.LINKS_PER_PARTITION", 10)
+    monkeypatch.setattr(layout, "BUCKET_LINKS", 100)
+    prepared = from_incidences(spark.range(400).selectExpr("id % 40 AS he_id", "id AS hv_id")).prepare()
+    assert prepared.layout.parts == 4
+    prepared.release()

@@ -131,3 +131,25 @@ def test_batch_job(spark, tmp_path):
         job.run(spark, path, 0, "Nowhere", 2, 3, 4, 1, 1)
 
 
+
+
+def test_pairs_stay_with_their_record(spark):
+    from weft.operators.layout import drop_bucketed
+    from weft.sources.groups import _by_record, merge_identical
+
+    pairs = spark.range(1000).selectExpr("id div 4 AS record", "id div 4 AS label", "id % 8 AS member")
+    placed = _by_record(pairs)
+    plan = placed.groupBy("record").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and placed.count() == 1000
+    members, sets = merge_identical(placed)
+    assert {tuple(r) for r in sets.collect()} == {(0, 4, 125, 0), (1, 4, 125, 1)}  # a set goes by its smallest record
+    assert sorted(tuple(r) for r in members.collect()) == [(i, 4 * i + j) for i in (0, 1) for j in range(4)]
+    drop_bucketed(placed)
+    spark.conf.set("spark.weft.hotRows", "10")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        few = spark.range(1000).selectExpr("IF(id < 990, 1, id) AS record", "id AS member")
+        assert _by_record(few) is few  # one record has most: a bucket would hold them all
+    finally:
+        spark.conf.unset("spark.weft.hotRows")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")

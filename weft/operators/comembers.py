@@ -132,8 +132,7 @@ def _by_meetings(links: DataFrame, most: int, block: int) -> DataFrame | None:
     places = kept(places.select("record", "set", "cls", F.col("id").alias("place")), "places")
     classes = places.where("place = cls").select("set", "cls")
     edges = kept(inside.withColumnRenamed("member", "he_id").join(apart(classes), "set").select("cls", "he_id"), "classes")
-    for used in (inside, sets, prints):
-        discard(used)
+    forget(inside, sets, prints)
 
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("place") % WORD).cast("int"))
     chunks = places.groupBy("cls", F.expr(f"place div {WORD}").alias("word")).agg(F.min("place").alias("chunk"), F.bit_or(bit).alias("bits"))
@@ -192,8 +191,7 @@ def _united(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.bitmap_or_agg("bits").alias("bits"))
     )
     around = cut(around)
-    for used in (inside, sets, prints):
-        discard(used)
+    forget(inside, sets, prints)
     return around, places.withColumnRenamed("hv_id", "id")
 
 

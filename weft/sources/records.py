@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.model import HyperGraph
-from weft.session import cut
+from weft.session import kept
 from weft.sources.groups import from_groups
 
 # Fixed value: what a whole number in the year field looks like.
@@ -94,8 +94,8 @@ def records_hypergraph(
     Records are told apart by a number given here, so repeated titles stay separate.
     It is written once, because a second evaluation could number them differently.
     """
-    numbered = cut(
-        records.select(F.monotonically_increasing_id().alias("record"), "title", "authors")
+    numbered = kept(
+        records.select(F.monotonically_increasing_id().alias("record"), "title", "authors"), "records"
     )
     rows = numbered.select("record", "title", F.explode("authors").alias("author"))
     return from_groups(rows, "record", "author", label="title", partition=partition, distinct=True)
