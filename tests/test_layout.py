@@ -237,3 +237,19 @@ def test_buckets_hold_enough_links_for_messages_to_combine(spark, monkeypatch):
     prepared = from_incidences(spark.range(400).selectExpr("id % 40 AS he_id", "id AS hv_id")).prepare()
     assert prepared.layout.parts == 4
     prepared.release()
+
+
+def test_large_parts_are_split_by_the_buckets_of_the_loop(spark, monkeypatch):
+    from weft.sources import from_incidences
+
+    monkeypatch.setattr("weft.session.LINKS_PER_PARTITION", 10)
+    spark.conf.set("spark.weft.hotRows", "50")
+    try:
+        graph = from_incidences(spark.range(400).selectExpr("id % 40 AS he_id", "id AS hv_id")).assign_parts("1D-src", 2)
+        prepared = graph.prepare()
+        assert prepared.layout.parts == 40
+        for lane in prepared.layout.lanes.values():  # 200 links a part, 10 a bucket; the session has 2 partitions
+            assert [row._fan for row in lane.hot.collect()] == [4, 4]
+        prepared.release()
+    finally:
+        spark.conf.unset("spark.weft.hotRows")
