@@ -75,6 +75,23 @@ def test_peeling_gives_the_digests_back(spark):
     assert all(r.ok for r in found) and {r.id: (set(r.only_a), set(r.only_b)) for r in found} == want
 
 
+def test_cells_are_two_plain_arrays(spark):
+    texts = [(1, "a\nb\nc", "a\nc\nd\ne"), (2, "", ""), (3, "\n".join(f"a {i}" for i in range(200)), "q\nq")]
+    frame = spark.createDataFrame(texts, "id int, left string, right string")
+    pairs = frame.select(sketches.digests(F.col("left")).alias("a"), sketches.digests(F.col("right")).alias("b"))
+    cells = pairs.withColumns({"l": sketches.sketch("a"), "r": sketches.sketch("b"), "both": F.expr(sketches._cells("a", "b"))})
+    assert dict(cells.dtypes)["l"] == "struct<n:array<int>,x:array<bigint>>"  # no row per cell, which every step would copy
+    for r in cells.select("*", sketches.fingerprint(F.col("l")).alias("text")).collect():
+        n, x = [0] * 3 * sketches.ROW, [0] * 3 * sketches.ROW
+        for d in r.a:
+            for third in range(3):
+                at = third * sketches.ROW + (d >> 16 + 4 * third) % sketches.ROW
+                n[at], x[at] = n[at] + 1, x[at] ^ d
+        assert (r.l.n, r.l.x) == (n, x)
+        assert r.text == " ".join(f"{k}.{v % 2**64:x}" for k, v in zip(n, x))
+        assert r.both.n == [p - q for p, q in zip(r.l.n, r.r.n)] and r.both.x == [p ^ q for p, q in zip(r.l.x, r.r.x)]
+
+
 def test_pairs_split_in_their_row(spark):
     texts = [(n, "\n".join(f"a {i}" for i in range(n)), "\n".join(f"{'a' if i % 3 else 'b'} {i}" for i in range(n))) for n in (2, 40, 300, 5000)]
     frame = spark.createDataFrame(texts, "id int, left string, right string")

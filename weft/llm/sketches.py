@@ -55,30 +55,62 @@ def digests(text: Column) -> Column:
 
 
 def sketch(column: str) -> Column:
-    """Cells ``array<struct<n:int, x:bigint>>`` of a column of digests."""
-    return F.expr(_sketch(column))
+    """Cells ``struct<n:array<int>, x:array<bigint>>`` of a column of digests: how many, and their exclusive or."""
+    return F.expr(_cells(column))
 
 
-def _sketch(digests: str) -> str:
-    return f"""
-        flatten(transform(array(16, {16 + _BITS}, {16 + 2 * _BITS}), place ->
-            transform(sequence(0L, {ROW - 1}L), cell ->
-                element_at(transform(array(filter({digests}, d -> (shiftright(d, place) & {ROW - 1}L) = cell)),
-                    own -> named_struct('n', size(own), 'x', aggregate(own, 0L, (a, d) -> a ^ d))), 1))))"""
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` for ``value``, which is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _dealt(digests: str) -> str:
+    """SQL of an array with the digests of each cell.
+
+    They are dealt by the upper, then by the lower half of a cell's bits, so that each is
+    looked at eight times for a third and not once for each of its cells.
+    """
+    half = _BITS // 2
+
+    def chosen(part: str, place: int, bits: int, to: str) -> str:
+        return f"filter({part}, d -> (shiftright(d, {place}) & {(1 << bits) - 1}L) = {to})"
+
+    def third(place: int) -> str:
+        cells = f"transform(sequence(0L, {(1 << half) - 1}L), low -> {chosen('part', place, half, 'low')})"
+        parts = _bound(chosen(digests, place + half, _BITS - half, "high"), "part", cells)
+        return f"flatten(transform(sequence(0L, {(1 << _BITS - half) - 1}L), high -> {parts}))"
+
+    return f"concat({', '.join(third(16 + i * _BITS) for i in range(3))})"
+
+
+def _cells(a: str, b: str | None = None) -> str:
+    """SQL of the cells of the digests ``a``, less those of ``b``.
+
+    Counts and exclusive ors are two plain arrays: an array of structs is copied row by row at every step.
+    """
+    def mixed(side: str, start: str = "0L") -> str:
+        return f"aggregate({side}, {start}, (x, d) -> x ^ d)"
+
+    if b is None:
+        return _bound(_dealt(a), "own", f"named_struct('n', transform(own, p -> size(p)), 'x', transform(own, p -> {mixed('p')}))")
+    sides = f"named_struct('a', {_dealt(a)}, 'b', {_dealt(b)})"
+    return _bound(sides, "own", f"""named_struct('n', zip_with(own.a, own.b, (p, q) -> size(p) - size(q)),
+        'x', zip_with(own.a, own.b, (p, q) -> {mixed('q', mixed('p'))}))""")
 
 
 def fingerprint(cells: Column) -> Column:
     """A sketch as text: count and digits of each cell."""
-    return F.array_join(F.transform(cells, lambda c: F.concat(c["n"].cast("string"), F.lit("."), F.when(c["x"] == 0, F.lit("0")).otherwise(F.lower(F.hex(c["x"]))))), " ")
+    return F.array_join(F.zip_with(cells["n"], cells["x"], lambda n, x: F.concat(n.cast("string"), F.lit("."), F.when(x == 0, F.lit("0")).otherwise(F.lower(F.hex(x))))), " ")
 
 
 def subtract(a: str, b: str) -> str:
     """SQL of one sketch minus another, cell by cell."""
-    return f"zip_with({a}, {b}, (p, q) -> named_struct('n', p.n - q.n, 'x', p.x ^ q.x))"
+    return f"named_struct('n', zip_with({a}.n, {b}.n, (p, q) -> p - q), 'x', zip_with({a}.x, {b}.x, (p, q) -> p ^ q))"
 
 
 def peel(cells: str) -> Column:
-    """``struct<cells, found>``: digests recovered (n = 1: only left, -1: only right) and what remains in the cells.
+    """``struct<n, x, only_a, only_b, a, b>``: what remains in the cells, digests recovered (only left, only right),
+    and those that the cells would give away next.
 
     ``cells`` is SQL; it is evaluated once.
     """
@@ -86,17 +118,17 @@ def peel(cells: str) -> Column:
 
 
 def _peel(cells: str) -> str:
-    pure = f"array_distinct(filter(s.cells, c -> abs(c.n) = 1 AND (c.x & 65535L) = {_CHECK.format('c.x')}))"
-    place = f"shiftright(p.x, 16 + {_BITS} * (j div {ROW})) & {ROW - 1}L"
+    def pure(n: int) -> str:
+        return f"array_distinct(filter(c.x, (x, j) -> c.n[j] = {n} AND (x & 65535L) = {_CHECK.format('x')}))"
+
+    def state(cells: str, only_a: str, only_b: str) -> str:
+        return _bound(cells, "c", f"named_struct('n', c.n, 'x', c.x, 'only_a', {only_a}, 'only_b', {only_b}, 'a', {pure(1)}, 'b', {pure(-1)})")
+
+    none = "filter(c.x, x -> false)"
+    less = _bound(_cells("s.a", "s.b"), "p", subtract("s", "p"))
     return f"""
-        element_at(transform(array({cells}), first -> aggregate(sequence(1, {ROUNDS}),
-            named_struct('cells', first, 'found', filter(first, c -> false)),
-            (s, i) -> if(exists(s.cells, c -> abs(c.n) = 1),
-                element_at(transform(array({pure}), pure -> named_struct(
-                    'cells', transform(s.cells, (c, j) -> aggregate(pure, c,
-                        (a, p) -> if(({place}) = j % {ROW}, named_struct('n', a.n - p.n, 'x', a.x ^ p.x), a))),
-                    'found', concat(s.found, pure))), 1),
-                s))), 1)"""
+        aggregate(sequence(1, {ROUNDS}), {state(cells, none, none)},
+            (s, i) -> if(size(s.a) + size(s.b) = 0, s, {state(less, 'concat(s.only_a, s.a)', 'concat(s.only_b, s.b)')}))"""
 
 
 def done(peeled: str) -> Column:
@@ -104,7 +136,12 @@ def done(peeled: str) -> Column:
 
 
 def _done(peeled: str) -> str:
-    return f"NOT exists({peeled}.cells, c -> c.n <> 0 OR c.x <> 0)"
+    return f"NOT exists({peeled}.n, n -> n <> 0) AND NOT exists({peeled}.x, x -> x <> 0)"
+
+
+def _found(peeled: str) -> str:
+    """SQL of the number of digests recovered."""
+    return f"(size({peeled}.only_a) + size({peeled}.only_b))"
 
 
 def level(a: str, b: str) -> str:
@@ -119,13 +156,18 @@ def split(a: str, b: str) -> Column:
     again. A pair that needs more than ``SPLIT`` sketches comes back whole. ``level`` is the
     number of bits that the rest is to be split by next, see :func:`retried`.
     """
-    own = "(shiftrightunsigned(d, 32) & (shiftleft(1L, bits) - 1L)) = sub"
-    parts = f"""transform(sequence(0L, shiftleft(1L, bits) - 1L), sub ->
-        named_struct('l', filter({a}, d -> {own}), 'r', filter({b}, d -> {own})))"""
-    peeled = _peel(subtract(f"({_sketch('part.l')})", f"({_sketch('part.r')})"))
+    # dealt by the upper, then by the lower half of the bits
+    def dealt(side: str, at: str, mask: str, to: str) -> str:
+        return f"filter({side}, d -> (shiftrightunsigned(d, {at}) & {mask}) = {to})"
+
+    far = f"named_struct('l', {dealt(a, '32 + o.low', 'o.far', 'high')}, 'r', {dealt(b, '32 + o.low', 'o.far', 'high')})"
+    near = f"named_struct('l', {dealt('half.l', '32', 'o.near', 'low')}, 'r', {dealt('half.r', '32', 'o.near', 'low')})"
+    order = "named_struct('low', cast(bits div 2 as int), 'far', shiftleft(1L, cast(bits - bits div 2 as int)) - 1L, 'near', shiftleft(1L, cast(bits div 2 as int)) - 1L)"
+    parts = _bound(order, "o", f"flatten(transform(sequence(0L, o.far), high -> {_bound(far, 'half', f'transform(sequence(0L, o.near), low -> {near})')}))")
+    peeled = _peel(_cells("part.l", "part.r"))
     none = "filter(part.l, d -> false)"
     tried = f"""transform({parts}, part -> element_at(transform(array({peeled}), end ->
-        if({_done('end')}, named_struct('n', size(end.found), 'a', {none}, 'b', {none}),
+        if({_done('end')}, named_struct('n', {_found('end')}, 'a', {none}, 'b', {none}),
             named_struct('n', 0, 'a', part.l, 'b', part.r))), 1))"""
     return F.expr(f"""element_at(transform(array({level(a, b)}), bits -> if(shiftleft(1L, bits) > {SPLIT}L,
         named_struct('n', 0, 'a', {a}, 'b', {b}, 'level', bits),
@@ -176,15 +218,14 @@ def _attempt(pairs: DataFrame) -> DataFrame:
     peeled = cells.withColumn("_p", peel(subtract("_sa", "_sb"))).withColumn("ok", done("_p"))
     rest = [F.when(~F.col("ok"), F.col(c)).alias(c) for c in ("a", "b")]
     others = [c for c in pairs.columns if c not in ("a", "b")]
-    return kept(peeled.select(*others, "ok", F.when(F.col("ok"), F.size("_p.found")).otherwise(0).alias("n"), *rest), "sketches")
+    return kept(peeled.select(*others, "ok", F.when(F.col("ok"), F.expr(_found("_p"))).otherwise(0).alias("n"), *rest), "sketches")
 
 
 def recovered(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, ok, only_a, only_b)``: the digests that one sketch per pair of arrays ``a``, ``b`` gives back."""
     cells = pairs.withColumns({"_sa": sketch("a"), "_sb": sketch("b")})
     peeled = cells.withColumn("_p", peel(subtract("_sa", "_sb"))).withColumn("ok", done("_p"))
-    sides = [F.expr(f"transform(filter(_p.found, c -> c.n = {n}), c -> c.x)").alias(c) for c, n in (("only_a", 1), ("only_b", -1))]
-    return peeled.select(*keys, "ok", *sides)
+    return peeled.select(*keys, "ok", "_p.only_a", "_p.only_b")
 
 
 def likeness(size_a: Column, size_b: Column, n_diff: Column) -> Column:
@@ -245,7 +286,7 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = cells.select(
         F.monotonically_increasing_id().alias("row"), "key.k_id", "key.k_none", "n_chars", "edited_sha256", fingerprint(F.col("_own")).alias("fingerprint"), fingerprint(F.col("_edit")).alias("edited_fingerprint"),
         *(F.size(c).alias(f"n_{c}") for c in ("own", "edit", "next")),
-        *(F.when(F.col(f"_ok_{c}"), F.size(f"_p_{c}.found")).otherwise(F.col(f"_s_{c}.n")).alias(f"d_{c}") for c in ("edit", "next")),
+        *(F.when(F.col(f"_ok_{c}"), F.expr(_found(f"_p_{c}"))).otherwise(F.col(f"_s_{c}.n")).alias(f"d_{c}") for c in ("edit", "next")),
         *(F.when(left[c], F.col(f"_s_{c}")).alias(f"rest_{c}") for c in ("edit", "next")),
     )
     first = kept(first, "fingerprints")
