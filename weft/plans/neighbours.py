@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from weft.model import HyperGraph
 from weft.operators.comembers import HEAVY, co_members
+from weft.operators.layout import loop_session
+from weft.operators.near import SETTINGS, SLOT, NearLane, parts_for, rows_shipped
 from weft.operators.projection import PAIRS_PER_TASK, pair_tasks
-from weft.operators.skew import apart
+from weft.operators.skew import apart, hot_keys
+from weft.session import forget, kept, shuffle_partitions
 
 # Sketch size (log2 of its registers) and the relative error of one standard deviation.
 SKETCH_BITS = 12
@@ -68,12 +71,56 @@ def estimates(sketches: DataFrame) -> DataFrame:
     return found.select("id", F.when((raw <= 2.5 * size) & (F.col("_full") < size), few).otherwise(raw).alias("estimate"))
 
 
+def _estimated(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("_s")).alias("_n")).select(F.col("hv_id").alias("id"), "_n")
+
+
+def _united_sketches(inc: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``(id, _n)``: the estimate of the united ``sketches(he_id, _s)`` of each vertex's hyperedges.
+
+    A sketch travels once to each of few parts of the vertices (:mod:`weft.operators.near`), not once
+    per incidence. Vertices with far more hyperedges than others, and all where that
+    ships no fewer rows, unite what their incidences bring, combined before the shuffle.
+    """
+    spark = inc.sparkSession
+    links = inc.where("he_id IS NOT NULL AND hv_id IS NOT NULL")
+    sketches = kept(sketches.where("he_id IS NOT NULL"), "sketches")
+    senders, size = sketches.agg(F.count("*"), F.coalesce(F.sum(F.length("_s")), F.lit(0))).first()
+    total, receivers = links.agg(F.count("*"), F.approx_count_distinct("hv_id")).first()
+    parts = parts_for(spark, total, senders, size)
+    if 2 * rows_shipped(parts, total, senders) > total or senders > receivers:
+        return _estimated(inc.join(apart(sketches), "he_id"), "hv_id")
+
+    hot = hot_keys(links, "hv_id", total)
+    found = []
+    if hot is not None:
+        marked = links.join(hot, "hv_id", "left")
+        busy, links = marked.where("_fan IS NOT NULL").drop("_fan"), marked.where("_fan IS NULL").drop("_fan")
+        found.append(_estimated(busy.join(apart(sketches), "he_id"), "hv_id"))
+    loop = loop_session(spark, parts)
+    for key, value in SETTINGS.items():
+        loop.conf.set(key, value)
+    lane = NearLane(links.select(F.col("he_id").alias("src_id"), F.col("hv_id").alias("dst_id")), parts, shuffle_partitions(spark))
+    mine = loop.read.schema(sketches.schema).parquet(sketches.kept_at).withColumnRenamed("he_id", "src_id")
+    near = loop.table(lane.table.bucketed_as[0]), loop.table(lane.copies.bucketed_as[0])
+    for slots in lane.waves(total, senders, size):
+        rows = lane.join(mine, slots, near).withColumnRenamed("dst_id", "hv_id")
+        found.append(spark.read.parquet(kept(_estimated(rows, SLOT, "hv_id"), "estimates").kept_at))
+    lane.release()
+    if hot is None:
+        forget(sketches)
+    united = found[0]
+    for more in found[1:]:
+        united = united.unionByName(more)
+    return united
+
+
 def neighbour_counts(graph: HyperGraph, exact: bool = False, heavy: int = HEAVY) -> DataFrame:
     """Distinct co-members per vertex, the vertex itself included; 0 if isolated.
 
     By default a sketch estimate, ``(id, estimate, low, high)`` with an interval of two
     standard errors: each hyperedge sketches its members, each vertex unites the
-    sketches of its hyperedges. Linear in the incidences, merged before each shuffle.
+    sketches of its hyperedges. Linear in the incidences; see :func:`_united_sketches`.
     ``exact=True`` returns ``(id, neighbours)``: hyperedges of up to ``heavy`` members list
     their pairs, larger ones are bitmaps.
     """
@@ -81,11 +128,7 @@ def neighbour_counts(graph: HyperGraph, exact: bool = False, heavy: int = HEAVY)
         return co_members(graph, heavy)
     inc = graph.inc.select("he_id", "hv_id")
     sketches = inc.groupBy("he_id").agg(F.hll_sketch_agg("hv_id", F.lit(SKETCH_BITS)).alias("_s"))
-    counts = (
-        inc.join(apart(sketches), "he_id")
-        .groupBy(F.col("hv_id").alias("id"))
-        .agg(F.hll_sketch_estimate(F.hll_union_agg("_s")).alias("_n"))
-    )
+    counts = _united_sketches(inc, sketches)
     estimate = F.coalesce("_n", F.lit(0)).cast("bigint")
     margin = estimate * (2 * STANDARD_ERROR)
     return (
