@@ -644,13 +644,19 @@ def neighbours_exact_wide(spark, sf):
 
 @query
 def sketch_messages(spark, sf):
-    """The same as a program: sketches are messages, united by the combiner that their type implies."""
+    """The same as a program: sketches are messages, united by the combiner that their type implies.
+
+    A vertex keeps the estimate of what it hears and no longer its own sketch: united sketches are 4 KB each.
+    """
     graph = flagged_lots(spark, sf)
-    own = graph.hv.groupBy("id").agg(F.hll_sketch_agg("id", F.lit(12)).alias("attr"))
+    own = graph.hv.groupBy("id").agg(F.hll_sketch_agg("id", F.lit(12)).alias("sketch"))
+    own = own.select("id", F.struct("sketch", F.lit(None).cast("bigint").alias("estimate")).alias("attr"))
     graph = graph.with_tables(own, graph.he.withColumn("attr", F.lit(None).cast("binary")))
 
     def vertex(superstep, id, attr, msg):
-        return Step(sends=[Send(attr)]) if superstep == 0 else Step(msg)
+        if superstep == 0:
+            return Step(sends=[Send(attr["sketch"])])
+        return Step(F.struct(F.lit(None).cast("binary").alias("sketch"), F.hll_sketch_estimate(msg).alias("estimate")))
 
     def hyperedge(superstep, id, attr, msg):
         return Step(msg, [Send(msg)])
@@ -658,7 +664,8 @@ def sketch_messages(spark, sf):
     done = graph.compute(2, F.lit(None).cast("binary"), Program(vertex), Program(hyperedge))
     alone = graph.links().select(F.col("hv_id").alias("id")).distinct().withColumn("linked", F.lit(True))
     found = done.hv.join(alone, "id", "left")
-    estimate = F.when(F.col("linked"), F.hll_sketch_estimate("attr")).otherwise(0)
+    heard = F.coalesce("attr.estimate", F.hll_sketch_estimate("attr.sketch"))
+    estimate = F.when(F.col("linked"), heard).otherwise(0)
     return close_to_exact(graph, found.select("id", estimate.alias("estimate")))
 
 

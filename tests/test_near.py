@@ -4,6 +4,7 @@ import pytest
 from conftest import incidence_graph
 from pyspark.sql import functions as F
 
+from weft import Program, Send, Step
 from weft.operators import near
 from weft.operators.near import SLOT, NearLane, parts_for, rows_shipped, slot_keys
 from weft.plans import neighbour_counts, neighbours
@@ -102,3 +103,29 @@ def test_joined_rows_are_neither_shuffled_nor_sorted(spark, lots):
     assert "Exchange" not in above and "Sort " not in above
     assert rows.agg(F.sum("n")).first()[0] == links.count()
     lane.release()
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_sketch_messages_of_a_program(spark, lots, joined, monkeypatch, whole):
+    """Hyperedges send their sketch to all members; attributes are the union of those heard."""
+    if not whole:
+        monkeypatch.setattr("weft.operators.layout.WHOLE_ROWS", -1)
+    own = lots.hv.groupBy("id").agg(F.hll_sketch_agg("id", F.lit(12)).alias("attr"))
+    start = lots.with_tables(own, lots.he.withColumn("attr", F.lit(None).cast("binary")))
+
+    def vertex(superstep, id, attr, msg):
+        return Step(sends=[Send(attr)]) if superstep == 0 else Step(msg, [Send(msg)])
+
+    def hyperedge(superstep, id, attr, msg):
+        return Step(msg, [Send(msg)])
+
+    def run(rounds):
+        done = start.compute(rounds, F.lit(None).cast("binary"), Program(vertex), Program(hyperedge))
+        return {r.id: r.n for r in done.hv.select("id", F.hll_sketch_estimate("attr").alias("n")).collect()}
+
+    found = {rounds: run(rounds) for rounds in (2, 3)}
+    assert len(joined) == 3  # from hyperedges, once and twice; vertices are more
+    monkeypatch.setattr("weft.operators.superstep._near", lambda *_: None)
+    assert all(run(rounds) == close(found[rounds]) for rounds in found)
+    want = united(lots)
+    assert found[2] == close({r.id: want.get(r.id, 1) for r in lots.hv.collect()})

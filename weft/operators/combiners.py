@@ -34,9 +34,10 @@ class Aggregate(Combiner):
     def __init__(self, expression: Callable[[Column, Column], Column]):
         self.expression = expression
 
-    def merge(self, rows: DataFrame) -> DataFrame:
+    def merge(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """``keys`` that follow from the destination come along, for rows that are partitioned by them."""
         msg = self.expression(F.col("msg"), F.col("copies"))
-        return rows.groupBy("dst_id").agg(msg.alias("msg"))
+        return rows.groupBy(*keys, "dst_id").agg(msg.alias("msg"))
 
 
 def total() -> Aggregate:

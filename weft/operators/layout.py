@@ -24,6 +24,7 @@ from weft.session import cut, partitions_for, scratch_path, shuffle_partitions
 
 if TYPE_CHECKING:
     from weft.model import HyperGraph
+    from weft.operators.near import NearLane
 
 #: Layers of changes that a node table may have before they are merged.
 MOST_LAYERS = 4
@@ -42,6 +43,7 @@ LOOP_SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",  # links stay with their part, joined by part and sender
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",  # what a job leaves is a table; else its shuffle stays
 }
 
 
@@ -229,6 +231,14 @@ class NodeState:
             layer = F.when(F.col(f"_id{i}").isNotNull(), F.lit(i)).otherwise(layer)
         return rows.select("id", attr.alias("attr"), *([] if messages is None else ["dst_id", "msg"]), layer.alias("_layer"))
 
+    def beside(self, messages: DataFrame, lane: NearLane) -> DataFrame:
+        """:meth:`current` for ``messages(slot, dst_id, msg)`` of a near lane: the nodes go to their messages, these stay."""
+        rows = self.current().withColumn("_own", lane.slot("id")).repartition(lane.parts, "_own")
+        found = messages.withColumnRenamed(lane.key, "_at")
+        on = (F.col("_own") == F.col("_at")) & (F.col("id") == F.col("dst_id"))
+        rows = rows.join(found, on, "left" if self.whole else "inner")
+        return rows.select("id", "attr", "dst_id", "msg", "_layer")
+
     def counters(self) -> list:
         """Aggregates over :meth:`current` that :meth:`push` takes: how many rows each layer gave."""
         return [F.count_if(F.col("_layer") == i).alias(f"layer{i}") for i in range(len(self.layers))]
