@@ -253,3 +253,34 @@ def test_large_parts_are_split_by_the_buckets_of_the_loop(spark, monkeypatch):
         prepared.release()
     finally:
         spark.conf.unset("spark.weft.hotRows")
+
+
+def test_few_parts_lie_in_buckets_of_their_own(spark):
+    """Hashed, five parts in eight buckets collide; then one task has the links of several."""
+    from weft.sources import from_incidences
+
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        graph = from_incidences(spark.range(4000).selectExpr("id % 40 AS he_id", "id % 1000 AS hv_id")).assign_parts("1D-dst", 5)
+        prepared = graph.prepare()
+        want = sorted(r["count"] for r in graph.inc.distinct().groupBy("part").count().collect())
+        for lane in prepared.layout.lanes.values():
+            loop = layout.loop_session(spark, prepared.layout.parts)
+            rows = loop.table(lane.table.bucketed_as[0]).groupBy("part", F.input_file_name().alias("file")).count().collect()
+            assert sorted(r["count"] for r in rows) == want and len({r.file for r in rows}) == 5
+        assert prepared.links().agg(F.sum("copies")).first()[0] == 4000
+        prepared.release()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_buckets_of_placed_links_grow_with_many_links(spark, monkeypatch):
+    from weft.sources import from_incidences
+
+    monkeypatch.setattr("weft.session.LINKS_PER_PARTITION", 10)
+    monkeypatch.setattr(layout, "BUCKET_LINKS", 50)
+    monkeypatch.setattr(layout, "BUSY", 6)
+    for links, parts in ((40, 4), (100, 6), (600, 12)):
+        prepared = from_incidences(spark.range(links).selectExpr("id % 4 AS he_id", "id AS hv_id")).assign_parts("1D-src", 3).prepare()
+        assert prepared.layout.parts == parts
+        prepared.release()

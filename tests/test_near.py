@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from weft import Program, Send, Step
 from weft.operators import near
-from weft.operators.near import SLOT, NearLane, parts_for, rows_shipped, slot_keys
+from weft.operators.layout import slot_keys
+from weft.operators.near import SLOT, NearLane, parts_for, rows_shipped
 from weft.plans import neighbour_counts, neighbours
 
 
